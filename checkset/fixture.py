@@ -7,9 +7,11 @@ accounts without engagement and give the foreign-key check something to find.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 AS_OF = date(2024, 2, 5)
 
@@ -33,12 +35,29 @@ def _stamp(days: str, seconds: str) -> str:
     return f"timestampadd(SECOND, cast({seconds} as int), cast({_day(days)} as timestamp_ntz))"
 
 
-def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    def raw(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    customer, orders = raw("customer"), raw("orders")
-    accounts = customer.selectExpr(
+# Declared so that opening a table reads no file footers.
+SOURCE_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,"
+        " o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE,"
+        " l_returnflag STRING"
+    ),
+    "part": "p_partkey BIGINT, p_name STRING, p_type STRING, p_size INT",
+    "events": (
+        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE,"
+        " props STRING"
+    ),
+}
+
+Source = Callable[[str], DataFrame]
+
+
+def _accounts(source: Source) -> DataFrame:
+    return source("customer").selectExpr(
         "cast(c_custkey as string) as account_id",
         "c_name as company_name",
         f"{_pick('c_custkey % 7', INDUSTRIES)} as industry",
@@ -55,27 +74,31 @@ def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         f"{_stamp('-((c_custkey * 29) % 700)', '0')} as created_at",
         f"{_stamp('0', '0')} as updated_at",
     )
-    account_count = customer.selectExpr("cast(count(*) as double) as n").scalar()
 
-    def with_account(df: DataFrame, seed: str) -> DataFrame:
-        """``u`` in [0, 1) cubed, times the account count: a few accounts get most of the rows."""
-        share = df.selectExpr("*", f"{seed} as x").selectExpr(
-            "*", "cast(x % 1000003 as double) / cast(1000003 as double) as u"
-        )
-        spread = share.withColumn("n", account_count)
-        return spread.selectExpr("*", "cast(floor(n * u * u * u) as bigint) as acc")
 
-    session_events = with_account(raw("events"), "event_id * 7919").selectExpr(
+def _with_account(source: Source, table: str, seed: str) -> DataFrame:
+    """``u`` in [0, 1) cubed, times the account count: a few accounts get most of the rows."""
+    accounts = source("customer").selectExpr("cast(count(*) as double) as n").scalar()
+    return (
+        source(table)
+        .withColumns({"x": F.expr(seed), "n": accounts})
+        .selectExpr("*", "cast(x % 1000003 as double) / cast(1000003 as double) as u")
+        .selectExpr("*", "cast(floor(n * u * u * u) as bigint) as acc")
+    )
+
+
+def _product_usage_events(source: Source) -> DataFrame:
+    session_events = _with_account(source, "events", "event_id * 7919").selectExpr(
         "cast(event_id as string) as event_id",
         "cast(acc as string) as account_id",
         "if(event_id % 97 = 96, null, concat('u', user_id % (3 + (acc * 13) % 70))) as user_id",
         "event_type",
         f"{_pick('event_id % 7', FEATURE_NAMES)} as feature_name",
         "cast(value as decimal(10,2)) as session_duration_minutes",
-        "cast(ts as timestamp_ntz) as event_timestamp",
+        "ts as event_timestamp",
     )
-    workflow_events = with_account(
-        raw("lineitem"), "l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 1299709"
+    workflow_events = _with_account(
+        source, "lineitem", "l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 1299709"
     ).selectExpr(
         "concat_ws('-', 'w', l_orderkey, l_linenumber) as event_id",
         "cast(acc as string) as account_id",
@@ -85,9 +108,11 @@ def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "if(x % 89 = 88, null, cast(l_quantity as decimal(10,2))) as session_duration_minutes",
         f"{_stamp('2 - x % 120', 'x % 86400')} as event_timestamp",
     )
-    usage = session_events.unionByName(workflow_events)
+    return session_events.unionByName(workflow_events)
+
 
-    engagement = customer.selectExpr("c_custkey as k", "c_custkey % 9973 as m").selectExpr(
+def _customer_engagement(source: Source) -> DataFrame:
+    return source("customer").selectExpr("c_custkey as k", "c_custkey % 9973 as m").selectExpr(
         "concat('e', k) as engagement_id",
         "concat(if(k % 19 = 18, 'x', ''), k) as account_id",
         "cast((k * 3) % 31 as int) as emails_opened",
@@ -98,7 +123,9 @@ def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         f"{_day('-((k * 11) % 80)')} as last_touch_date",
     )
 
-    opportunities = orders.selectExpr("*", "o_orderkey as k").selectExpr(
+
+def _crm_opportunities(source: Source) -> DataFrame:
+    return source("orders").selectExpr("*", "o_orderkey as k").selectExpr(
         "concat('o', k) as opportunity_id",
         "cast(o_custkey as string) as account_id",
         "case k % 16 when 0 then 'Expansion' when 1 then 'Team upsell'"
@@ -115,7 +142,9 @@ def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         f"{_day('-(1 + k * 11 % 60)')} as last_activity_date",
     )
 
-    score_history = orders.selectExpr("*", "o_orderkey as k").selectExpr(
+
+def _score_history(source: Source) -> DataFrame:
+    return source("orders").selectExpr("*", "o_orderkey as k").selectExpr(
         "concat('s', k) as score_id",
         "cast(o_custkey as string) as account_id",
         *[
@@ -127,7 +156,9 @@ def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         f"if(k % 301 = 300, null, {_day('-(30 * (1 + k % 12))')}) as calculated_at",
     )
 
-    actions = orders.selectExpr("*", "o_orderkey as k").selectExpr(
+
+def _actions(source: Source) -> DataFrame:
+    return source("orders").selectExpr("*", "o_orderkey as k").selectExpr(
         "concat('a', k) as action_id",
         "concat(if(k % 503 = 502, 'x', ''), o_custkey) as account_id",
         "concat('play ', k % 9) as recommended_action",
@@ -142,7 +173,9 @@ def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         f"{_stamp('-(k % 90)', '0')} as created_at",
     )
 
-    experiments = raw("part").selectExpr(
+
+def _experiments(source: Source) -> DataFrame:
+    return source("part").selectExpr(
         "concat('x', p_partkey) as experiment_id",
         "p_name as experiment_name",
         "cast(null as string) as hypothesis",
@@ -153,22 +186,54 @@ def base_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         f"{_stamp('-(p_partkey % 365)', '0')} as created_at",
     )
 
-    system_logs = raw("events").selectExpr(
+
+def _system_logs(source: Source) -> DataFrame:
+    return source("events").selectExpr(
         "cast(event_id as string) as log_id",
         "event_type as log_type",
         "concat('component ', user_id % 6) as component",
         "case when event_type = 'error' then 'Failed' when event_id % 9 = 0 then 'Warning'"
         " else 'Success' end as status",
         "props as message",
-        "cast(ts as timestamp_ntz) as created_at",
+        "ts as created_at",
     )
-    return {
-        "accounts": accounts,
-        "product_usage_events": usage,
-        "customer_engagement": engagement,
-        "crm_opportunities": opportunities,
-        "score_history": score_history,
-        "actions": actions,
-        "experiments": experiments,
-        "system_logs": system_logs,
-    }
+
+
+_BUILDERS = {
+    "accounts": _accounts,
+    "product_usage_events": _product_usage_events,
+    "customer_engagement": _customer_engagement,
+    "crm_opportunities": _crm_opportunities,
+    "score_history": _score_history,
+    "actions": _actions,
+    "experiments": _experiments,
+    "system_logs": _system_logs,
+}
+
+
+class BaseTables(Mapping):
+    """The tables by name, each put together when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._built: dict[str, DataFrame] = {}
+        self._source = lambda name: spark.read.schema(SOURCE_SCHEMAS[name]).parquet(
+            f"{sf_dir}/{name}.parquet"
+        )
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = _BUILDERS[name](self._source)
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(_BUILDERS)
+
+    def __len__(self) -> int:
+        return len(_BUILDERS)
+
+    def __contains__(self, name: object) -> bool:
+        return name in _BUILDERS
+
+
+def base_tables(spark: SparkSession, sf_dir: str) -> BaseTables:
+    return BaseTables(spark, sf_dir)

@@ -511,7 +511,7 @@ def _big(column: str, name: str | None = None) -> str:
 
 
 def _list(column: str, name: str) -> str:
-    entries = f"list_transform({column}, x -> coalesce(x, '{registry.NULL_ENTRY}'))"
+    entries = f"list_transform({column}, lambda x: coalesce(x, '{registry.NULL_ENTRY}'))"
     return f"array_to_string({entries}, '{registry.LIST_SEPARATOR}') AS {name}"
 
 
@@ -776,7 +776,7 @@ def _document() -> str:
         parts += [
             _text(f"\n\n{heading}\n"),
             f"array_to_string(list_transform({source}, "
-            "(t, i) -> concat('  ', i, '. ', coalesce(t, 'None'))), chr(10))",
+            "lambda t, i: concat('  ', i, '. ', coalesce(t, 'None'))), chr(10))",
         ]
     # A text with an unknown number is NULL as a whole: then its block is left out.
     parts.append(

@@ -19,25 +19,24 @@ LIST_SEPARATOR = " | "
 NULL_ENTRY = "<null>"
 
 
-def _portable_column(field: T.StructField) -> Column:
-    column = F.col(field.name)
-    kind = field.dataType
+def _portable_column(field: T.StructField) -> str:
+    name, kind = field.name, field.dataType
     if isinstance(kind, T.DecimalType):
-        column = column.cast("double")
-    elif isinstance(kind, T.IntegerType):
-        column = column.cast("bigint")
-    elif isinstance(kind, T.DateType):
-        column = column.cast("string")
-    elif isinstance(kind, T.TimestampNTZType):
-        column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
-    elif isinstance(kind, T.ArrayType):
-        column = F.array_join(column, LIST_SEPARATOR, NULL_ENTRY)
-    return column.alias(field.name)
+        return f"CAST({name} AS DOUBLE) AS {name}"
+    if isinstance(kind, T.IntegerType):
+        return f"CAST({name} AS BIGINT) AS {name}"
+    if isinstance(kind, T.DateType):
+        return f"CAST({name} AS STRING) AS {name}"
+    if isinstance(kind, T.TimestampNTZType):
+        return f"date_format({name}, 'yyyy-MM-dd HH:mm:ss') AS {name}"
+    if isinstance(kind, T.ArrayType):
+        return f"array_join({name}, '{LIST_SEPARATOR}', '{NULL_ENTRY}') AS {name}"
+    return f"`{name}`"
 
 
 def portable(df: DataFrame) -> DataFrame:
     """Types whose values look the same in every engine: money as double, dates as text."""
-    return df.select(*[_portable_column(field) for field in df.schema.fields])
+    return df.selectExpr(*[_portable_column(field) for field in df.schema.fields])
 
 
 SEARCH_TERM = " Renewal "

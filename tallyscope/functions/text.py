@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tallyscope.functions.rules import Sql, sql
 
 
-def joined(*parts: str | Column) -> Column:
-    """Concatenate constants (str) and columns, leaving out NULL parts."""
-    return F.concat_ws(
-        "", *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]
-    )
+def as_text(column: str) -> Sql:
+    return Sql(f"CAST({column} AS STRING)")
 
 
-def filled(segments: Column, values: Column) -> Column:
+def joined(*parts: str) -> Sql:
+    """Concatenate constants and columns (given as ``Sql``), leaving out NULL parts."""
+    texts = [as_text(p) if isinstance(p, Sql) else sql(p) for p in parts]
+    return Sql(f"concat_ws('', {', '.join(texts)})")
+
+
+def filled(segments: str, values: str) -> Sql:
     """Fill a template given as ``array<struct<text, field>>`` from a ``map<string,string>``.
 
     A segment is literal text or names a field; a NULL field value makes the whole text NULL.
     """
-    return F.aggregate(
-        segments,
-        F.lit(""),
-        lambda done, s: F.concat(
-            done,
-            F.when(s["field"].isNull(), s["text"]).otherwise(F.element_at(values, s["field"])),
-        ),
-    )
+    piece = f"IF(s.field IS NULL, s.text, element_at({values}, s.field))"
+    return Sql(f"aggregate({segments}, '', (done, s) -> concat(done, {piece}))")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tallyscope.functions.rules import first_match, lookup_column
+from tallyscope.functions.binding import bind_once
+from tallyscope.functions.rules import Sql, aliased, by_prefix, by_value, first_match, one_of
 from tallyscope.functions.text import joined
 from tallyscope.operators import scoring as S
 
@@ -74,17 +74,15 @@ CARRIED = (
     "expansion_level_v2",
     "customer_priority_tier_v3",
 )
+BOUND = ("risk_level_v2", "expansion_level_v2", "customer_priority_tier_v3")
 
 
 def recommended_actions(scored_v3: DataFrame, as_of: date) -> DataFrame:
-    tier = F.col("customer_priority_tier_v3")
-    health, churn, growth = F.col(S.HEALTH), F.col(S.CHURN), F.col(S.EXPANSION)
+    tier = "customer_priority_tier_v3"
+    health, churn, growth, days = map(Sql, (S.HEALTH, S.CHURN, S.EXPANSION, S.RENEWAL))
 
-    def by_level(table: dict, default: object):
-        return first_match([(tier.startswith(k), v) for k, v in table.items()], default)
-
-    def due(days: int):
-        return F.lit(as_of + timedelta(days=days))
+    def due(days_from_today: int) -> Sql:
+        return Sql(f"DATE'{as_of + timedelta(days=days_from_today)}'")
 
     # Wording of the reason by tier level; unknown numbers are left out.
     scores = (
@@ -94,34 +92,43 @@ def recommended_actions(scored_v3: DataFrame, as_of: date) -> DataFrame:
     reasons = {
         "Tier 1": joined(
             "High churn risk score of ", churn, ", health score of ", health, ", ",
-            F.col(S.RENEWAL), " days until renewal, ",
-            F.col("usage_events_last_30_days"), " usage events in the last 30 days, ",
-            F.col("support_tickets_last_30_days"), " support tickets, and ",
-            F.col("overdue_action_count"), " overdue actions.",
+            days, " days until renewal, ",
+            Sql("usage_events_last_30_days"), " usage events in the last 30 days, ",
+            Sql("support_tickets_last_30_days"), " support tickets, and ",
+            Sql("overdue_action_count"), " overdue actions.",
         ),
         "Tier 2": joined(
-            "Priority driven by ", F.col("risk_level_v2"), ", ", F.col("expansion_level_v2"), ", ",
-            F.col(S.RENEWAL), " days until renewal, churn risk score of ", churn,
+            "Priority driven by ", Sql("risk_level_v2"), ", ", Sql("expansion_level_v2"), ", ",
+            days, " days until renewal, churn risk score of ", churn,
             ", and expansion score of ", growth, ".",
         ),
         "Tier 3": joined("Account has manageable risk", *scores),
     }
+    low_urgency = joined("Account currently has low urgency", *scores)
 
-    return scored_v3.select(
-        *CARRIED,
-        lookup_column(tier, ACTION_TYPES, ACTION_TYPES[S.MONITOR]).alias("recommended_action_type"),
-        by_level(PRIORITY_BY_LEVEL, "Low").alias("recommended_action_priority"),
-        lookup_column(tier, NEXT_ACTIONS, NEXT_ACTIONS[S.MONITOR]).alias("recommended_next_action"),
-        F.when(tier.isin(*SALES_OWNED), "Account Executive")
-        .otherwise(by_level(OWNER_BY_LEVEL, "Revenue Operations"))
-        .alias("suggested_owner_role"),
-        first_match(
-            [(tier == k, due(d)) for k, d in DAYS_BY_TIER.items()]
-            + [(tier.startswith(k), due(d)) for k, d in DAYS_BY_LEVEL.items()],
-            due(30),
-        ).alias("recommended_due_date"),
-        by_level(reasons, joined("Account currently has low urgency", *scores)).alias(
-            "recommendation_reason"
+    labelled = bind_once(
+        scored_v3,
+        tuple(name for name in CARRIED if name not in BOUND),
+        {name: Sql(name) for name in BOUND},
+    )
+    return labelled.select(*CARRIED).selectExpr(
+        "*",
+        *aliased(
+            {
+                "recommended_action_type": by_value(tier, ACTION_TYPES, ACTION_TYPES[S.MONITOR]),
+                "recommended_action_priority": by_prefix(tier, PRIORITY_BY_LEVEL, "Low"),
+                "recommended_next_action": by_value(tier, NEXT_ACTIONS, NEXT_ACTIONS[S.MONITOR]),
+                "suggested_owner_role": first_match(
+                    [(one_of(tier, SALES_OWNED), "Account Executive")],
+                    by_prefix(tier, OWNER_BY_LEVEL, "Revenue Operations"),
+                ),
+                "recommended_due_date": by_value(
+                    tier,
+                    {name: due(n) for name, n in DAYS_BY_TIER.items()},
+                    by_prefix(tier, {name: due(n) for name, n in DAYS_BY_LEVEL.items()}, due(30)),
+                ),
+                "recommendation_reason": by_prefix(tier, reasons, low_urgency),
+                "recommendation_model_version": "phase_13_v1_rule_based_recommended_actions",
+            }
         ),
-        F.lit("phase_13_v1_rule_based_recommended_actions").alias("recommendation_model_version"),
     )

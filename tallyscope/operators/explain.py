@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyscope.functions.rules import Sql, sql
+from tallyscope.functions.text import as_text
+
 MISSING = "—"
 
 # Headings, field names with their padded width, and the blocks of the document.
@@ -79,53 +82,47 @@ LIST_BLOCKS = {
 }
 
 
-def _given(column: str) -> Column:
-    return F.nullif(F.col(column).cast("string"), F.lit(""))
+def _given(column: str) -> Sql:
+    return Sql(f"nullif({as_text(column)}, '')")
 
 
-def _shown(column: str) -> Column:
-    return F.coalesce(_given(column), F.lit(MISSING))
+def _shown(column: str) -> Sql:
+    return Sql(f"coalesce({_given(column)}, {sql(MISSING)})")
 
 
-def _field_line(name: str, width: int, column: str, bracketed: str | None) -> Column:
-    parts = [F.lit(f"  {name:<{width}}"), _shown(column)]
+def _field_line(name: str, width: int, column: str, bracketed: str | None) -> Sql:
+    parts = [sql(f"  {name:<{width}}"), _shown(column)]
     if bracketed:
-        parts += [F.lit("  ("), _shown(bracketed), F.lit(")")]
-    return F.concat(*parts)
+        parts += [sql("  ("), _shown(bracketed), sql(")")]
+    return Sql(f"concat({', '.join(parts)})")
 
 
-def _text_block(column: str) -> Column:
-    return F.concat(F.lit(f"\n{TEXT_BLOCKS[column]}\n  "), _given(column))
+def _text_block(column: str) -> Sql:
+    return Sql(f"concat({sql(chr(10) + TEXT_BLOCKS[column] + chr(10) + '  ')}, {_given(column)})")
 
 
-def _list_block(column: str) -> Column:
-    lines = F.transform(
-        F.col(column),
-        lambda text, place: F.concat(
-            F.lit("  "), (place + 1).cast("string"), F.lit(". "), F.coalesce(text, F.lit("None"))
-        ),
-    )
-    return F.when(
-        F.size(column) > 0,
-        F.concat(F.lit(f"\n{LIST_BLOCKS[column]}\n"), F.array_join(lines, "\n")),
-    )
+def _list_block(column: str) -> Sql:
+    line = "concat('  ', CAST(i + 1 AS STRING), '. ', coalesce(t, 'None'))"
+    listed = f"array_join(transform({column}, (t, i) -> {line}), {sql(chr(10))})"
+    heading = sql(f"\n{LIST_BLOCKS[column]}\n")
+    return Sql(f"IF(size({column}) > 0, concat({heading}, {listed}), NULL)")
 
 
 def explanation_context(intelligence: DataFrame) -> DataFrame:
     """One document per account; blocks without content are left out."""
-    lines = [F.lit(TITLE)]
+    lines = [sql(TITLE)]
     for heading, width, fields in FIELD_BLOCKS:
-        lines.append(F.lit(f"\n{heading}"))
+        lines.append(sql(f"\n{heading}"))
         lines += [_field_line(name, width, c, bracketed) for name, c, bracketed in fields]
-    yes_no = F.when(F.col("needs_human_review"), "Yes").otherwise("No")
     lines += [
-        F.concat(F.lit(REVIEW_FLAG), yes_no),
-        F.concat(F.lit(REVIEW_REASON), _given("human_review_reason")),
+        Sql(f"concat({sql(REVIEW_FLAG)}, IF(needs_human_review, 'Yes', 'No'))"),
+        Sql(f"concat({sql(REVIEW_REASON)}, {_given('human_review_reason')})"),
         _text_block("recommended_next_action"),
         *[_list_block(column) for column in LIST_BLOCKS],
         _text_block("escalation_guidance"),
     ]
-    return intelligence.select("account_id", F.concat_ws("\n", *lines).alias("context_text"))
+    document = Sql(f"concat_ws({sql(chr(10))}, {', '.join(lines)})")
+    return intelligence.selectExpr("account_id", f"{document} AS context_text")
 
 
 TEXT_FIELDS = (

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import operator
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.functions.rules import Bands, band_column, first_match, lookup_column
+from tallyscope.functions.rules import Bands, aliased, by_bands, by_value, first_match, sql
 from tallyscope.operators import scoring as S
 from tallyscope.operators.intelligence import MOTIONS
 from tallyscope.operators.queues import priority_order, top
@@ -63,12 +60,10 @@ TONE_WORDS = (("success", ("expand",)), ("warning", ("churn", "save", "recover")
 
 
 def urgency_score() -> Column:
-    points = (
-        lookup_column(F.col("recommended_action_priority"), PRIORITY_POINTS, 0)
-        + lookup_column(F.col("risk_level"), RISK_POINTS, 0)
-        + F.when(F.col("needs_human_review"), REVIEW_POINTS).otherwise(0)
-    )
-    return (points + F.col(S.CHURN)).cast("decimal(8,2)")
+    priority = by_value("recommended_action_priority", PRIORITY_POINTS, 0)
+    risk = by_value("risk_level", RISK_POINTS, 0)
+    review = f"IF(needs_human_review, {REVIEW_POINTS}, 0)"
+    return F.expr(f"CAST({priority} + {risk} + {review} + {S.CHURN} AS DECIMAL(8,2))")
 
 
 def with_urgency(intelligence: DataFrame) -> DataFrame:
@@ -84,8 +79,8 @@ def account_search(intelligence: DataFrame, term: str) -> DataFrame:
     wanted = term.strip().lower()
     if not wanted:
         return intelligence
-    hits = [F.coalesce(F.lower(name).contains(wanted), F.lit(False)) for name in SEARCHED]
-    return intelligence.where(reduce(operator.or_, hits))
+    hits = [f"coalesce(contains(lower({name}), {sql(wanted)}), FALSE)" for name in SEARCHED]
+    return intelligence.where(" OR ".join(hits))
 
 
 def priority_queue(intelligence: DataFrame, term: str = "", limit: int = 5) -> DataFrame:
@@ -152,11 +147,9 @@ def risk_totals(risk_summary: DataFrame) -> DataFrame:
     )
 
 
-def _tone(label: Column) -> Column:
-    return first_match(
-        [(F.lower(label).contains(word), tone) for tone, words in TONE_WORDS for word in words],
-        "neutral",
-    )
+def _tone(label: str) -> Column:
+    tones = [(f"contains(lower({label}), '{w}')", tone) for tone, ws in TONE_WORDS for w in ws]
+    return F.expr(first_match(tones, "neutral"))
 
 
 def action_mix(action_summary: DataFrame, limit: int = 5) -> DataFrame:
@@ -184,7 +177,7 @@ def action_mix(action_summary: DataFrame, limit: int = 5) -> DataFrame:
         "position",
         "recommended_action_type",
         "account_count",
-        _tone(F.col("recommended_action_type")).alias("tone"),
+        _tone("recommended_action_type").alias("tone"),
         "high_priority_accounts",
     )
 
@@ -225,22 +218,13 @@ def review_queue(intelligence: DataFrame) -> DataFrame:
 
 
 def display_bands(intelligence: DataFrame) -> DataFrame:
-    def band(name: str, part: int) -> Column:
-        source, rungs, default = DISPLAY_BANDS[name]
-        return band_column(
-            Bands(source, tuple((">=", r[0], r[1 + part]) for r in rungs), default[part])
-        )
-
-    return intelligence.select(
-        "account_id",
-        S.HEALTH,
-        S.CHURN,
-        S.EXPANSION,
-        *[
-            band(name, part).alias(f"{name}_{kind}")
-            for name in DISPLAY_BANDS
-            for part, kind in enumerate(("label", "tone"))
-        ],
+    columns = {}
+    for name, (source, rungs, default) in DISPLAY_BANDS.items():
+        for part, kind in enumerate(("label", "tone")):
+            bands = Bands(source, tuple((">=", r[0], r[1 + part]) for r in rungs), default[part])
+            columns[f"{name}_{kind}"] = by_bands(bands)
+    return intelligence.selectExpr(
+        "account_id", S.HEALTH, S.CHURN, S.EXPANSION, *aliased(columns)
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.numbers import average_of, day, days_from
-from tallyscope.functions.rules import Bands, band_column
+from tallyscope.functions.rules import Bands, by_bands
 from tallyscope.operators.joins import fan_out_left_join
 from tallyscope.sources.readers import Tables
 
@@ -66,7 +66,7 @@ def engagement_features(engagement: DataFrame, as_of: date) -> DataFrame:
         F.when(opened > 0, F.round(reply_share * 100, 2).cast("decimal(14,2)"))
         .otherwise(F.lit(0).cast("decimal(14,2)"))
         .alias("email_reply_rate_percent"),
-        *[band_column(bands).alias(name) for name, bands in ENGAGEMENT_LABELS.items()],
+        *[F.expr(by_bands(bands)).alias(name) for name, bands in ENGAGEMENT_LABELS.items()],
     )
 
 
@@ -240,20 +240,14 @@ FEATURE_COLUMNS = (
     *ACTION_COLUMNS,
 )
 
-# Without a matching row these stay unknown; every other joined number becomes 0.
-LEFT_UNKNOWN = {
-    "last_product_event_at",
-    "days_since_last_product_event",
-    "nps_score",
-    "last_touch_date",
-    "days_since_last_touch",
-    "meeting_engagement_level",
-    "support_pressure_level",
-    "nps_category",
-    "next_expected_close_date",
-    "days_since_last_crm_activity",
-    "next_open_action_due_date",
-    *SCORE_COLUMNS,
+# Joined numbers that become 0 without a matching row; all other columns stay unknown.
+ZERO_FILLED = {
+    *USAGE_COLUMNS[:7],
+    *ENGAGEMENT_COLUMNS[:4],
+    "email_reply_rate_percent",
+    *OPPORTUNITY_COLUMNS[:4],
+    "expansion_opportunity_count",
+    *ACTION_COLUMNS[:9],
 }
 
 
@@ -274,17 +268,20 @@ def account_features(tables: Tables, as_of: date) -> DataFrame:
     joined = fan_out_left_join(
         unique_per_account, engagement, "account_id", spread_by="engagement_id"
     )
-    zero_filled = {
-        name: F.coalesce(F.col(name), F.lit(0).cast(joined.schema[name].dataType))
-        for name in (*USAGE_COLUMNS, *ENGAGEMENT_COLUMNS, *OPPORTUNITY_COLUMNS, *ACTION_COLUMNS)
-        if name in joined.columns and name not in LEFT_UNKNOWN
+    derived = {
+        "days_until_renewal": f"datediff(renewal_date, DATE'{as_of}')",
+        "days_until_next_expected_close": f"datediff(next_expected_close_date, DATE'{as_of}')",
+        "avg_session_duration_minutes": (
+            "CAST(coalesce(avg_session_duration_minutes, 0) AS DECIMAL(10,2))"
+        ),
     }
-    return joined.withColumns(
-        {
-            **zero_filled,
-            "days_until_renewal": days_from(day(as_of), F.col("renewal_date")),
-            "days_until_next_expected_close": days_from(
-                day(as_of), F.col("next_expected_close_date")
-            ),
-        }
-    ).select(*FEATURE_COLUMNS)
+    return joined.selectExpr(
+        *[
+            f"{derived[name]} AS {name}"
+            if name in derived
+            else f"coalesce({name}, 0) AS {name}"
+            if name in ZERO_FILLED
+            else name
+            for name in FEATURE_COLUMNS
+        ]
+    )

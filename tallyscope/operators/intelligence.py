@@ -6,16 +6,18 @@ import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from tallyscope.functions.binding import with_sql
 from tallyscope.functions.rules import (
     Bands,
     Cond,
     Rule,
-    band_column,
+    Sql,
+    by_bands,
+    by_rules,
+    by_value,
     condition,
     first_match,
-    lookup_column,
 )
 from tallyscope.functions.text import joined
 from tallyscope.operators import scoring as S
@@ -116,53 +118,51 @@ INTELLIGENCE_COLUMNS = (
 )
 
 
-def _review_reason():
+def _review_reason() -> Sql:
     before, column, after = re.split(r"[{}]", REVIEW_REASONS[-1].result)
-    fixed = [(condition(rule.tests), rule.result) for rule in REVIEW_REASONS[:-1]]
-    counted = (condition(REVIEW_REASONS[-1].tests), joined(before, F.col(column), after))
-    return first_match([*fixed, counted], NO_REVIEW)
+    counted = Rule(joined(before, Sql(column), after), REVIEW_REASONS[-1].tests)
+    return by_rules([*REVIEW_REASONS[:-1], counted], NO_REVIEW)
 
 
-def _context_sentence():
+def _context_sentence() -> Sql:
     """Fixed wording; unknown values are left out."""
     return joined(
-        F.col("company_name"), " is a ", F.col("segment"), " ", F.col("industry"),
-        " account on the ", F.col("plan_type"), " plan. Health score is ", F.col(S.HEALTH),
-        ", churn risk score is ", F.col(S.CHURN), ", expansion score is ", F.col(S.EXPANSION),
-        ". The account is categorized as ", F.col("risk_level"),
-        " with ", F.col("expansion_level"),
-        ". Recommended action: ", F.col("recommended_action_type"),
-        ". Reason: ", F.col("recommendation_reason"),
+        Sql("company_name"), " is a ", Sql("segment"), " ", Sql("industry"),
+        " account on the ", Sql("plan_type"), " plan. Health score is ", Sql(S.HEALTH),
+        ", churn risk score is ", Sql(S.CHURN), ", expansion score is ", Sql(S.EXPANSION),
+        ". The account is categorized as ", Sql("risk_level"),
+        " with ", Sql("expansion_level"),
+        ". Recommended action: ", Sql("recommended_action_type"),
+        ". Reason: ", Sql("recommendation_reason"),
     )
 
 
 def account_intelligence(recommended: DataFrame, plays: Sequence[Play] = PLAYS) -> DataFrame:
     """The playbook is a function of the same row, so it is added in place instead of joined."""
-    tier = F.col("customer_priority_tier")
+    tier = "customer_priority_tier"
     named = with_playbook(recommended, plays).withColumnsRenamed(
         {
             "risk_level_v2": "risk_level",
             "expansion_level_v2": "expansion_level",
-            "customer_priority_tier_v3": "customer_priority_tier",
+            "customer_priority_tier_v3": tier,
         }
     )
-    return named.withColumns(
+    return with_sql(
+        named,
         {
-            **{name: band_column(bands) for name, bands in STATUS_BANDS.items()},
+            **{name: by_bands(bands) for name, bands in STATUS_BANDS.items()},
             "primary_business_motion": first_match(
-                [(tier.startswith("Tier 1"), TIER_1_MOTION)]
-                + [(tier.contains(word), motion) for word, motion in MOTION_BY_WORD.items()],
+                [(f"startswith({tier}, 'Tier 1')", TIER_1_MOTION)]
+                + [(f"contains({tier}, '{w}')", motion) for w, motion in MOTION_BY_WORD.items()],
                 DEFAULT_MOTION,
             ),
-            "dashboard_priority_rank": lookup_column(
-                F.col("recommended_action_priority"), PRIORITY_RANK, 4
-            ),
+            "dashboard_priority_rank": by_value("recommended_action_priority", PRIORITY_RANK, 4),
             "needs_human_review": first_match(
                 [(condition(rule.tests), True) for rule in REVIEW_REASONS], False
             ),
             "human_review_reason": _review_reason(),
             "ai_explanation_context": _context_sentence(),
-            "intelligence_view_version": F.lit(VERSION),
-            "account_name": F.col("company_name"),
-        }
+            "intelligence_view_version": VERSION,
+            "account_name": Sql("company_name"),
+        },
     ).select(*INTELLIGENCE_COLUMNS)

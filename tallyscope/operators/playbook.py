@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import json
-import operator
 import re
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tallyscope.functions.rules import first_match
-from tallyscope.functions.text import filled
+from tallyscope.functions.binding import with_sql
+from tallyscope.functions.rules import Sql, aliased, every, first_match, sql
+from tallyscope.functions.text import as_text, filled
 from tallyscope.operators import scoring as S
 from tallyscope.plans.playbook_content import PLAYS, Play
 
@@ -35,18 +33,10 @@ FIELDS = {
     "due": "recommended_due_date",
 }
 
-_SEGMENTS = T.ArrayType(
-    T.StructType([T.StructField("text", T.StringType()), T.StructField("field", T.StringType())])
-)
-_CONTENT = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("immediate", T.ArrayType(_SEGMENTS)),
-            T.StructField("phase_2", T.ArrayType(_SEGMENTS)),
-            T.StructField("metrics", T.ArrayType(_SEGMENTS)),
-            T.StructField("escalation", _SEGMENTS),
-        ]
-    )
+_SEGMENTS = "ARRAY<STRUCT<text: STRING, field: STRING>>"
+_CONTENT = (
+    f"ARRAY<STRUCT<immediate: ARRAY<{_SEGMENTS}>, phase_2: ARRAY<{_SEGMENTS}>,"
+    f" metrics: ARRAY<{_SEGMENTS}>, escalation: {_SEGMENTS}>>"
 )
 
 CARRIED = (
@@ -78,30 +68,30 @@ TEXT_COLUMNS = (
 )
 
 
-def signals() -> dict[str, Column]:
+def signals() -> dict[str, Sql]:
     """The 13 yes/no signals; an unknown input leaves a signal NULL."""
-    tickets, usage = F.col("support_tickets_last_30_days"), F.col("usage_events_last_30_days")
-    users, nps, days = F.col("active_users_last_30_days"), F.col("nps_score"), F.col(S.RENEWAL)
+    tickets, usage = "support_tickets_last_30_days", "usage_events_last_30_days"
     # Thresholds.
-    return {
-        "high_support": tickets >= 5,
-        "moderate_support": (tickets >= 3) & (tickets < 5),
-        "low_usage": usage <= 15,
-        "high_usage": usage >= 50,
-        "very_low_users": users <= 5,
-        "low_nps": nps <= 5,
-        "high_nps": nps >= 8,
-        "renewal_imminent": days <= 30,
-        "renewal_near": days <= 90,
-        "very_high_churn": F.col(S.CHURN) >= 60,
-        "healthy": F.col(S.HEALTH) >= 65,
-        "strong_expansion": F.col(S.EXPANSION) >= 65,
-        "has_overdue": F.col("overdue_action_count") >= 2,
+    texts = {
+        "high_support": f"{tickets} >= 5",
+        "moderate_support": f"{tickets} >= 3 AND {tickets} < 5",
+        "low_usage": f"{usage} <= 15",
+        "high_usage": f"{usage} >= 50",
+        "very_low_users": "active_users_last_30_days <= 5",
+        "low_nps": "nps_score <= 5",
+        "high_nps": "nps_score >= 8",
+        "renewal_imminent": f"{S.RENEWAL} <= 30",
+        "renewal_near": f"{S.RENEWAL} <= 90",
+        "very_high_churn": f"{S.CHURN} >= 60",
+        "healthy": f"{S.HEALTH} >= 65",
+        "strong_expansion": f"{S.EXPANSION} >= 65",
+        "has_overdue": "overdue_action_count >= 2",
     }
+    return {name: Sql(text) for name, text in texts.items()}
 
 
 def playbook_signals(recommended: DataFrame) -> DataFrame:
-    return recommended.withColumns(signals())
+    return with_sql(recommended, signals())
 
 
 def _segments(template: str) -> list[dict[str, str]]:
@@ -113,7 +103,7 @@ def _segments(template: str) -> list[dict[str, str]]:
     ]
 
 
-def _content(plays: Sequence[Play]) -> Column:
+def _content(plays: Sequence[Play]) -> Sql:
     """All branches in order as one constant, so that using the texts needs no join."""
     branches = [
         {
@@ -125,62 +115,58 @@ def _content(plays: Sequence[Play]) -> Column:
         for play in plays
         for branch in play.branches
     ]
-    return F.from_json(F.lit(json.dumps(branches)), _CONTENT)
+    return Sql(f"from_json({sql(json.dumps(branches))}, '{_CONTENT}')")
 
 
-def _applies(play: Play, names: Sequence[str], signal: dict[str, Column]) -> Column:
-    tests = [signal[name] for name in names]
-    if play.action_type is not None:
-        tests.insert(0, F.col("recommended_action_type") == play.action_type)
-    return reduce(operator.and_, tests, F.lit(True))
+def _applies(play: Play, names: Sequence[str]) -> Sql:
+    known = signals()
+    tests = [] if play.action_type is None else [f"recommended_action_type = {sql(play.action_type)}"]
+    return every([*tests, *[known[name] for name in names]])
 
 
-def branch_number(plays: Sequence[Play] = PLAYS) -> Column:
+def branch_number(plays: Sequence[Play] = PLAYS) -> Sql:
     """1-based place of the branch among all branches of all plays."""
-    known, places = signals(), []
-    for play in plays:
-        for branch in play.branches:
-            places.append((_applies(play, branch.signals, known), len(places) + 1))
-    return first_match(places, F.lit(None).cast("int"))
+    tests = [_applies(play, branch.signals) for play in plays for branch in play.branches]
+    return first_match([(test, place) for place, test in enumerate(tests, 1)], None)
 
 
-def timeline(plays: Sequence[Play] = PLAYS) -> Column:
-    known = signals()
+def timeline(plays: Sequence[Play] = PLAYS) -> Sql:
     return first_match(
-        [
-            (_applies(play, names, known), label)
-            for play in plays
-            for names, label in play.timeline
-        ],
-        F.lit(None).cast("string"),
+        [(_applies(play, names), label) for play in plays for names, label in play.timeline], None
     )
 
 
 def with_playbook(recommended: DataFrame, plays: Sequence[Play] = PLAYS) -> DataFrame:
     """Add the playbook columns to each row; a projection only, no join and no shuffle."""
-    values = F.create_map(
-        *[part for name, c in FIELDS.items() for part in (F.lit(name), _shown(name, c))]
+    values = ", ".join(f"{sql(name)}, {_shown(name, c)}" for name, c in FIELDS.items())
+    kept = recommended.columns
+    chosen = recommended.selectExpr(
+        "*",
+        f"element_at({_content(plays)}, {branch_number(plays)}) AS __branch",
+        f"map({values}) AS __values",
     )
-    branch = F.element_at(_content(plays), branch_number(plays))
 
-    def texts(name: str) -> Column:
-        return F.transform(branch[name], lambda template: filled(template, values))
-
-    return recommended.withColumns(
-        {
-            "immediate_next_steps": texts("immediate"),
-            "phase_2_next_steps": texts("phase_2"),
-            "success_metrics": texts("metrics"),
-            "escalation_guidance": filled(branch["escalation"], values),
-            "timeline_label": timeline(plays),
-            "playbook_version": F.lit(VERSION),
-        }
+    def texts(name: str) -> Sql:
+        one = filled("template", "__values")
+        return Sql(f"transform(__branch.{name}, template -> {one})")
+
+    return chosen.selectExpr(
+        *kept,
+        *aliased(
+            {
+                "immediate_next_steps": texts("immediate"),
+                "phase_2_next_steps": texts("phase_2"),
+                "success_metrics": texts("metrics"),
+                "escalation_guidance": filled("__branch.escalation", "__values"),
+                "timeline_label": timeline(plays),
+                "playbook_version": VERSION,
+            }
+        ),
     )
 
 
-def _shown(name: str, column: str) -> Column:
-    text = F.col(column).cast("string")
-    return F.coalesce(text, F.lit("TBD")) if name == "due" else text
+def _shown(name: str, column: str) -> Sql:
+    return Sql(f"coalesce({as_text(column)}, 'TBD')") if name == "due" else as_text(column)
 
 
 def action_playbook(recommended: DataFrame, plays: Sequence[Play] = PLAYS) -> DataFrame:
@@ -192,17 +178,9 @@ def action_playbook(recommended: DataFrame, plays: Sequence[Play] = PLAYS) -> Da
 def playbook_steps(playbook: DataFrame) -> DataFrame:
     """One row per list entry: account, list, position from 1, text."""
 
-    def listed(name: str) -> Column:
-        return F.transform(
-            F.col(name),
-            lambda text, place: F.struct(
-                F.lit(name).alias("list_name"),
-                (place + 1).alias("step_number"),
-                text.alias("step_text"),
-            ),
-        )
-
-    every = F.concat(
-        listed("immediate_next_steps"), listed("phase_2_next_steps"), listed("success_metrics")
+    lists = ", ".join(
+        f"transform({name}, (t, i) ->"
+        f" struct('{name}' AS list_name, i + 1 AS step_number, t AS step_text))"
+        for name in ("immediate_next_steps", "phase_2_next_steps", "success_metrics")
     )
-    return playbook.select("account_id", F.inline(every))
+    return playbook.selectExpr("account_id", f"inline(concat({lists}))")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.functions.rules import lookup_column
+from tallyscope.functions.rules import by_value
 from tallyscope.operators import scoring as S
 from tallyscope.sources.readers import Tables
 from tallyscope.sources.schemas import ACCOUNT_CHILDREN, CONTRACTS
@@ -70,7 +70,7 @@ def row_counts(tables: Tables) -> DataFrame:
 
 def row_count_check(tables: Tables, expected: Mapping[str, int]) -> DataFrame:
     """A different count is a warning, never a failure."""
-    wanted = lookup_column(F.col("table_name"), expected, F.lit(None).cast("bigint"))
+    wanted = F.expr(by_value("table_name", expected, None))
     return row_counts({name: df for name, df in tables.items() if name in expected}).select(
         F.lit("row_count").alias("check"),
         "table_name",

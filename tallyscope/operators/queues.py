@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.functions.rules import lookup_column
+from tallyscope.functions.rules import by_value
 from tallyscope.operators import scoring as S
 from tallyscope.operators.intelligence import MOTIONS, PRIORITY_RANK
 from tallyscope.operators.rollups import AT_RISK
@@ -151,7 +151,7 @@ def top_review(intelligence: DataFrame, limit: int = 10) -> DataFrame:
             "days_until_renewal",
         ),
         [
-            lookup_column(F.col("recommended_action_priority"), PRIORITY_RANK, 4).asc(),
+            F.expr(by_value("recommended_action_priority", PRIORITY_RANK, 4)).asc(),
             F.col("account_id").asc(),
         ],
         limit,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.numbers import average
-from tallyscope.functions.rules import first_match
+from tallyscope.functions.rules import by_value
 from tallyscope.operators import scoring as S
 
 # Severity orders and version stamps.
@@ -16,10 +16,7 @@ AT_RISK = ("Critical Risk", "High Risk")
 
 
 def place_in(column: str, order: tuple[str, ...]) -> Column:
-    return first_match(
-        [(F.col(column) == value, place) for place, value in enumerate(order, 1)],
-        F.lit(None).cast("int"),
-    )
+    return F.expr(by_value(column, {name: n for n, name in enumerate(order, 1)}, None))
 
 
 def _rows() -> Column:

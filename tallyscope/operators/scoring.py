@@ -6,10 +6,10 @@ from dataclasses import dataclass
 from datetime import date
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tallyscope.functions.rules import Bands, Cond, Rule, band_column, rule_column
+from tallyscope.functions.binding import bind_once, with_sql
+from tallyscope.functions.rules import Bands, Cond, Rule, Sql, by_bands, by_rules, first_match
 
 # Thresholds and points of the component bands. A NULL signal takes the default.
 COMPONENT_BANDS = {
@@ -79,7 +79,7 @@ HEALTH = "computed_health_score"
 CHURN = "computed_churn_risk_score"
 EXPANSION = "computed_expansion_score"
 RENEWAL = "days_until_renewal"
-SCORE_TYPE = "decimal(5,2)"
+SCORE_TYPE = "DECIMAL(5,2)"
 
 # Label names and thresholds.
 EXPANSION_LEVELS = Bands(
@@ -214,45 +214,49 @@ SCORING_INPUTS = (
 
 
 def component_scores(features: DataFrame) -> DataFrame:
-    return features.select(
-        *SCORING_INPUTS, *[band_column(b).alias(name) for name, b in COMPONENT_BANDS.items()]
+    return with_sql(
+        features.select(*SCORING_INPUTS),
+        {name: by_bands(bands) for name, bands in COMPONENT_BANDS.items()},
     )
 
 
-def _weighted(weights: dict[str, int], missing_points: bool = False) -> Column:
-    def points(name: str) -> Column:
-        turned = missing_points and name not in RISING_WITH_CHURN
-        return F.lit(100) - F.col(name) if turned else F.col(name)
+def _weighted(weights: dict[str, int], missing_points: bool = False) -> Sql:
+    def points(name: str) -> str:
+        return f"(100 - {name})" if missing_points and name not in RISING_WITH_CHURN else name
 
-    hundredfold = sum((points(name) * weight for name, weight in weights.items()), F.lit(0))
-    return (hundredfold * F.lit(Decimal("0.01"))).cast(SCORE_TYPE)
+    total = " + ".join(f"{weight} * {points(name)}" for name, weight in weights.items())
+    return Sql(f"CAST(({total}) * 0.01 AS {SCORE_TYPE})")
 
 
 def composite_scores(components: DataFrame) -> DataFrame:
-    scored = components.withColumns(
+    scored = bind_once(
+        components,
+        (*SCORING_INPUTS, *COMPONENT_BANDS),
         {
             HEALTH: _weighted(HEALTH_WEIGHTS),
             CHURN: _weighted(CHURN_WEIGHTS, missing_points=True),
             "raw_expansion_score": _weighted(EXPANSION_WEIGHTS),
-        }
+        },
     )
-    raw, damped = F.col("raw_expansion_score"), F
-    for from_churn, factor in EXPANSION_DAMPING:
-        damped = damped.when(
-            F.col(CHURN) >= from_churn, F.round(raw * F.lit(factor), 2).cast(SCORE_TYPE)
+    damped = [
+        (
+            f"{CHURN} >= {from_churn}",
+            Sql(f"CAST(round(raw_expansion_score * {factor}, 2) AS {SCORE_TYPE})"),
         )
-    return scored.withColumn(EXPANSION, damped.otherwise(raw))
+        for from_churn, factor in EXPANSION_DAMPING
+    ]
+    return with_sql(scored, {EXPANSION: first_match(damped, Sql("raw_expansion_score"))})
 
 
 def label(scored: DataFrame, model: LabelModel) -> DataFrame:
     columns = {}
     if model.risk_levels:
-        columns[model.risk_column] = band_column(model.risk_levels)
+        columns[model.risk_column] = by_bands(model.risk_levels)
     if model.expansion_column:
-        columns[model.expansion_column] = band_column(EXPANSION_LEVELS)
-    columns[model.tier_column] = rule_column(model.tiers, MONITOR)
-    columns[model.version_column] = F.lit(model.version)
-    return scored.withColumns(columns)
+        columns[model.expansion_column] = by_bands(EXPANSION_LEVELS)
+    columns[model.tier_column] = by_rules(model.tiers, MONITOR)
+    columns[model.version_column] = model.version
+    return with_sql(scored, columns)
 
 
 def score_v1(features: DataFrame, as_of: date) -> DataFrame:
