@@ -179,7 +179,7 @@ RELATIONS: dict[str, Callable[[Portfolio], DataFrame]] = {
     "risk_summary": lambda p: rollups.risk_summary(p.intelligence),
     "action_summary": lambda p: rollups.action_summary(p.intelligence),
     "owner_workload": lambda p: rollups.owner_workload(p.intelligence),
-    "accounts_ranked": lambda p: queues.accounts_ranked(p.intelligence),
+    "accounts_ranked": lambda p: queues.listed(p.with_texts(queues.accounts_ranked(p.labels))),
     "high_risk": lambda p: _slim(queues.high_risk(p.intelligence)),
     "expansion_ready": lambda p: _slim(queues.expansion_ready(p.intelligence)),
     "review_needed": lambda p: _slim(queues.review_needed(p.intelligence), "human_review_reason"),

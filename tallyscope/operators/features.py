@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.numbers import average_of, day, days_from
@@ -94,23 +94,24 @@ def opportunity_features(opportunities: DataFrame, as_of: date) -> DataFrame:
 def latest_scores(score_history: DataFrame) -> DataFrame:
     """Newest row per account; a missing date counts as newest, equal dates go by ``score_id``.
 
-    The rank filter is pushed below the shuffle, so each task forwards one row per account.
+    As an aggregate, not a window: each task forwards one row per account, and Catalyst knows the
+    result to be unique by account, so reports without these columns skip the whole branch.
     """
-    newest = Window.partitionBy("account_id").orderBy(
-        F.col("calculated_at").desc_nulls_first(), F.col("score_id").asc()
+    age = F.struct(
+        F.col("calculated_at").isNotNull(),
+        -F.unix_date("calculated_at"),
+        F.col("score_id"),
     )
-    return (
-        score_history.withColumn("__rank", F.row_number().over(newest))
-        .where(F.col("__rank") == 1)
-        .select(
-            "score_id",
-            "account_id",
-            F.col("health_score").alias("latest_health_score"),
-            F.col("churn_score").alias("latest_churn_score"),
-            F.col("expansion_score").alias("latest_expansion_score"),
-            F.col("score_reason").alias("latest_score_reason"),
-            F.col("calculated_at").alias("latest_score_date"),
-        )
+    row = F.struct(*[name for name in score_history.columns if name != "account_id"])
+    newest = score_history.groupBy("account_id").agg(F.min_by(row, age).alias("__newest"))
+    return newest.select(
+        F.col("__newest.score_id").alias("score_id"),
+        "account_id",
+        F.col("__newest.health_score").alias("latest_health_score"),
+        F.col("__newest.churn_score").alias("latest_churn_score"),
+        F.col("__newest.expansion_score").alias("latest_expansion_score"),
+        F.col("__newest.score_reason").alias("latest_score_reason"),
+        F.col("__newest.calculated_at").alias("latest_score_date"),
     )
 
 

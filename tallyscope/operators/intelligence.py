@@ -21,7 +21,7 @@ from tallyscope.functions.rules import (
 )
 from tallyscope.functions.text import joined
 from tallyscope.operators import scoring as S
-from tallyscope.operators.playbook import PLAYS, TEXT_COLUMNS, Play, with_playbook
+from tallyscope.operators.playbook import PLAYS, Play, with_playbook
 
 VERSION = "phase_14_v3_dashboard_ready_account_intelligence_with_review_reason"
 
@@ -74,7 +74,7 @@ REVIEW_REASONS = (
 )
 NO_REVIEW = "No manual review required based on current rules."
 
-INTELLIGENCE_COLUMNS = (
+LABEL_COLUMNS = (
     "account_id",
     "company_name",
     "industry",
@@ -114,7 +114,6 @@ INTELLIGENCE_COLUMNS = (
     "ai_explanation_context",
     "intelligence_view_version",
     "account_name",
-    *TEXT_COLUMNS,
 )
 
 
@@ -137,10 +136,10 @@ def _context_sentence() -> Sql:
     )
 
 
-def account_intelligence(recommended: DataFrame, plays: Sequence[Play] = PLAYS) -> DataFrame:
-    """The playbook is a function of the same row, so it is added in place instead of joined."""
+def account_labels(recommended: DataFrame) -> DataFrame:
+    """The wide row without the playbook texts: enough for every filter, order and roll-up."""
     tier = "customer_priority_tier"
-    named = with_playbook(recommended, plays).withColumnsRenamed(
+    named = recommended.withColumnsRenamed(
         {
             "risk_level_v2": "risk_level",
             "expansion_level_v2": "expansion_level",
@@ -165,4 +164,9 @@ def account_intelligence(recommended: DataFrame, plays: Sequence[Play] = PLAYS)
             "intelligence_view_version": VERSION,
             "account_name": Sql("company_name"),
         },
-    ).select(*INTELLIGENCE_COLUMNS)
+    ).select(*LABEL_COLUMNS)
+
+
+def account_intelligence(recommended: DataFrame, plays: Sequence[Play] = PLAYS) -> DataFrame:
+    """The playbook is a function of the same row, so it is added in place instead of joined."""
+    return with_playbook(account_labels(recommended), plays)

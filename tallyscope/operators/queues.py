@@ -1,4 +1,7 @@
-"""Ranked and filtered account lists.
+"""Ranked and filtered account lists, over intelligence rows or over the labels alone.
+
+Sorting labels and adding the texts afterwards (``Portfolio.with_texts``) keeps the texts out of
+the shuffle.
 
 Orders end in ``account_id`` so that they are total; NULLs sort as in the reports (last going up,
 first going down). Full lists are range-partitioned sorts, limited ones keep a top-k per task.
@@ -71,7 +74,12 @@ def top(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
 
 
 def accounts_ranked(intelligence: DataFrame) -> DataFrame:
-    return intelligence.orderBy(*priority_order()).select(*LIST_COLUMNS)
+    return intelligence.orderBy(*priority_order())
+
+
+def listed(intelligence: DataFrame) -> DataFrame:
+    """The columns of an account list entry."""
+    return intelligence.select(*LIST_COLUMNS)
 
 
 def high_risk(intelligence: DataFrame) -> DataFrame:

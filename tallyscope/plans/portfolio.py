@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 
 from tallyscope.operators import features as feat
 from tallyscope.operators.actions import recommended_actions
-from tallyscope.operators.intelligence import account_intelligence
-from tallyscope.operators.playbook import PLAYS, Play, action_playbook
+from tallyscope.operators.intelligence import account_intelligence, account_labels
+from tallyscope.operators.playbook import PLAYS, Play, action_playbook, with_playbook
 from tallyscope.operators.scoring import score_v1, score_v2, score_v3
 from tallyscope.sources.readers import Tables, register_views, write_between_stages
 
@@ -78,6 +78,15 @@ class Portfolio:
     def intelligence(self) -> DataFrame:
         return account_intelligence(self.recommended, self.plays)
 
+    @cached_property
+    def labels(self) -> DataFrame:
+        """The intelligence rows without playbook texts."""
+        return account_labels(self.recommended)
+
+    def with_texts(self, labels: DataFrame) -> DataFrame:
+        """Add the playbook texts to filtered, sorted or limited labels."""
+        return with_playbook(labels, self.plays)
+
     def written(self) -> DataFrame:
         """The intelligence rows as a Parquet table in the shared checkpoint folder."""
         return write_between_stages(self.intelligence, "account_intelligence")
