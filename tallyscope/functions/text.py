@@ -15,10 +15,12 @@ def joined(*parts: str) -> Sql:
     return Sql(f"concat_ws('', {', '.join(texts)})")
 
 
-def filled(segments: str, values: str) -> Sql:
-    """Fill a template given as ``array<struct<text, field>>`` from a ``map<string,string>``.
+def filled(template: str, values: str) -> Sql:
+    """Fill a template, ``struct<fixed, pieces array<struct<text, field>>>``, from string values.
 
-    A segment is literal text or names a field; a NULL field value makes the whole text NULL.
+    Without fields the text is ``fixed``. A piece is literal text or the place of a value; a NULL
+    value makes the whole text NULL.
     """
-    piece = f"IF(s.field IS NULL, s.text, element_at({values}, s.field))"
-    return Sql(f"aggregate({segments}, '', (done, s) -> concat(done, {piece}))")
+    piece = f"IF(p.field IS NULL, p.text, element_at({values}, p.field))"
+    pieces = f"aggregate({template}.pieces, '', (done, p) -> concat(done, {piece}))"
+    return Sql(f"coalesce({template}.fixed, {pieces})")

@@ -33,10 +33,10 @@ FIELDS = {
     "due": "recommended_due_date",
 }
 
-_SEGMENTS = "ARRAY<STRUCT<text: STRING, field: STRING>>"
+_TEMPLATE = "STRUCT<fixed: STRING, pieces: ARRAY<STRUCT<text: STRING, field: INT>>>"
 _CONTENT = (
-    f"ARRAY<STRUCT<immediate: ARRAY<{_SEGMENTS}>, phase_2: ARRAY<{_SEGMENTS}>,"
-    f" metrics: ARRAY<{_SEGMENTS}>, escalation: {_SEGMENTS}>>"
+    f"ARRAY<STRUCT<immediate: ARRAY<{_TEMPLATE}>, phase_2: ARRAY<{_TEMPLATE}>,"
+    f" metrics: ARRAY<{_TEMPLATE}>, escalation: {_TEMPLATE}>>"
 )
 
 CARRIED = (
@@ -94,23 +94,29 @@ def playbook_signals(recommended: DataFrame) -> DataFrame:
     return with_sql(recommended, signals())
 
 
-def _segments(template: str) -> list[dict[str, str]]:
-    parts = re.split(r"\{(\w+)\}", template)
-    return [
-        {"field": part} if place % 2 else {"text": part}
-        for place, part in enumerate(parts)
-        if part
-    ]
+def _template(text: str) -> dict:
+    """Text without fields as it is; other text in pieces, fields by 1-based place in ``FIELDS``."""
+    places = {name: place for place, name in enumerate(FIELDS, 1)}
+    parts = re.split(r"\{(\w+)\}", text)
+    if len(parts) == 1:
+        return {"fixed": text}
+    return {
+        "pieces": [
+            {"field": places[part]} if place % 2 else {"text": part}
+            for place, part in enumerate(parts)
+            if part
+        ]
+    }
 
 
 def _content(plays: Sequence[Play]) -> Sql:
     """All branches in order as one constant, so that using the texts needs no join."""
     branches = [
         {
-            "immediate": [_segments(step) for step in branch.steps],
-            "phase_2": [_segments(step) for step in play.phase_2],
-            "metrics": [_segments(metric) for metric in play.metrics],
-            "escalation": _segments(play.escalation),
+            "immediate": [_template(step) for step in branch.steps],
+            "phase_2": [_template(step) for step in play.phase_2],
+            "metrics": [_template(metric) for metric in play.metrics],
+            "escalation": _template(play.escalation),
         }
         for play in plays
         for branch in play.branches
@@ -138,12 +144,12 @@ def timeline(plays: Sequence[Play] = PLAYS) -> Sql:
 
 def with_playbook(recommended: DataFrame, plays: Sequence[Play] = PLAYS) -> DataFrame:
     """Add the playbook columns to each row; a projection only, no join and no shuffle."""
-    values = ", ".join(f"{sql(name)}, {_shown(name, c)}" for name, c in FIELDS.items())
+    values = ", ".join(_shown(name, column) for name, column in FIELDS.items())
     kept = recommended.columns
     chosen = recommended.selectExpr(
         "*",
         f"element_at({_content(plays)}, {branch_number(plays)}) AS __branch",
-        f"map({values}) AS __values",
+        f"array({values}) AS __values",
     )
 
     def texts(name: str) -> Sql:
