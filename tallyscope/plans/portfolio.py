@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from tallyscope.operators import features as feat
+from tallyscope.operators import rollups
 from tallyscope.operators.actions import recommended_actions
 from tallyscope.operators.intelligence import account_intelligence, account_labels
 from tallyscope.operators.playbook import PLAYS, Play, action_playbook, with_playbook
@@ -108,5 +109,9 @@ class Portfolio:
                 "recommended_actions_engine": self.recommended,
                 "account_action_playbook": self.playbook,
                 "account_intelligence_view": self.intelligence,
+                "dashboard_kpis": rollups.dashboard_kpis(self.intelligence),
+                "dashboard_risk_summary": rollups.risk_summary(self.intelligence),
+                "dashboard_action_summary": rollups.action_summary(self.intelligence),
+                "dashboard_owner_workload": rollups.owner_workload(self.intelligence),
             }
         )

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from datetime import date
 from decimal import Decimal
 
@@ -134,6 +135,53 @@ def test_every_branch_and_its_texts(spark):
         assert escalation == written(play.escalation, case)
 
 
+# Values shown by each immediate step, branch after branch; a dot is fixed text.
+SHOWN = """
+tickets . users role . / tickets . . . days / users+usage . . . . / role tickets+usage+owner . days .
+days . tickets . . / days . . . role / . health+churn+tickets . . .
+tickets nps . . . / nps . . . role / tickets . . . . / owner usage+users . . role
+days . tickets . role / days . . . tickets / owner health+usage+nps . . .
+days+churn . . . role / days . tickets . role / owner+churn usage+tickets+nps . role .
+days . . usage+users role / . health+exp+nps . . role
+exp+usage . . . . / exp . . . role
+usage . . . . / exp . . . . / usage . . nps .
+overdue owner usage nps . / owner usage nps exp . / owner+health usage+users tickets nps .
+overdue tickets owner . . / overdue . . . . / . usage+users tickets owner .
+days . usage . . / days owner usage+tickets+nps . .
+owner health+churn . due role
+"""
+
+
+def test_each_step_shows_the_values_it_should():
+    for play, line in zip(PLAYS, SHOWN.strip().split("\n"), strict=True):
+        for branch, steps in zip(play.branches, line.split(" / "), strict=True):
+            shown = [set(re.findall(r"{(\w+)}", step)) for step in branch.steps]
+            expected = [set() if s == "." else set(s.split("+")) for s in steps.split()]
+            assert shown == expected, (play.action_type, branch.signals)
+
+
+def test_later_lists_show_the_values_they_should():
+    def shown(texts):
+        return {n: set(re.findall(r"{(\w+)}", t)) for n, t in enumerate(texts, 1) if "{" in t}
+
+    phase_2 = {p.action_type: shown(p.phase_2) for p in PLAYS if shown(p.phase_2)}
+    assert phase_2 == {
+        "Expansion Discovery": {4: {"role"}},
+        "Maintain Account Health": {4: {"role"}},
+        None: {1: {"owner"}, 4: {"role"}},
+    }
+    metrics = {p.action_type: shown(p.metrics) for p in PLAYS if shown(p.metrics)}
+    assert metrics == {
+        "Immediate Churn Intervention": {1: {"churn"}, 2: {"health"}, 4: {"usage"}},
+        "CSM Risk Review": {1: {"nps"}, 3: {"usage"}},
+        "Expansion Nurture": {1: {"exp"}, 4: {"nps"}},
+        "Maintain Account Health": {1: {"health"}},
+        "Monitor Account": {2: {"overdue"}},
+        None: {1: {"owner"}},
+    }
+    assert [p.action_type for p in PLAYS if "{" in p.escalation] == [None]
+
+
 def test_earlier_branches_win(spark):
     every_signal = {k: v for change in ON.values() for k, v in change.items()}
     every_signal |= dict(days_until_renewal=5, usage_events_last_30_days=99)

@@ -179,3 +179,5 @@ def test_relations_can_be_queried_by_name(spark):
     ).first()
     # 16 + 12 + 18 + 0 + 2.25 + 0 for an account nothing is known about.
     assert tuple(row) == (Decimal("48.25"), "Tier 4 - Monitor")
+    assert spark.sql("SELECT total_accounts FROM dashboard_kpis").first()[0] == 1
+    assert spark.table("dashboard_owner_workload").first().low_action_count == 1
