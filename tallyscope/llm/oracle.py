@@ -47,4 +47,20 @@ FROM reached r LEFT JOIN used u
  AND u.shuffle_key = r.shuffle_key AND u.size = r.size AND u.reached = r.reached
 """
 
-STATEMENTS: dict[str, str] = {"op4_mixing": OP4}
+OP2 = """
+WITH payloads AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), firsts AS (
+    SELECT *, CASE WHEN payload_bytes >= 100
+              THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id
+    FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+STATEMENTS: dict[str, str] = {"op2_warc": OP2, "op4_mixing": OP4}

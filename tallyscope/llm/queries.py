@@ -2,23 +2,56 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import mixing, simhash
-from tallyscope.llm.common import read
+from tallyscope.llm import mixing, packing, piecewise, simhash, warc
+from tallyscope.llm.common import read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    index = warc.write_archives(read(spark, sf_dir, "pages"), folder)
+    return warc.read_records(index).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = piecewise.edited(read(spark, sf_dir, "documents"))
+    return marked.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        piecewise.likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        piecewise.likeness("fingerprint", "next_fingerprint").alias("near_next"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(
@@ -27,6 +60,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_warc": op2_warc,
     "op4_mixing": op4_mixing,
+    "op5_packing": op5_packing,
+    "op6_piecewise": op6_piecewise,
     "op10_simhash": op10_simhash,
 }
