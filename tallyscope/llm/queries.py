@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import mixing, packing, piecewise, simhash, warc
-from tallyscope.llm.common import read, shared_folder
+from tallyscope.llm import mixing, ngrams, packing, piecewise, simhash, warc
+from tallyscope.llm.common import read, remainder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,20 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 10) == 0)
+    model = ngrams.train(docs.where(~F.col("held_out")))
+    return ngrams.scored(docs, model).select(
+        "doc_id",
+        (remainder("doc_id", 10) == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken"
@@ -61,6 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_warc": op2_warc,
+    "op3_ngrams": op3_ngrams,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op6_piecewise": op6_piecewise,
