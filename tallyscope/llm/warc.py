@@ -165,10 +165,15 @@ class _Bundle:
 def decided(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """page_id, url, html, digest, copy, record_type and refers_to of each row."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    # the id as text, so that null ids meet in joins and all that follows keeps one partitioning
     rows = pages.select("page_id", "url", "html").withColumns(
-        {"digest": F.sha2(payload, 256), "bytes": F.octet_length(payload)}
+        {
+            "digest": F.sha2(payload, 256),
+            "who": F.coalesce(F.col("page_id").cast("string"), F.lit("null")),
+            "bytes": F.octet_length(payload),
+        }
     )
-    narrow = rows.where(F.col("bytes") >= revisit_bytes).select("digest", "page_id")
+    narrow = rows.where(F.col("bytes") >= revisit_bytes).select("digest", "who", "page_id")
     # an id that is null comes last, so it is only the smallest where there is no other
     firsts = (
         narrow.groupBy("digest")
@@ -178,17 +183,16 @@ def decided(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     )
     later = (
         narrow.join(firsts, "digest")
-        .groupBy("digest", "page_id")
+        .groupBy("digest", "who")
         .agg(F.first("first").alias("first"))
-        .select(F.col("digest").alias("d"), F.col("page_id").alias("p"), "first", F.lit(True).alias("shared"))
+        .withColumn("shared", F.lit(True))
     )
-    same = (rows["digest"] == later["d"]) & rows["page_id"].eqNullSafe(later["p"])
-    copies = W.partitionBy("digest", "page_id").orderBy("url")
+    copies = W.partitionBy("digest", "who").orderBy("url")
     response = (
         F.col("shared").isNull() | F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1)
     )
     return (
-        rows.join(later, same, "left")
+        rows.join(later, ["digest", "who"], "left")
         .withColumn("copy", F.row_number().over(copies))
         .withColumn("record_type", F.when(response, "response").otherwise("revisit"))
         .withColumn("refers_to", F.when(~response, F.col("first")))
