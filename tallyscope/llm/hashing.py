@@ -30,14 +30,15 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 class Stretches:
-    """Polynomial hashes modulo 2**64 of stretches of ``data``, from prefix sums."""
+    """Polynomial hashes modulo 2**64 of stretches of bytes or code points, from prefix sums."""
 
     def __init__(self, data: bytes | np.ndarray):
-        values = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+        data = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+        values = _BYTE_VALUES[data] if data.dtype == np.uint8 else mixed(data.astype(np.uint64))
         _reach(len(values) + 1)
         self.size = len(values)
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[values] * _powers[: len(values)], out=self.sums[1:])
+        np.cumsum(values * _powers[: len(values)], out=self.sums[1:])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * _inverses[starts] + (ends - starts).astype(np.uint64))

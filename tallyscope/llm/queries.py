@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import mixing, ngrams, packing, piecewise, simhash, warc
+from tallyscope.llm import language, mixing, ngrams, packing, piecewise, simhash, warc
 from tallyscope.llm.common import read, remainder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language.train(docs.where(remainder("doc_id", 5) != 0))
+    return language.identified(docs, model).select(
+        "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     index = warc.write_archives(read(spark, sf_dir, "pages"), folder)
@@ -74,6 +82,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language": op1_language,
     "op2_warc": op2_warc,
     "op3_ngrams": op3_ngrams,
     "op4_mixing": op4_mixing,
