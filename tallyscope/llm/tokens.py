@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 from array import array
 from collections.abc import Sequence
@@ -10,18 +11,22 @@ from itertools import chain
 import numpy as np
 
 _PUNCTUATION = string.punctuation.replace("'", "").encode()
+_LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+#: Punctuation between a letter or digit and the next one, or white space: a word of its own.
+_APART = re.compile(
+    rb"(?:(?<=[a-z0-9])|(?<=%s))([%s]+)(?=[\sa-z0-9]|%s|\Z)" % (_LATIN, re.escape(_PUNCTUATION), _LATIN)
+)
 
 
 class WordTokenizer:
     """A tokenizer that drops white space and marks the ends of words with ``</w>``.
 
-    Its tokens never cross white space, so a text's ids are the ids of its words in turn. Words are
-    kept with their ids up to ``most_words``; then the store starts again empty. Words of letters
-    alone are encoded many at a time, others one by one, and a word with punctuation behind its
-    letters as the two parts that the tokenizer makes of it.
+    Its tokens never cross white space, nor the border between letters and punctuation, so a text's
+    ids are the ids of its words in turn. Words are kept with their ids up to ``most_words``; then the
+    store starts again empty. Words of letters alone are encoded many at a time, others one by one.
     """
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,47 +50,34 @@ class WordTokenizer:
         return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.index) + 2 * len(words) > self.most_words and self.index:
-            self._clear()
-        new = [w for w in words if w not in self.index]
-        parts = {w: w.rstrip(_PUNCTUATION) for w in new}
-        letters = list({core for core in parts.values() if core not in self.index and core.decode().isalpha()})
+        letters, others = [], []
+        for word in words:
+            (letters if word.isalpha() or word.decode().isalpha() else others).append(word)
         for at in range(0, len(letters), 2000):
             some = letters[at : at + 2000]
             ids = np.array(self._one(b" ".join(some)), np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                for word, piece in zip(some, np.split(ids, stops[:-1]), strict=True):
-                    self._keep(word, piece.tolist())
-            else:
-                for word in some:
-                    self._keep(word, self._one(word))
-        for word in new:
-            if word in self.index:
+            if len(stops) != len(some):
+                others += some
                 continue
-            core = parts[word]
-            if core and core in self.index and core != word:
-                tail = word[len(core) :]
-                if tail not in self.index:
-                    self._keep(tail, self._one(tail))
-                self._keep(word, [*self._of(core), *self._of(tail)])
-            else:
-                self._keep(word, self._one(word))
-
-    def _of(self, word: bytes) -> list[int]:
-        at = self.index[word]
-        start = self.starts[at]
-        return self.ids[start : start + self.lengths[at]].tolist()
+            starts = np.concatenate(([0], stops[:-1]))
+            first = len(self.starts)
+            self.starts.frombytes((starts + len(self.ids)).astype(np.int64).tobytes())
+            self.lengths.frombytes((stops - starts).astype(np.int64).tobytes())
+            self.ids.frombytes(ids.tobytes())
+            self.index.update(zip(some, range(first, first + len(some)), strict=True))
+        for word in others:
+            self._keep(word, self._one(word))
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit arrays."""
-        words = [(text or "").encode().lower().split() for text in texts]
+        words = [_APART.sub(rb" \1 ", (text or "").encode().lower()).split() for text in texts]
         different = set(chain.from_iterable(words))
-        if not different.issubset(self.index.keys()):
-            self._learn(different)
-            missing = different - self.index.keys()
-            if missing:  # the store was emptied
-                self._learn(missing)
+        missing = different - self.index.keys()
+        if missing and len(self.index) + len(missing) > self.most_words and self.index:
+            self._clear()
+            missing = different
+        self._learn(missing)
         counts = np.fromiter(map(len, words), np.int64, len(words))
         places = np.fromiter(
             map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum())
