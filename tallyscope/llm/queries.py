@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import language, mixing, ngrams, packing, piecewise, simhash, warc
+from tallyscope.llm import language, mixing, ngrams, packing, piecewise, simhash, toxicity, warc
 from tallyscope.llm.common import read, remainder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,17 @@ def op6_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs.where(remainder("doc_id", 5) != 0), read(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select(
@@ -88,5 +99,6 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op6_piecewise": op6_piecewise,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
