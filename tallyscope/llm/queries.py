@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import language, mixing, ngrams, packing, piecewise, simhash, template, toxicity, warc
+from tallyscope.llm import language, mixing, neighbours, ngrams, packing, piecewise, simhash, template, toxicity, warc
 from tallyscope.llm.common import read, remainder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def op6_piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.extracted(read(spark, sf_dir, "pages"))
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op6_piecewise": op6_piecewise,
+    "op7_neighbours": op7_neighbours,
     "op8_template": op8_template,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
