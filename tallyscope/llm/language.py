@@ -24,6 +24,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tallyscope.llm.letters import Letters, chunks, smallest_by_hash
 
@@ -31,6 +32,8 @@ UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 BITS = 13
 PER_LANGUAGE = 300
+#: A document whose language is less likely than this is rejected.
+LEAST = 0.5
 #: Families of language codes.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fo af fy lb yi",
@@ -236,3 +239,18 @@ def identified(docs: DataFrame, model: Languages) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(
         run, f"doc_id {kind}, lang_pred string, score double"
     )
+
+
+def accepted(docs: DataFrame, model: Languages, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with a score of ``least`` or more."""
+
+    @F.pandas_udf("boolean")
+    def speaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = []
+            for part in chunks([pd.DataFrame({"text": batch})]):
+                languages, score = model.classify(part["text"].tolist())
+                out.append((np.array(languages) != UNKNOWN) & (score >= least))
+            yield pd.Series(np.concatenate([*out, np.empty(0, bool)]))
+
+    return docs.where(speaks("text"))

@@ -49,8 +49,8 @@ END = np.uint64(0x0E0D0F0D0E0D0F0D)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-CHUNK_BYTES = 1 << 21
-RUN_TOKENS = 1 << 22
+CHUNK_BYTES = 1 << 20
+RUN_TOKENS = 3 << 20
 BUCKET_TOKENS = 1 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 16
 RUNS = "bucket int, keys binary, counts binary"

@@ -214,3 +214,18 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = [
+                model.score(part["text"].tolist()) < threshold
+                for part in chunks([pd.DataFrame({"text": batch})])
+            ]
+            yield pd.Series(np.concatenate([*out, np.empty(0, bool)]))
+
+    return docs.where(clean("text"))
