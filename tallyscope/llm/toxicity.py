@@ -11,8 +11,8 @@ it below zero, it is pushed back up. The class prior is a parameter, by default
 among the labelled training rows (a number only).
 
 Both samples are bounded (``positives``, ``unlabelled``; parameters). Spark counts in how many of the
-sampled texts each feature occurs; the ``most_features`` that are most clearly over-represented among
-the toxic ones are kept, and the model is fitted in numpy at the driver on the sample's rows over
+sampled texts each feature occurs; the ``most_features`` most clearly over-represented among the
+toxic ones are kept (see LEAST_TEXTS), and the model is fitted in numpy at the driver on the sample's rows over
 them. Every text is then scored whole.
 
 Defined cases: a null or empty text has no features and gets the score of the bias; without a toxic
@@ -39,7 +39,9 @@ BITS = 22
 PREFIXES = (4, 5, 6)
 POSITIVES, UNLABELLED = 4000, 8000
 MOST_FEATURES = 1024
-LEAST_TEXTS = 3
+#: A feature counts that is in so many toxic texts, and in this share of the sampled ones, and whose
+#: texts are toxic for so large a part, by the prior and the two samples.
+LEAST_TEXTS, LEAST_SHARE, LEAST_TOXIC = 5, 0.015, 0.6
 THRESHOLD = 0.5
 
 
@@ -161,7 +163,7 @@ def train(
             smallest_by_hash(texts.withColumn("kind", F.lit(0)), "kind", unlabelled)
         ),
         "toxicity-sample",
-    ).select("kind", "text")
+    ).select("kind", "text").dropDuplicates()  # copies would make their words look toxic
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(batches):
@@ -182,9 +184,9 @@ def train(
         sample.mapInPandas(occurrences, "feature bigint, toxic bigint, others bigint")
         .groupBy("feature")
         .agg(F.sum("toxic").alias("toxic"), F.sum("others").alias("others"))
-        .where(F.col("toxic") >= LEAST_TEXTS)
+        .where(F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * p))
+        .where(prior * F.col("toxic") / expected >= LEAST_TOXIC)
         .withColumn("excess", (F.col("toxic") - expected) / F.sqrt(expected))
-        .where(F.col("excess") > 3)
         .orderBy(F.desc("excess"), "feature")
         .limit(most_features)
         .select("feature")
