@@ -115,8 +115,10 @@ def _in_ranges(docs: DataFrame) -> DataFrame:
     bucket = Bucketizer(splits=bounds, inputCol="__id", outputCol="__range", handleInvalid="keep")
     ranged = bucket.transform(
         docs.select("doc_id", "text", F.col("doc_id").cast("double").alias("__id"))
-    ).select("doc_id", "text", F.col("__range").cast("int").alias("range"))
-    heads = sorted(ranged.groupBy("range").agg(F.min("doc_id")).collect())
+    )
+    last = F.lit(len(bounds) - 1)  # of nulls, after all others
+    ranged = ranged.select("doc_id", "text", F.coalesce(F.col("__range").cast("int"), last).alias("range"))
+    heads = sorted(ranged.groupBy("range").agg(F.min("doc_id")).collect(), key=lambda head: head[0])
     before = [(head[1], heads[i - 1][0]) for i, head in enumerate(heads)]
     kind = docs.schema["doc_id"].dataType.simpleString()
     lead = docs.sparkSession.createDataFrame(before, f"head {kind}, earlier int")
