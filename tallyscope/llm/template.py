@@ -29,6 +29,7 @@ empty result. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,6 +44,8 @@ FREQUENT = 0.5
 KEPT = 0.125
 MOST_TEXT = 0.7
 LINKED = 0.5
+#: Elements that hold single texts, which the way down does not enter.
+SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption address summary".split())
 TOKENS = (
     "host string, kind string, path string, text string, pages bigint, total bigint, "
     "vector_a bigint, vector_b bigint, chars bigint, linked bigint, article boolean, aside boolean"
@@ -123,7 +126,9 @@ def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], list[str], list[s
             sums = {
                 slot: sum(n for p, n in text.items() if _under(p, slot))
                 for slot in template
-                if slot.startswith(here + ">") and ">" not in slot[len(here) + 1 :]
+                if slot.startswith(here + ">")
+                and ">" not in slot[len(here) + 1 :]
+                and re.split(r"[>.]", slot[len(here) + 1 :])[0] not in SINGLE
             }
             best = max(sorted(sums), key=sums.__getitem__, default=None)
             if best is None or sums[best] < MOST_TEXT * inside or not sums[best]:
