@@ -1,14 +1,18 @@
-"""Default wording and branch order of the action playbook.
+"""The action playbook as data: its rules, a short default wording, and reading other wordings.
 
-The wording is this project's own and can be replaced: ``action_playbook`` takes any tuple of
-``Play``. What a replacement must keep is the shape, five immediate steps per branch and four
-entries in the other two lists. A name in braces is filled from the account's row.
+What the rules fix is which branch applies, how many entries each list has, which of the account's
+values each entry shows, and the timeline labels. Wording is the user's: ``plays_from_table`` reads
+it from a table. The default says no more than the signals and the values mean.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 class Branch(NamedTuple):
     """``steps`` apply when all ``signals`` hold; the last branch of a play has none."""
@@ -28,588 +32,258 @@ class Play(NamedTuple):
     timeline: tuple[tuple[tuple[str, ...], str], ...]
 
 
-PLAYS: tuple[Play, ...] = (
-    Play(
+class Rule(NamedTuple):
+    """A play without words: values shown by each entry, in order, joined by ``+``; none is ``.``."""
+
+    action_type: str | None
+    branches: tuple[tuple[str, str], ...]  # signals, values of the five steps
+    timeline: tuple[tuple[str, str], ...]  # signals, label
+    phase_2: str = ". . . ."
+    metrics: str = ". . . ."
+    escalation: str = "."
+
+
+#: Branch order and conditions, values shown by place, timeline labels.
+RULES = (
+    Rule(
         "Immediate Churn Intervention",
-        branches=(
-            Branch(
-                ("high_support", "low_usage"),
-                (
-                    "Hold a crisis call today on the {tickets} tickets still open and agree fix dates",
-                    "Put one engineer in charge of the blocking defects until they are closed",
-                    "Ask the {users} people who still log in what stopped their colleagues",
-                    "{role} writes to the sponsor within two days and says what happens next",
-                    "Start a save plan with named owners and review it after a month",
-                ),
-            ),
-            Branch(
-                ("high_support",),
-                (
-                    "Bring all {tickets} open tickets to the head of engineering for triage today",
-                    "Offer the sponsor a frank conversation about service quality",
-                    "Go through the ticket list every week until it is nearly empty",
-                    "Send the customer the causes found and the repair plan in writing",
-                    "Count down the {days} days to renewal with one owner per save task",
-                ),
-            ),
-            Branch(
-                ("low_usage",),
-                (
-                    "Find the teams that went quiet: {users} users made {usage} events in a month",
-                    "Run an adoption workshop with the main stakeholders this week",
-                    "Train lapsed users on the three jobs they bought the product for",
-                    "Agree a weekly minimum of activity with the champion and track it",
-                    "Call in an executive if activity is not clearly up after two weeks",
-                ),
-            ),
-            Branch(
-                (),
-                (
-                    "Make {role} owner of a written intervention plan right away",
-                    "Go over {tickets} tickets and {usage} events together with {owner}",
-                    "Have the sponsors on both sides restate the goals and name the blockers",
-                    "Plan backwards from the {days} days left and give each milestone an owner",
-                    "Write down whether to save or to let go before the next checkpoint",
-                ),
-            ),
-        ),
-        phase_2=(
-            "Review the first month with the customer: activity, tickets and sentiment",
-            "Share a weekly activity chart with the champion",
-            "Return to normal care when churn risk is under 40 and health over 60",
-            "Leave upsell aside until two healthy months have passed",
-        ),
-        metrics=(
-            "Churn risk falls from {churn} to under 40 in two months",
-            "Health climbs from {health} to over 60 in two months",
-            "At most two new tickets a month by the end of the first cycle",
-            "Monthly activity grows by a third over today's {usage} events",
+        (
+            ("high_support low_usage", "tickets . users role ."),
+            ("high_support", "tickets . . . days"),
+            ("low_usage", "users+usage . . . ."),
+            ("", "role tickets+usage+owner . days ."),
         ),
-        escalation="Involve executives when the champion stays silent for two days, tickets pass 12 in a month, churn risk passes 75, or notice of cancellation arrives.",
-        timeline=(
-            (("very_high_churn", "renewal_near"), "CRITICAL — within 24 hours"),
-            ((), "Immediate — within 48 hours"),
+        (
+            ("very_high_churn renewal_near", "CRITICAL — within 24 hours"),
+            ("", "Immediate — within 48 hours"),
         ),
+        metrics="churn health . usage",
     ),
-    Play(
+    Rule(
         "Executive Renewal Save Plan",
-        branches=(
-            Branch(
-                ("renewal_imminent",),
-                (
-                    "Get an executive on the phone today, only {days} days of contract remain",
-                    "Put the value delivered so far in front of the buyer this week",
-                    "Close or date every one of the {tickets} tickets before terms are discussed",
-                    "Prepare several offers, a longer and a smaller one among them",
-                    "Settle price floor and authority with sales and success leads",
-                ),
-            ),
-            Branch(
-                ("renewal_near",),
-                (
-                    "Book the sponsors within two weeks, the contract has {days} days to run",
-                    "Tell the story of usage, fixes and returns in a few pages",
-                    "List what could block a signature, from price to a rival bid",
-                    "Bring a plain renewal and a larger package to the meeting",
-                    "Let {role} own the deal and bring the CRM entry up to date",
-                ),
-            ),
-            Branch(
-                (),
-                (
-                    "Name a sponsor and plan a strategic review this quarter",
-                    "Open a renewal file: health {health}, churn risk {churn}, tickets {tickets}",
-                    "Rank the three largest dangers and say who removes each",
-                    "Bring the sales plan in line with where health is heading",
-                    "Meet monthly at executive level and keep contacts current",
-                ),
-            ),
+        (
+            ("renewal_imminent", "days . tickets . ."),
+            ("renewal_near", "days . . . role"),
+            ("", ". health+churn+tickets . . ."),
         ),
-        phase_2=(
-            "Sign the contract in the form the talks arrived at",
-            "Walk the sponsor through the roadmap",
-            "Hand over to ordinary renewal care with a fresh health baseline",
-            "Think about growth again three calm months after signing",
-        ),
-        metrics=(
-            "The new contract starts the day the old one ends",
-            "Churn risk is 15 points lower a month after signing",
-            "The sponsor met or wrote to us at least once",
-            "The CRM shows the deal as won two days after signing",
-        ),
-        escalation="Involve the board when the buyer is silent for a week, the date slips, a rival is being tested, or the price is to drop by a fifth or more.",
-        timeline=(
-            (("renewal_imminent",), "URGENT — within 24 hours"),
-            (("renewal_near",), "Urgent — within 1 week"),
-            ((), "High priority — within 2 weeks"),
+        (
+            ("renewal_imminent", "URGENT — within 24 hours"),
+            ("renewal_near", "Urgent — within 1 week"),
+            ("", "High priority — within 2 weeks"),
         ),
     ),
-    Play(
+    Rule(
         "CSM Risk Review",
-        branches=(
-            Branch(
-                ("high_support", "low_nps"),
-                (
-                    "Triage the {tickets} tickets with the account team today",
-                    "Ask what lay behind the rating of {nps} and listen",
-                    "Take the three worst defects to engineering and pass on dates",
-                    "Confirm the repairs to the champion in writing within a week",
-                    "Tell the department head if neither figure moves in a month",
-                ),
-            ),
-            Branch(
-                ("low_nps",),
-                (
-                    "Work on the rating: it stands at {nps} and should reach 7",
-                    "Speak to every unhappy respondent one by one this week",
-                    "Turn their remarks into a plan for the next month",
-                    "Check after two weeks that they notice a difference",
-                    "Hand over to {role} if it is still under 6 at quarter end",
-                ),
-            ),
-            Branch(
-                ("high_support",),
-                (
-                    "Give the {tickets} tickets to one manager with a weekly slot",
-                    "Sort them by severity and find an engineer for the worst",
-                    "Talk every other week until two or fewer come in per month",
-                    "Describe the common causes and the cure to the champion",
-                    "Mark the account at risk if more than 3 arrive next month",
-                ),
-            ),
-            Branch(
-                (),
-                (
-                    "Plan a check-in within two weeks, led by {owner}",
-                    "Look at {usage} events and {users} active users for a trend",
-                    "Write the two clearest warnings and their owners into the CRM",
-                    "Find out about renewal plans and open complaints",
-                    "Settle whether {role} must step in or the team can cope",
-                ),
-            ),
-        ),
-        phase_2=(
-            "Go back to routine once tickets are down to two and the rating tops 7",
-            "Repeat the survey after two months",
-            "Keep the lessons in the CRM and in the team's guide",
-            "Allow growth talks again after a steady month",
-        ),
-        metrics=(
-            "The rating moves from {nps} to at least 7 in a month",
-            "Two tickets or fewer per month after the first cycle",
-            "Activity holds at {usage} events or grows",
-            "The check-in is on record and the champion is content",
-        ),
-        escalation="Involve the head of success when the rating sinks under 4, tickets pass 8 in a month, the champion shops around, or risk jumps by 10 points.",
-        timeline=(
-            (("low_nps", "high_support"), "Urgent — within 1 week"),
-            ((), "Within 1–2 weeks"),
-        ),
+        (
+            ("high_support low_nps", "tickets nps . . ."),
+            ("low_nps", "nps . . . role"),
+            ("high_support", "tickets . . . ."),
+            ("", "owner usage+users . . role"),
+        ),
+        (("low_nps high_support", "Urgent — within 1 week"), ("", "Within 1–2 weeks")),
+        metrics="nps . usage .",
     ),
-    Play(
+    Rule(
         "Renewal Readiness Review",
-        branches=(
-            Branch(
-                ("renewal_imminent",),
-                (
-                    "Finish the readiness list this week, {days} days are left",
-                    "Send the final offer and confirm who signs",
-                    "Settle or date the {tickets} tickets before the call",
-                    "Ask the champion for a yes or no by Friday",
-                    "Keep {role} at hand for late objections",
-                ),
-            ),
-            Branch(
-                ("renewal_near",),
-                (
-                    "Open the review now, with {days} days on the clock",
-                    "Check that adoption figures carry the value story",
-                    "Sound out the buyer within two weeks",
-                    "Make sure the CRM names the right decision makers",
-                    "Clear the {tickets} tickets before formal talks",
-                ),
-            ),
-            Branch(
-                (),
-                (
-                    "Invite the champion to a readiness call with {owner} this month",
-                    "Summarise health {health}, usage {usage} and rating {nps}",
-                    "Look for missing features that could cause friction",
-                    "Confirm who decides and that they are involved",
-                    "Set checkpoints three, two and one month ahead",
-                ),
-            ),
+        (
+            ("renewal_imminent", "days . tickets . role"),
+            ("renewal_near", "days . . . tickets"),
+            ("", "owner health+usage+nps . . ."),
         ),
-        phase_2=(
-            "Finish the paperwork two days after the signature",
-            "Start the new term with a value check after a month",
-            "Use the good mood for a first growth talk",
-            "Note what slowed the renewal down",
-        ),
-        metrics=(
-            "Signed on time and without late disputes",
-            "No ticket is open when formal talks begin",
-            "Buyer and champion agree on terms and dates",
-            "The CRM is updated two days after signing",
-        ),
-        escalation="Involve sales and the team lead when the buyer misses two calls in two weeks, terms are contested, a rival shows up, or approval is late.",
-        timeline=(
-            (("renewal_imminent",), "URGENT — this week"),
-            (("renewal_near",), "Within 2 weeks"),
-            ((), "Within 30 days"),
+        (
+            ("renewal_imminent", "URGENT — this week"),
+            ("renewal_near", "Within 2 weeks"),
+            ("", "Within 30 days"),
         ),
     ),
-    Play(
+    Rule(
         "Renewal Risk Review",
-        branches=(
-            Branch(
-                ("renewal_imminent", "very_high_churn"),
-                (
-                    "Alert leadership: {days} days left and churn risk at {churn}",
-                    "Form a save team across departments within two days",
-                    "Show the buyer what would be lost before the deadline",
-                    "Work out internally what walking away would mean",
-                    "Let {role} lead and confirm how far the mandate goes",
-                ),
-            ),
-            Branch(
-                ("renewal_imminent",),
-                (
-                    "Escalate the renewal now, it is due in {days} days",
-                    "Have the sponsors name every risk this week",
-                    "Deal with {tickets} tickets ahead of the meeting",
-                    "Check that champion and buyer still answer",
-                    "Brief {role} in writing by tomorrow",
-                ),
-            ),
-            Branch(
-                (),
-                (
-                    "Start a risk review with {owner}, churn risk reads {churn}",
-                    "Explain it from usage {usage}, tickets {tickets} and rating {nps}",
-                    "Lay out a month of countermeasures with owners",
-                    "Ask {role} for guidance and executive cover",
-                    "Convene the risk board if churn risk passes 55",
-                ),
-            ),
-        ),
-        phase_2=(
-            "Once renewed, move to routine care and meet after a month",
-            "If still shaky, switch to the executive save plan",
-            "File the risks met and what helped",
-            "Weigh a growth talk two months after things settle",
-        ),
-        metrics=(
-            "Renewed on schedule and without a gap",
-            "Churn risk is 10 points lower a month after the review",
-            "Each risk has an owner and an end date",
-            "Visible progress inside two weeks",
+        (
+            ("renewal_imminent very_high_churn", "days+churn . . . role"),
+            ("renewal_imminent", "days . tickets . role"),
+            ("", "owner+churn usage+tickets+nps . role ."),
         ),
-        escalation="Involve vice presidents when under 15 days remain without a promise, churn risk passes 60, the champion leaves, or lawyers reopen the text.",
-        timeline=(
-            (("renewal_imminent", "very_high_churn"), "CRITICAL — within 24 hours"),
-            (("renewal_imminent",), "Immediate — within 48 hours"),
-            ((), "Within 1 week"),
+        (
+            ("renewal_imminent very_high_churn", "CRITICAL — within 24 hours"),
+            ("renewal_imminent", "Immediate — within 48 hours"),
+            ("", "Within 1 week"),
         ),
     ),
-    Play(
+    Rule(
         "Renewal and Expansion Review",
-        branches=(
-            Branch(
-                ("renewal_imminent", "strong_expansion"),
-                (
-                    "Renew first, growth must not hold up a contract ending in {days} days",
-                    "Show both offers in one executive meeting this week",
-                    "Win the champion for either part beforehand",
-                    "Size the extra package by {usage} events and {users} active users",
-                    "{role} leads the talks, base contract before add-ons",
-                ),
-            ),
-            Branch(
-                (),
-                (
-                    "Plan one review for renewal and growth this quarter",
-                    "Present health {health}, growth score {exp} and rating {nps}",
-                    "Pick two or three new uses that fit the customer's aims",
-                    "Put the larger offer next to the renewal",
-                    "{role} sees to it that both close together",
-                ),
-            ),
+        (
+            ("renewal_imminent strong_expansion", "days . . usage+users role"),
+            ("", ". health+exp+nps . . role"),
         ),
-        phase_2=(
-            "File the signed renewal within two days",
-            "Open a separate CRM entry for the growth deal",
-            "Scope the extension only after the ink is dry",
-            "Touch base on growth two months later",
-        ),
-        metrics=(
-            "Renewed before the last day of the term",
-            "The growth deal is in the CRM a month after renewal",
-            "One champion backs both deals and their dates",
-            "Leadership knows the joint value within a week",
-        ),
-        escalation="Involve both team managers when the two deals collide, budget is unconfirmed after a month, talks endanger the renewal, or the champion changes.",
-        timeline=(
-            (("renewal_imminent",), "URGENT — this week"),
-            (("renewal_near",), "Within 2 weeks"),
-            ((), "This quarter"),
+        (
+            ("renewal_imminent", "URGENT — this week"),
+            ("renewal_near", "Within 2 weeks"),
+            ("", "This quarter"),
         ),
     ),
-    Play(
+    Rule(
         "Expansion Discovery",
-        branches=(
-            Branch(
-                ("strong_expansion", "high_usage"),
-                (
-                    "Open discovery: growth score {exp} is backed by {usage} events",
-                    "Chart who holds budget, who champions and who evaluates",
-                    "Collect two or three new uses, seats or tiers",
-                    "Check pipeline figures with sales and qualify the deal",
-                    "Hand over to sales within two weeks",
-                ),
-            ),
-            Branch(
-                (),
-                (
-                    "Raise growth with the champion, the score is {exp}",
-                    "Look for departments that do not use the product yet",
-                    "Learn whether seats, tier or a module is what they need",
-                    "Confirm pipeline value and let sales scope a call",
-                    "Ask {role} to open doors and frame the offer",
-                ),
-            ),
-        ),
-        phase_2=(
-            "Enter the deal within a week of the discovery call",
-            "Demonstrate the uses found",
-            "Let sales take over within a month with a value estimate",
-            "Agree with {role} how growth and renewal dates fit",
-        ),
-        metrics=(
-            "Discovery call held within a month",
-            "Qualified deal with seller and value on record",
-            "Budget, champion and evaluator are known",
-            "At least one use or tier is agreed",
-        ),
-        escalation="Involve the sales manager when the budget holder ignores two approaches, special terms are needed, or a rival turns up.",
-        timeline=(((), "Within 30 days"),),
+        (("strong_expansion high_usage", "exp+usage . . . ."), ("", "exp . . . role")),
+        (("", "Within 30 days"),),
+        phase_2=". . . role",
     ),
-    Play(
+    Rule(
         "Expansion Nurture",
-        branches=(
-            Branch(
-                ("high_usage", "strong_expansion"),
-                (
-                    "Lead with the {usage} events when talking to the champion",
-                    "Tie a return story to what growth would add",
-                    "Find reference customers with a like need",
-                    "Show on the roadmap what the next tier solves",
-                    "Aim for a qualified discovery call within a month",
-                ),
-            ),
-            Branch(
-                ("strong_expansion",),
-                (
-                    "Carry on, a growth score of {exp} points the right way",
-                    "Warm up the champion with a reference customer",
-                    "Hold a quarterly review for wider visibility",
-                    "Send news and benchmarks for their trade",
-                    "Decide on discovery in six weeks",
-                ),
-            ),
-            Branch(
-                (),
-                (
-                    "Keep in touch, activity this month was {usage} events",
-                    "Pass on tips that invite a little more use",
-                    "Ask whether a second sponsor is needed",
-                    "Log contacts and watch the rating, now {nps}",
-                    "Move to discovery if the growth score passes 65",
-                ),
-            ),
-        ),
-        phase_2=(
-            "Move up to discovery at a score of 65 or on request",
-            "Send a value update each quarter",
-            "Bring the champion into an advisory round",
-            "Keep a prepared CRM entry ready",
+        (
+            ("high_usage strong_expansion", "usage . . . ."),
+            ("strong_expansion", "exp . . . ."),
+            ("", "usage . . nps ."),
         ),
-        metrics=(
-            "Growth score gains 5 points in two months, from {exp}",
-            "One value conversation per cycle",
-            "Never more than five weeks without contact",
-            "The rating stays at {nps} or better",
-        ),
-        escalation="Involve success leadership when the growth score drops under 50, two monthly contacts go unanswered, or health sinks under 60.",
-        timeline=(((), "30–60 day nurture cycle"),),
+        (("", "30–60 day nurture cycle"),),
+        metrics="exp . . nps",
     ),
-    Play(
+    Rule(
         "Maintain Account Health",
-        branches=(
-            Branch(
-                ("has_overdue",),
-                (
-                    "Finish {overdue} late tasks this week and say who does which",
-                    "Check with {owner} that the rest is on course",
-                    "See that activity keeps to about {usage} events",
-                    "Make sure the rating of {nps} still holds",
-                    "Update the CRM and book the next contact",
-                ),
-            ),
-            Branch(
-                ("high_usage", "healthy"),
-                (
-                    "All well: {owner} keeps the present rhythm",
-                    "Thank the champion for {usage} events this month",
-                    "Keep the rating near {nps} and survey each quarter",
-                    "Watch the growth score of {exp} for a rise past 60",
-                    "Record that nothing needs escalation",
-                ),
-            ),
-            Branch(
-                (),
-                (
-                    "Plan a routine call with {owner}, health is {health}",
-                    "Check that {usage} events from {users} users is normal",
-                    "Give each of {tickets} tickets an owner and an end",
-                    "Ask for fresh sentiment, last rating {nps}",
-                    "Note status and renewal date in the CRM",
-                ),
-            ),
-        ),
-        phase_2=(
-            "Hold a quarterly review and collect new goals",
-            "Begin nurturing after two months with a growth score over 60",
-            "Look at the renewal three months ahead",
-            "Report any change in signals to {role}",
-        ),
-        metrics=(
-            "Health stays over 65, it is {health} today",
-            "Never more than three tickets a month",
-            "Next survey gives 7 or better",
-            "No move into a risk play",
-        ),
-        escalation="Involve the account manager when health falls under 55, tickets pass 4 in a month, the rating falls under 6, or three late tasks lack a plan.",
-        timeline=(((), "Ongoing — quarterly cadence"),),
+        (
+            ("has_overdue", "overdue owner usage nps ."),
+            ("high_usage healthy", "owner usage nps exp ."),
+            ("", "owner+health usage+users tickets nps ."),
+        ),
+        (("", "Ongoing — quarterly cadence"),),
+        phase_2=". . . role",
+        metrics="health . . .",
     ),
-    Play(
+    Rule(
         "Monitor Account",
-        branches=(
-            Branch(
-                ("has_overdue", "high_support"),
-                (
-                    "Finish {overdue} late tasks before adding new ones",
-                    "Give all {tickets} tickets an owner and a date",
-                    "Sit down with {owner} within two weeks",
-                    "Set alerts for under 10 events or over 8 tickets a month",
-                    "Judge whether this belongs in a risk review",
-                ),
-            ),
-            Branch(
-                ("has_overdue",),
-                (
-                    "Hand out the {overdue} late tasks with dates this week",
-                    "Glance over the signals for a downward drift",
-                    "Plan a checkpoint in a month with clear limits",
-                    "Bring notes and next review date up to date",
-                    "Judge whether a risk review should take over",
-                ),
-            ),
-            Branch(
-                (),
-                (
-                    "Watch only, nothing is due now",
-                    "Look weekly at {usage} events and {users} users",
-                    "Speak up if tickets, now {tickets}, pass 5 in a month",
-                    "Make sure {owner} talks to the champion",
-                    "Look again in a month or when a signal turns",
-                ),
-            ),
-        ),
-        phase_2=(
-            "Reconsider every month whether to act",
-            "Start a risk review when health is under 50 or tickets pass 5",
-            "Ask monthly about changes of champion or budget",
-            "Clear late tasks before the next cycle",
+        (
+            ("has_overdue high_support", "overdue tickets owner . ."),
+            ("has_overdue", "overdue . . . ."),
+            ("", ". usage+users tickets owner ."),
         ),
-        metrics=(
-            "Health, usage and tickets hold for a month",
-            "Late tasks cleared this quarter, open now: {overdue}",
-            "The owner knows when to escalate",
-            "The monthly checkpoint is clean",
-        ),
-        escalation="Start a risk review when health falls under 50, tickets pass 5 in a month, usage drops under 10 events, or the owner hears of change.",
-        timeline=(((), "30-day monitoring cycle"),),
+        (("", "30-day monitoring cycle"),),
+        metrics=". overdue . .",
     ),
-    Play(
+    Rule(
         "Renewal Monitoring",
-        branches=(
-            Branch(
-                ("renewal_imminent",),
-                (
-                    "Tick off the last tasks, {days} days remain",
-                    "Make sure the offer reached the buyer",
-                    "Last look: usage {usage} events and no new trouble",
-                    "Champion and buyer agree on price and date",
-                    "Any open objection means a renewal risk review",
-                ),
-            ),
-            Branch(
-                (),
-                (
-                    "Follow the renewal, {days} days to go",
-                    "Ask {owner} briefly whether dates hold",
-                    "Scan tickets {tickets}, rating {nps} and usage {usage} for news",
-                    "Check contacts and recent champion activity",
-                    "Return in a month, or sooner if a signal turns",
-                ),
-            ),
-        ),
-        phase_2=(
-            "Finish signing, CRM and billing within a week",
-            "Take a clean health reading after a month",
-            "Bring up growth two months in",
-            "Keep notes on late friction",
-        ),
-        metrics=(
-            "Renewed on time without surprises",
-            "Nothing new goes wrong in the last month",
-            "Paper and billing done within a week",
-            "Health stays at 60 or more to the end",
-        ),
-        escalation="Start a renewal risk review when the champion goes silent in the last month, price is questioned, tickets spike, or sign-off is late.",
-        timeline=(
-            (("renewal_imminent",), "Within 48 hours of renewal date"),
-            ((), "Monthly checkpoint"),
-        ),
+        (("renewal_imminent", "days . usage . ."), ("", "days owner tickets+nps+usage . .")),
+        (("renewal_imminent", "Within 48 hours of renewal date"), ("", "Monthly checkpoint")),
     ),
-    Play(
+    Rule(
         None,
-        branches=(
-            Branch(
-                (),
-                (
-                    "Look through the account with {owner} and choose a plan",
-                    "Compare health {health} and churn risk {churn} with the segment",
-                    "Note the two strongest signals and who follows them",
-                    "Settle owner and date of the next move, at the latest {due}",
-                    "Turn to {role} if things get worse first",
-                ),
-            ),
-        ),
-        phase_2=(
-            "Close the first review with {owner} and confirm owners",
-            "Measure after a month what changed",
-            "Log the plan and its next date",
-            "Turn to {role} if signals fall before then",
-        ),
-        metrics=(
-            "Plan reviewed with {owner} within a week",
-            "Strongest signal has owner and date in two weeks",
-            "CRM notes are current by the end of the cycle",
-            "No surprise escalations",
-        ),
-        escalation="Turn to {role} when health falls under 50, churn risk passes 60, tickets pass 6 in a month, or the owner reports a change.",
-        timeline=(((), "Review within 2 weeks"),),
+        (("", "owner health+churn . due role"),),
+        (("", "Review within 2 weeks"),),
+        phase_2="owner . . role",
+        metrics="owner . . .",
+        escalation="role",
     ),
 )
+
+SHOWN = {
+    "tickets": "support tickets: {tickets}",
+    "usage": "usage events: {usage}",
+    "users": "active users: {users}",
+    "overdue": "overdue actions: {overdue}",
+    "nps": "NPS: {nps}",
+    "days": "days until renewal: {days}",
+    "health": "health score: {health}",
+    "churn": "churn risk score: {churn}",
+    "exp": "expansion score: {exp}",
+    "owner": "account owner: {owner}",
+    "role": "responsible: {role}",
+    "due": "due: {due}",
+}
+MEANING = {
+    "high_support": "many support tickets",
+    "low_usage": "low usage",
+    "high_usage": "high usage",
+    "low_nps": "a low NPS",
+    "renewal_imminent": "a renewal within a month",
+    "renewal_near": "a renewal within a quarter",
+    "very_high_churn": "a very high churn risk",
+    "healthy": "good health",
+    "strong_expansion": "strong expansion",
+    "has_overdue": "overdue actions",
+}
+STEP_KINDS = ("Check", "Discuss", "Decide", "Assign", "Confirm")
+LATER_KINDS = ("Review again", "Report", "Adjust", "Close or renew")
+METRIC_KINDS = ("First measure", "Second measure", "Third measure", "Fourth measure")
+
+
+def _entry(kind: str, values: str, about: str) -> str:
+    """What to do, and the values to do it with or else what it is about."""
+    shown = about if values == "." else ", ".join(SHOWN[name] for name in values.split("+"))
+    return f"{kind} ({shown})"
+
+
+def _entries(kinds: tuple[str, ...], values: str, about: str) -> tuple[str, ...]:
+    return tuple(_entry(kind, v, about) for kind, v in zip(kinds, values.split(), strict=True))
+
+
+def worded(rule: Rule) -> Play:
+    """A play in the default wording."""
+    about = rule.action_type or "the account"
+    branches = []
+    for signals, values in rule.branches:
+        names = tuple(signals.split())
+        cause = " and ".join(MEANING[name] for name in names) or about
+        branches.append(Branch(names, _entries(STEP_KINDS, values, cause)))
+    return Play(
+        rule.action_type,
+        tuple(branches),
+        _entries(LATER_KINDS, rule.phase_2, about),
+        _entries(METRIC_KINDS, rule.metrics, about),
+        _entry("Escalate if it gets worse", rule.escalation, about),
+        tuple((tuple(signals.split()), label) for signals, label in rule.timeline),
+    )
+
+
+PLAYS: tuple[Play, ...] = tuple(map(worded, RULES))
+
+#: Lists of a playbook table, and how many entries each has.
+LISTS = {"immediate": 5, "phase_2": 4, "metrics": 4, "escalation": 1}
+MOST_TEXTS = 10_000
+
+
+def plays_from_table(wording: DataFrame) -> tuple[Play, ...]:
+    """The rules in the words of a table: action_type, signals, list, position, text.
+
+    ``list`` is one of LISTS, ``position`` counts from 1, ``signals`` names the branch of an
+    immediate step (separated by blanks; empty or null for the last branch, and in other lists). The
+    play for all other action types has a null action_type. A name in braces is filled from the
+    account's row; names must be those of ``SHOWN``. What the table leaves out keeps the default.
+    Unknown plays, branches, places or names are errors, as is one place twice. A playbook is small:
+    tables of over MOST_TEXTS rows are refused.
+    """
+    rows = wording.select(
+        "action_type",
+        F.coalesce("signals", F.lit("")).alias("signals"),
+        F.col("list").alias("list_name"),
+        F.col("position").cast("int"),
+        "text",
+    ).take(MOST_TEXTS + 1)
+    if len(rows) > MOST_TEXTS:
+        raise ValueError(f"a playbook table has at most {MOST_TEXTS} rows")
+    texts: dict[tuple, str] = {}
+    for action_type, signals, list_name, position, text in rows:
+        key = (action_type, tuple(signals.split()), list_name, position)
+        unknown = set(re.findall(r"\{(\w+)\}", text or "")) - SHOWN.keys()
+        if list_name not in LISTS or position not in range(1, LISTS[list_name] + 1) or not text or unknown:
+            raise ValueError(f"no such playbook entry: {key} {text!r}")
+        if key in texts:
+            raise ValueError(f"two playbook entries for {key}")
+        texts[key] = text
+
+    def own(default: tuple[str, ...], action_type: str | None, signals: tuple, name: str) -> tuple[str, ...]:
+        places = enumerate(default, 1)
+        return tuple(texts.pop((action_type, signals, name, place), text) for place, text in places)
+
+    plays = []
+    for play in PLAYS:
+        kind = play.action_type
+        branches = tuple(Branch(b.signals, own(b.steps, kind, b.signals, "immediate")) for b in play.branches)
+        plays.append(
+            play._replace(
+                branches=branches,
+                phase_2=own(play.phase_2, kind, (), "phase_2"),
+                metrics=own(play.metrics, kind, (), "metrics"),
+                escalation=own((play.escalation,), kind, (), "escalation")[0],
+            )
+        )
+    if texts:
+        raise ValueError(f"no such playbook branch: {sorted(map(str, texts))[:3]}")
+    return tuple(plays)

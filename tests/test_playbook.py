@@ -4,10 +4,11 @@ import re
 from datetime import date
 from decimal import Decimal
 
+import pytest
 from conftest import frame, values
 
 from tallyscope.operators.playbook import action_playbook, playbook_signals, playbook_steps
-from tallyscope.plans.playbook_content import PLAYS, Branch
+from tallyscope.plans.playbook_content import PLAYS, Branch, plays_from_table
 
 TYPES = dict(
     company_name="string",
@@ -216,7 +217,7 @@ def test_unknown_number_blanks_its_step_only(spark):
 def test_default_play_names_the_date_or_says_tbd(spark):
     cases = [dict(recommended_action_type=None), dict(recommended_action_type="?", recommended_due_date=None)]
     found = values(action_playbook(rows(spark, cases)), "immediate_next_steps", "timeline_label")
-    assert found[0][0][3].endswith("2024-03-06") and found[1][0][3].endswith("TBD")
+    assert found[0][0][3] == "Assign (due: 2024-03-06)" and found[1][0][3] == "Assign (due: TBD)"
     assert found[0][1] == "Review within 2 weeks"
 
 
@@ -260,7 +261,7 @@ def test_steps_are_numbered_per_list(spark):
     df = playbook_steps(action_playbook(rows(spark, [{}])))
     found = {(r.list_name, r.step_number): r.step_text for r in df.collect()}
     assert len(found) == 13
-    assert found["success_metrics", 2] == "Late tasks cleared this quarter, open now: 1"
+    assert found["success_metrics", 2] == "Second measure (overdue actions: 1)"
 
 
 def test_own_wording_can_replace_the_default(spark):
@@ -271,3 +272,47 @@ def test_own_wording_can_replace_the_default(spark):
     row = action_playbook(rows(spark, [{}]), plain).first()
     assert row.immediate_next_steps == ["Call Ann"] * 5
     assert row.escalation_guidance == "Ask Revenue Operations"
+
+
+TABLE = "action_type string, signals string, list string, position int, text string"
+
+
+def test_wording_from_a_table(spark):
+    wording = spark.createDataFrame(
+        [
+            ("Monitor Account", None, "immediate", 1, "Call {owner} of this quiet account"),
+            ("Monitor Account", "has_overdue", "immediate", 2, "Clear {overdue} tasks"),
+            ("Monitor Account", "", "metrics", 4, "Fourth"),
+            ("Monitor Account", "", "escalation", 1, "Ask {role}"),
+            (None, "", "phase_2", 2, "Later"),
+        ],
+        TABLE,
+    )
+    plays = plays_from_table(wording)
+    quiet, late = values(
+        action_playbook(rows(spark, [{}, ON["has_overdue"]]), plays),
+        "immediate_next_steps",
+        "success_metrics",
+        "escalation_guidance",
+    )
+    assert quiet[0][0] == "Call Ann of this quiet account" and quiet[0][1] != "Clear 1 tasks"
+    assert late[0][1] == "Clear 2 tasks" and late[0][0] == PLAYS[9].branches[1].steps[0].format(overdue=2)
+    assert quiet[1][3] == late[1][3] == "Fourth" and quiet[2] == "Ask Revenue Operations"
+    other = action_playbook(rows(spark, [dict(recommended_action_type="?")]), plays).first()
+    assert other.phase_2_next_steps[1] == "Later"
+
+
+@pytest.mark.parametrize(
+    "row",
+    [
+        ("Monitor Account", "", "immediate", 6, "too far"),
+        ("Monitor Account", "", "later", 1, "no such list"),
+        ("Monitor Account", "low_nps", "immediate", 1, "no such branch"),
+        ("No such play", "", "immediate", 1, "text"),
+        ("Monitor Account", "", "immediate", 1, "no {such} value"),
+        ("Monitor Account", "", "immediate", 1, None),
+    ],
+)
+def test_wording_that_fits_nowhere_is_an_error(spark, row):
+    with pytest.raises(ValueError):
+        plays_from_table(spark.createDataFrame([row], TABLE))
