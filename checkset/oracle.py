@@ -13,6 +13,7 @@ from checkset.fixture import AS_OF, FEATURE_NAMES, INDUSTRIES
 from tallyscope.operators import explain
 from tallyscope.operators.actions import NEXT_ACTIONS
 from tallyscope.plans.playbook_content import PLAYS
+from tallyscope.sources.schemas import CONTRACTS
 
 TODAY = f"DATE '{AS_OF}'"
 
@@ -561,11 +562,6 @@ _INTELLIGENCE = f"""{_PROFILE}, {_date("renewal_date")}, {_big("d", "days_until_
     context AS ai_explanation_context,
     'phase_14_v3_dashboard_ready_account_intelligence_with_review_reason'
       AS intelligence_view_version, company_name AS account_name, {_PLAYBOOK}"""
-_SLIM = f"""account_id, company_name, risk_2 AS risk_level, growth AS expansion_level,
-    tier AS customer_priority_tier, {_SCORES}, {_big("d", "days_until_renewal")},
-    priority AS recommended_action_priority, motion AS primary_business_motion,
-    flagged AS needs_human_review, {_double("annual_recurring_revenue")},
-    {_double("open_pipeline_value")}"""
 _AVERAGES = f"""{_mean("sum(h)", "count(*)")} AS avg_health_score,
     {_mean("sum(c)", "count(*)")} AS avg_churn_risk_score,
     {_mean("sum(e)", "count(*)")} AS avg_expansion_score"""
@@ -658,12 +654,19 @@ PRIMARY = " UNION ALL ".join(
     for t, k in _KEYS.items()
 )
 FOREIGN = " UNION ALL ".join(
-    f"""SELECT 'foreign_key' AS "check", '{t}' AS table_name, n AS orphan_ids,
+    f"""SELECT 'foreign_key' AS "check", '{t}' AS table_name, n AS orphan_ids, no_id AS null_ids,
       CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status
-      FROM (SELECT count(DISTINCT account_id) AS n FROM {t}
-        WHERE account_id NOT IN (SELECT account_id FROM accounts))"""
+      FROM (SELECT count(DISTINCT account_id) FILTER (account_id NOT IN (SELECT account_id FROM accounts)) AS n,
+        count(*) FILTER (account_id IS NULL) AS no_id FROM {t})"""
     for t in _CHILDREN
 )
+NOT_NULL = " UNION ALL ".join(
+    f"""SELECT 'not_null' AS "check", '{t}' AS table_name, '{c}' AS column_name,
+      count(*) FILTER ({c} IS NULL) AS null_count,
+      CASE WHEN count(*) FILTER ({c} IS NULL) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM {t}"""
+    for t, contract in CONTRACTS.items()
+    for c in contract.required
+)
 COUNTS = " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, count(*) AS row_count FROM {source}"
     for name, source in (
@@ -687,7 +690,8 @@ SUMMARY = f"""SELECT count(*) FILTER (status = 'PASS') AS passed,
     count(*) FILTER (status = 'WARN') AS warned, count(*) FILTER (status = 'FAIL') AS failed,
     CASE WHEN failed > 0 THEN 'rejected' ELSE 'accepted' END AS verdict
     FROM (SELECT 'PASS' AS status FROM range({len(_KEYS)}) UNION ALL {_COUNT_STATUS}
-      UNION ALL SELECT status FROM ({PRIMARY}) UNION ALL SELECT status FROM ({FOREIGN}))"""
+      UNION ALL SELECT status FROM ({PRIMARY}) UNION ALL SELECT status FROM ({FOREIGN})
+      UNION ALL SELECT status FROM ({NOT_NULL}))"""
 
 
 def _display(column: str, name: str, bands: tuple) -> str:
@@ -803,6 +807,15 @@ PARSED = f"""SELECT account_id,
 
 _URGENT_VALUE = f"CAST({_URGENCY} AS DOUBLE) / 100 AS urgency_score"
 _SCORED_IDS = f"account_id, {_COMPONENTS}"
+_V1 = f"""{_PROFILE}, {_date("renewal_date")}, {_big("d", "days_until_renewal")},
+    {_USAGE}, {_big("days_since_last_touch")}, {_double("open_pipeline_value")},
+    {_big("expansion_opportunity_count")}, {_LATEST}, {_COMPONENTS},
+    {_score("r", "raw_expansion_score")}, {_SCORES}, risk_1 AS risk_level,
+    growth AS expansion_level, tier_1 AS customer_priority_tier,
+    'phase_12_v1_fixed_reference_2024_02_05' AS scoring_model_version"""
+_V2 = """risk_2 AS risk_level_v2, growth AS expansion_level_v2,
+    tier_2 AS customer_priority_tier_v2,
+    'phase_12_v2_adjusted_classification_thresholds' AS scoring_model_version_v2"""
 
 SELECTS = {
     "action_features": f"""SELECT * EXCLUDE (next_open_action_due_date),
@@ -828,17 +841,9 @@ SELECTS = {
     "component_scores": f"SELECT {_SCORED_IDS} FROM parts",
     "composite_scores": f"""SELECT account_id, {_score("r", "raw_expansion_score")}, {_SCORES}
         FROM scored""",
-    "scoring_v1": f"""SELECT {_PROFILE}, {_date("renewal_date")}, {_big("d", "days_until_renewal")},
-        {_USAGE}, {_big("days_since_last_touch")}, {_double("open_pipeline_value")},
-        {_big("expansion_opportunity_count")}, {_LATEST}, {_COMPONENTS},
-        {_score("r", "raw_expansion_score")}, {_SCORES}, risk_1 AS risk_level,
-        growth AS expansion_level, tier_1 AS customer_priority_tier,
-        'phase_12_v1_fixed_reference_2024_02_05' AS scoring_model_version FROM tiered""",
-    "scoring_v2": """SELECT account_id, risk_2 AS risk_level_v2, growth AS expansion_level_v2,
-        tier_2 AS customer_priority_tier_v2,
-        'phase_12_v2_adjusted_classification_thresholds' AS scoring_model_version_v2
-        FROM tiered""",
-    "scoring_v3": """SELECT account_id, tier AS customer_priority_tier_v3,
+    "scoring_v1": f"SELECT {_V1} FROM tiered",
+    "scoring_v2": f"SELECT {_V1}, {_V2} FROM tiered",
+    "scoring_v3": f"""SELECT {_V1}, {_V2}, tier AS customer_priority_tier_v3,
         'phase_12_v3_adjusted_priority_tier_logic' AS scoring_model_version_v3 FROM tiered""",
     "recommended_actions": f"""SELECT {_PROFILE}, {_date("renewal_date")},
         {_big("d", "days_until_renewal")}, {_USAGE}, {_double("open_pipeline_value")}, {_SCORES},
@@ -884,15 +889,15 @@ SELECTS = {
         dashboard_priority_rank, renewal_date, usage_events_last_30_days,
         active_users_last_30_days, support_tickets_last_30_days, nps_score, overdue_action_count,
         open_pipeline_value) FROM (SELECT {_INTELLIGENCE} FROM intel)""",
-    "high_risk": f"SELECT {_SLIM} FROM intel WHERE {_RISKY}",
-    "expansion_ready": f"SELECT {_SLIM} FROM intel WHERE e >= 7500",
-    "review_needed": f"""SELECT {_SLIM}, review_text AS human_review_reason FROM intel
-        WHERE flagged""",
-    "by_motion": f"SELECT {_SLIM} FROM intel WHERE motion = '{registry.MOTION}'",
+    "high_risk": f"SELECT {_INTELLIGENCE} FROM intel WHERE {_RISKY}",
+    "expansion_ready": f"SELECT {_INTELLIGENCE} FROM intel WHERE e >= 7500",
+    "review_needed": f"SELECT {_INTELLIGENCE} FROM intel WHERE flagged",
+    "by_motion": f"SELECT {_INTELLIGENCE} FROM intel WHERE motion = '{registry.MOTION}'",
     "account_by_id": f"SELECT {_INTELLIGENCE} FROM intel WHERE account_id = '{registry.ACCOUNT_ID}'",
     "row_counts": COUNTS,
     "pk_check": PRIMARY,
     "fk_orphans": FOREIGN,
+    "not_null": NOT_NULL,
     "critical_nulls": NULLS,
     "quality_summary": SUMMARY,
     "duplicate_accounts": """SELECT account_id, count(*) AS duplicate_count FROM accounts
@@ -947,21 +952,18 @@ SELECTS = {
     "motion_distribution": f"""SELECT motion AS primary_business_motion, count(*) AS account_count,
         {_mean("sum(c)", "count(*)")} AS avg_churn, {_ARR} AS total_arr
         FROM intel GROUP BY motion""",
-    "account_search": f"SELECT {_SLIM} FROM intel WHERE {_found(registry.SEARCH_TERM)}",
+    "account_search": f"SELECT {_INTELLIGENCE} FROM intel WHERE {_found(registry.SEARCH_TERM)}",
     "priority_queue": _numbered(
-        f"{_SLIM}, {_URGENT_VALUE}",
+        f"{_INTELLIGENCE}, {_URGENT_VALUE}",
         f"intel WHERE {_found(registry.PRESET_TERM)}",
         f"{_URGENCY} DESC, {_ORDER}",
         5,
     ),
     "motion_summary": f"""SELECT motion AS primary_business_motion, count(*) AS account_count,
         {_ARR} AS total_arr FROM intel GROUP BY motion""",
-    "preset_filter": _numbered(
-        _SLIM,
-        f"intel WHERE d <= 60 AND {_found(registry.PRESET_TERM)}",
-        _ORDER,
-        registry.PRESET_LIMIT,
-    ),
+    "preset_filter": f"""SELECT {_INTELLIGENCE} FROM intel
+        WHERE d <= 60 AND {_found(registry.PRESET_TERM)}
+        ORDER BY {_ORDER} LIMIT {registry.PRESET_LIMIT}""",
     "preset_counts": """SELECT count(*) AS "all",
         count(*) FILTER (c >= 6000) AS critical_risk,
         count(*) FILTER (c >= 5000 AND c < 6000) AS high_risk,
@@ -979,14 +981,14 @@ SELECTS = {
           ELSE 'neutral' END AS tone,
         (SELECT count(*) FROM intel WHERE prio_rank <= 2) AS high_priority_accounts
         FROM intel GROUP BY act QUALIFY position <= 5""",
-    "risk_queue": f"SELECT {_SLIM}, {_URGENT_VALUE} FROM intel WHERE {_RISKY}",
+    "risk_queue": f"SELECT {_INTELLIGENCE}, {_URGENT_VALUE} FROM intel WHERE {_RISKY}",
     "risk_queue_totals": f"""SELECT {_ARR} AS arr_at_risk,
         count(*) FILTER (c >= 6000) AS critical_accounts,
         count(*) FILTER (c < 6000) AS high_accounts FROM intel WHERE {_RISKY}""",
-    "expansion_queue": f"SELECT {_SLIM} FROM intel WHERE {_GROWING}",
+    "expansion_queue": f"SELECT {_INTELLIGENCE} FROM intel WHERE {_GROWING}",
     "expansion_queue_totals": f"""SELECT count(*) AS account_count, {_ARR} AS total_arr
         FROM intel WHERE {_GROWING}""",
-    "review_queue": f"SELECT {_SLIM}, {_URGENT_VALUE} FROM intel WHERE flagged",
+    "review_queue": f"SELECT {_INTELLIGENCE}, {_URGENT_VALUE} FROM intel WHERE flagged",
     "display_bands": f"SELECT account_id, {_SCORES}, {_DISPLAYS} FROM intel",
     "steps_from_json": f"""SELECT account_id, CAST(len(found) AS BIGINT) AS step_count,
         {_list("found", "steps")} FROM (SELECT account_id,

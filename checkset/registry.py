@@ -59,24 +59,6 @@ EXPECTED_ROWS = {
 
 COMPONENTS = tuple(scoring.COMPONENT_BANDS)
 SCORES = (scoring.HEALTH, scoring.CHURN, "raw_expansion_score", scoring.EXPANSION)
-SCALAR_LABELS = (
-    "account_id",
-    "company_name",
-    "risk_level",
-    "expansion_level",
-    "customer_priority_tier",
-    "computed_health_score",
-    "computed_churn_risk_score",
-    "computed_expansion_score",
-    "days_until_renewal",
-    "recommended_action_priority",
-    "primary_business_motion",
-    "needs_human_review",
-    "annual_recurring_revenue",
-    "open_pipeline_value",
-)
-
-
 def stored_responses(intelligence: DataFrame) -> DataFrame:
     """Answers in the stored JSON format, built from the accounts' own values.
 
@@ -138,8 +120,13 @@ def steps_from_json(intelligence: DataFrame) -> DataFrame:
     )
 
 
-def _slim(df: DataFrame, *more: str) -> DataFrame:
-    return df.select(*[name for name in SCALAR_LABELS if name in df.columns], *more)
+def _full(p: Portfolio, chosen: DataFrame) -> DataFrame:
+    """Rows chosen and sorted by their labels, with the texts added after the sort."""
+    return p.with_texts(chosen)
+
+
+def _spark(p: Portfolio) -> SparkSession:
+    return p.tables["accounts"].sparkSession
 
 
 def _labels(df: DataFrame, *columns: str) -> DataFrame:
@@ -156,16 +143,8 @@ RELATIONS: dict[str, Callable[[Portfolio], DataFrame]] = {
     "component_scores": lambda p: _labels(p.scoring_v1, *COMPONENTS),
     "composite_scores": lambda p: _labels(p.scoring_v1, *SCORES),
     "scoring_v1": lambda p: p.scoring_v1,
-    "scoring_v2": lambda p: _labels(
-        p.scoring_v2,
-        "risk_level_v2",
-        "expansion_level_v2",
-        "customer_priority_tier_v2",
-        "scoring_model_version_v2",
-    ),
-    "scoring_v3": lambda p: _labels(
-        p.scoring_v3, "customer_priority_tier_v3", "scoring_model_version_v3"
-    ),
+    "scoring_v2": lambda p: p.scoring_v2,
+    "scoring_v3": lambda p: p.scoring_v3,
     "recommended_actions": lambda p: p.recommended,
     "playbook_signals": lambda p: _labels(playbook_signals(p.recommended), *signals()),
     "playbook_timeline": lambda p: _labels(
@@ -180,24 +159,20 @@ RELATIONS: dict[str, Callable[[Portfolio], DataFrame]] = {
     "action_summary": lambda p: rollups.action_summary(p.intelligence),
     "owner_workload": lambda p: rollups.owner_workload(p.intelligence),
     "accounts_ranked": lambda p: queues.listed(p.with_texts(queues.accounts_ranked(p.labels))),
-    "high_risk": lambda p: _slim(queues.high_risk(p.intelligence)),
-    "expansion_ready": lambda p: _slim(queues.expansion_ready(p.intelligence)),
-    "review_needed": lambda p: _slim(queues.review_needed(p.intelligence), "human_review_reason"),
-    "by_motion": lambda p: _slim(queues.by_motion(p.intelligence, MOTION)),
+    "high_risk": lambda p: _full(p, queues.high_risk(p.labels)),
+    "expansion_ready": lambda p: _full(p, queues.expansion_ready(p.labels)),
+    "review_needed": lambda p: _full(p, queues.review_needed(p.labels)),
+    "by_motion": lambda p: _full(p, queues.by_motion(p.labels, MOTION)),
     "account_by_id": lambda p: queues.account_by_id(p.intelligence, ACCOUNT_ID),
-    "row_counts": lambda p: quality.row_counts(
-        {
-            **p.tables,
-            "recommended_actions_engine": p.recommended,
-            "account_action_playbook": p.playbook,
-            "account_intelligence_view": p.intelligence,
-        }
+    "row_counts": lambda p: quality.row_counts(p.tables).unionByName(
+        quality.derived_row_counts(p.recommended)
     ),
-    "pk_check": lambda p: quality.primary_keys(p.tables),
-    "fk_orphans": lambda p: quality.foreign_key_orphans(p.tables),
-    "critical_nulls": lambda p: quality.critical_nulls(p.tables),
+    "pk_check": lambda p: quality.primary_keys(_spark(p), p.tables),
+    "fk_orphans": lambda p: quality.foreign_key_orphans(_spark(p), p.tables),
+    "not_null": lambda p: quality.not_null(_spark(p), p.tables),
+    "critical_nulls": lambda p: quality.critical_nulls(_spark(p), p.tables),
     "quality_summary": lambda p: quality.quality_summary(
-        quality.quality_report(p.tables["accounts"].sparkSession, p.tables, EXPECTED_ROWS)
+        quality.quality_report(_spark(p), p.tables, EXPECTED_ROWS)
     ),
     "duplicate_accounts": lambda p: quality.duplicate_accounts(p.tables["accounts"]),
     "missing_accounts": lambda p: quality.missing_accounts(p.tables["accounts"], p.intelligence),
@@ -211,22 +186,20 @@ RELATIONS: dict[str, Callable[[Portfolio], DataFrame]] = {
     "top10_review": lambda p: queues.top_review(p.intelligence),
     "owner_subset": lambda p: quality.owner_subset(rollups.owner_workload(p.intelligence)),
     "motion_distribution": lambda p: rollups.motion_distribution(p.intelligence),
-    "account_search": lambda p: _slim(explore.account_search(p.intelligence, SEARCH_TERM)),
-    "priority_queue": lambda p: _slim(
-        explore.priority_queue(p.intelligence, PRESET_TERM), "urgency_score", "position"
-    ),
+    "account_search": lambda p: _full(p, explore.account_search(p.labels, SEARCH_TERM)),
+    "priority_queue": lambda p: _full(p, explore.priority_queue(p.labels, PRESET_TERM)),
     "motion_summary": lambda p: explore.motion_summary(p.intelligence),
-    "preset_filter": lambda p: _slim(
-        explore.preset_filter(p.intelligence, PRESET, PRESET_TERM, PRESET_LIMIT), "position"
+    "preset_filter": lambda p: _full(
+        p, explore.preset_filter(p.labels, PRESET, PRESET_TERM, PRESET_LIMIT)
     ),
     "preset_counts": lambda p: explore.preset_counts(p.intelligence),
     "risk_totals": lambda p: explore.risk_totals(rollups.risk_summary(p.intelligence)),
     "action_mix": lambda p: explore.action_mix(rollups.action_summary(p.intelligence)),
-    "risk_queue": lambda p: _slim(explore.risk_queue(p.intelligence), "urgency_score"),
+    "risk_queue": lambda p: _full(p, explore.risk_queue(p.labels)),
     "risk_queue_totals": lambda p: explore.risk_queue_totals(p.intelligence),
-    "expansion_queue": lambda p: _slim(explore.expansion_queue(p.intelligence)),
+    "expansion_queue": lambda p: _full(p, explore.expansion_queue(p.labels)),
     "expansion_queue_totals": lambda p: explore.expansion_queue_totals(p.intelligence),
-    "review_queue": lambda p: _slim(explore.review_queue(p.intelligence), "urgency_score"),
+    "review_queue": lambda p: _full(p, explore.review_queue(p.labels)),
     "display_bands": lambda p: explore.display_bands(p.intelligence),
     "steps_from_json": lambda p: steps_from_json(p.intelligence),
     "explanation_context": lambda p: explain.explanation_context(p.intelligence),

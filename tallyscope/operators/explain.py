@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.rules import Sql, sql
-from tallyscope.functions.text import as_text
+from tallyscope.functions.text import as_text, whole_json
 
 MISSING = "—"
 
@@ -192,7 +192,7 @@ def parse_explanations(responses: DataFrame, body: str = "response_json") -> Dat
     )
     listed = _member(whole, "key_signal_drivers")
     return (
-        responses.withColumn("__whole", F.try_parse_json(F.col(body)))
+        responses.withColumn("__whole", whole_json(F.col(body)))
         .withColumn("__entries", F.try_variant_get(listed, "$", "array<variant>"))
         .withColumn(
             "parse_error",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.rules import Bands, aliased, by_bands, by_value, first_match, sql
+from tallyscope.functions.text import whole_json
 from tallyscope.operators import scoring as S
 from tallyscope.operators.intelligence import MOTIONS
 from tallyscope.operators.queues import priority_order, top
@@ -112,14 +113,16 @@ def preset_conditions() -> dict[str, Column]:
 def preset_filter(
     intelligence: DataFrame, preset: str = "all", term: str = "", limit: int | None = None
 ) -> DataFrame:
-    """Preset, then search, then the first rows in priority order (all of them without a limit)."""
+    """Preset, then search, then the first rows in priority order (all of them without a limit).
+
+    The columns are the same with and without a limit; ``queues.top`` adds positions where wanted.
+    """
     conditions = preset_conditions()
     if preset not in conditions:
         raise ValueError(f"unknown preset {preset!r}, expected one of {', '.join(conditions)}")
     found = account_search(intelligence.where(conditions[preset]), term)
-    if limit is None:
-        return found.orderBy(*priority_order())
-    return top(found, priority_order(), limit)
+    ordered = found.orderBy(*priority_order())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def preset_counts(intelligence: DataFrame) -> DataFrame:
@@ -229,7 +232,14 @@ def display_bands(intelligence: DataFrame) -> DataFrame:
 
 
 def steps_from_json(text: Column) -> Column:
-    """A list from its JSON text; other text becomes a one-entry list, nothing an empty list."""
+    """A list from its JSON text; any other text becomes a one-entry list, nothing an empty list.
+
+    The whole text has to be a JSON list; a JSON string is the one entry it holds.
+    """
+    parsed = whole_json(text)
+    listed = F.try_variant_get(parsed, "$", "array<string>")
+    kind = F.schema_of_variant(parsed)
+    entry = F.when(kind == "STRING", F.try_variant_get(parsed, "$", "string")).otherwise(text)
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).otherwise(
-        F.coalesce(F.from_json(text, "array<string>"), F.array(text))
+        F.coalesce(listed, F.array(entry))
     )

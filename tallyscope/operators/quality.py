@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.rules import by_value
 from tallyscope.operators import scoring as S
-from tallyscope.sources.readers import Tables
+from tallyscope.sources.readers import Tables, absent_columns
 from tallyscope.sources.schemas import ACCOUNT_CHILDREN, CONTRACTS
 
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
@@ -33,45 +33,115 @@ PLAYBOOK_FIELDS = (
 )
 
 
-def _stacked(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def _stacked(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    """All parts in one; without any, an empty frame of the schema."""
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+FINDING = "check string, table_name string, metric string, value bigint, status string"
 
 
 def _pass_if_zero(value: Column) -> Column:
     return F.when(value == 0, PASS).otherwise(FAIL)
 
 
-def inputs_present(spark: SparkSession, tables: Tables) -> DataFrame:
-    """One row per expected table; reads nothing from the tables."""
-    found = [
+def _constant(spark: SparkSession, findings: list[tuple]) -> DataFrame:
+    """Findings that need no data, as an inlined constant."""
+    names = [column.split()[0] for column in FINDING.split(", ")]
+    rows = [
         F.struct(
-            F.lit("present").alias("check"),
-            F.lit(name).alias("table_name"),
-            F.lit("found").alias("metric"),
-            F.lit(int(name in tables)).cast("bigint").alias("value"),
-            F.lit(PASS if name in tables else FAIL).alias("status"),
+            *[
+                (F.lit(v).cast("bigint") if n == "value" else F.lit(v)).alias(n)
+                for n, v in zip(names, finding, strict=True)
+            ]
         )
-        for name in CONTRACTS
+        for finding in findings
     ]
-    return spark.range(1).select(F.inline(F.array(*found)))
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
+def inputs_present(spark: SparkSession, tables: Tables) -> DataFrame:
+    """One row per expected table; reads nothing from the tables."""
+    return _constant(
+        spark,
+        [
+            ("present", name, "found", int(name in tables), PASS if name in tables else FAIL)
+            for name in CONTRACTS
+        ],
+    )
+
+
+def missing_columns(spark: SparkSession, tables: Tables) -> DataFrame:
+    """A failure for each required column, key or account id that a present table lacks."""
+    findings = []
+    for name, df in tables.items():
+        contract = CONTRACTS[name]
+        needed = dict.fromkeys(
+            (contract.key, *contract.required, *(["account_id"] if name in ACCOUNT_CHILDREN else []))
+        )
+        absent = set(absent_columns(df, contract))
+        findings += [("missing_column", name, c, 1, FAIL) for c in needed if c in absent]
+    return _constant(spark, findings) if findings else spark.createDataFrame([], FINDING)
 
 
 def row_counts(tables: Tables) -> DataFrame:
     """Also for derived relations: any mapping of name to DataFrame."""
-    return _stacked(
+    return reduce(
+        DataFrame.unionByName,
         [
             df.agg(F.count(F.lit(1)).alias("row_count")).select(
                 F.lit(name).alias("table_name"), "row_count"
             )
             for name, df in tables.items()
-        ]
+        ],
     )
 
 
-def row_count_check(tables: Tables, expected: Mapping[str, int]) -> DataFrame:
-    """A different count is a warning, never a failure."""
+def derived_row_counts(intelligence: DataFrame) -> DataFrame:
+    """Counts of the three relations that are projections of one another, from one of them.
+
+    ``intelligence`` is best a written table (``Portfolio.written``); it is counted once.
+    """
+    names = ("recommended_actions_engine", "account_action_playbook", "account_intelligence_view")
+    return intelligence.agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.explode(F.array(*map(F.lit, names))).alias("table_name"), "row_count"
+    )
+
+
+TABLE_FACTS = "table_name string, row_count bigint, null_keys bigint, duplicate_keys bigint"
+
+
+def table_facts(spark: SparkSession, tables: Tables) -> DataFrame:
+    """Rows, missing keys, and rows beyond the first of each key, from one read of each table.
+
+    A table without its key column has all keys missing. The rows of a key are combined per task, so
+    the shuffle carries each key once a task, and only counts come together.
+    """
+    parts = []
+    for name, df in tables.items():
+        key = CONTRACTS[name].key
+        named = F.col(key) if key in df.columns else F.lit(None).cast("string")
+        by_key = df.groupBy(named.alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+        known = F.col("key").isNotNull()
+        parts.append(
+            by_key.agg(
+                F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"),
+                F.coalesce(F.sum(F.when(~known, F.col("rows"))), F.lit(0)).alias("null_keys"),
+                F.coalesce(F.sum(F.when(known, F.col("rows") - 1)), F.lit(0)).alias("beyond"),
+            ).select(
+                F.lit(name).alias("table_name"),
+                "row_count",
+                "null_keys",
+                # missing keys count as one key
+                (F.col("beyond") + F.greatest(F.col("null_keys") - 1, F.lit(0))).alias("duplicate_keys"),
+            )
+        )
+    return _stacked(parts, spark, TABLE_FACTS)
+
+
+def _row_count_findings(facts: DataFrame, expected: Mapping[str, int]) -> DataFrame:
     wanted = F.expr(by_value("table_name", expected, None))
-    return row_counts({name: df for name, df in tables.items() if name in expected}).select(
+    return facts.where(wanted.isNotNull()).select(
         F.lit("row_count").alias("check"),
         "table_name",
         F.lit("rows").alias("metric"),
@@ -80,83 +150,145 @@ def row_count_check(tables: Tables, expected: Mapping[str, int]) -> DataFrame:
     )
 
 
-def primary_keys(tables: Tables) -> DataFrame:
+def row_count_check(tables: Tables, expected: Mapping[str, int]) -> DataFrame:
+    """A different count is a warning, never a failure."""
+    return _row_count_findings(
+        row_counts({name: df for name, df in tables.items() if name in expected}), expected
+    )
+
+
+def primary_keys(spark: SparkSession, tables: Tables) -> DataFrame:
     """Missing keys, and rows beyond the first of each key (missing keys count as one key)."""
+    return table_facts(spark, tables).select(
+        F.lit("primary_key").alias("check"),
+        "table_name",
+        "null_keys",
+        "duplicate_keys",
+        _pass_if_zero(F.col("null_keys") + F.col("duplicate_keys")).alias("status"),
+    )
+
+
+def foreign_key_orphans(spark: SparkSession, tables: Tables) -> DataFrame:
+    """Distinct account ids of each child table that no account has, and rows without an id.
+
+    Only distinct ids of a table meet the accounts. A child table without ``account_id`` fails, and
+    without the accounts all ids are orphans. Rows without an id do not fail by themselves.
+    """
+    accounts = tables.get("accounts")
+    if accounts is not None and "account_id" in accounts.columns:
+        known = accounts.select(F.col("account_id").cast("string").alias("account_id"))
+    else:
+        known = spark.createDataFrame([], "account_id string")
     parts = []
-    for name, df in tables.items():
-        key = F.col(CONTRACTS[name].key)
-        missing, duplicates = F.col("missing"), F.col("duplicates")
+    for name in ACCOUNT_CHILDREN:
+        if name not in tables:
+            continue
+        absent = "account_id" in absent_columns(tables[name], CONTRACTS[name])
+        id_of = F.lit(None).cast("string") if absent else F.col("account_id").cast("string")
+        ids = tables[name].groupBy(id_of.alias("account_id")).agg(F.count(F.lit(1)).alias("rows"))
+        unknown = ids.join(known, "account_id", "left_anti")
         parts.append(
-            df.agg(
-                F.count_if(key.isNull()).alias("missing"),
-                (
-                    F.count(F.lit(1))
-                    - F.count_distinct(key)
-                    - F.when(F.count_if(key.isNull()) > 0, 1).otherwise(0)
-                ).alias("duplicates"),
+            unknown.agg(
+                F.count("account_id").alias("orphan_ids"),
+                F.coalesce(F.sum(F.when(F.col("account_id").isNull(), F.col("rows"))), F.lit(0)).alias(
+                    "null_ids"
+                ),
             ).select(
-                F.lit("primary_key").alias("check"),
+                F.lit("foreign_key").alias("check"),
                 F.lit(name).alias("table_name"),
-                missing.alias("null_keys"),
-                duplicates.alias("duplicate_keys"),
-                _pass_if_zero(missing + duplicates).alias("status"),
+                "orphan_ids",
+                "null_ids",
+                (F.lit(FAIL) if absent else _pass_if_zero(F.col("orphan_ids"))).alias("status"),
             )
         )
-    return _stacked(parts)
+    return _stacked(
+        parts,
+        spark,
+        "check string, table_name string, orphan_ids bigint, null_ids bigint, status string",
+    )
 
 
-def foreign_key_orphans(tables: Tables) -> DataFrame:
-    """Distinct account ids of each child table that no account has."""
-    accounts = tables["accounts"].select("account_id")
-    parts = []
-    for name in ACCOUNT_CHILDREN:
-        if name in tables:
-            ids = tables[name].select("account_id").where(F.col("account_id").isNotNull())
-            orphans = ids.distinct().join(accounts, "account_id", "left_anti")
-            parts.append(
-                orphans.agg(F.count(F.lit(1)).alias("orphans")).select(
-                    F.lit("foreign_key").alias("check"),
-                    F.lit(name).alias("table_name"),
-                    F.col("orphans").alias("orphan_ids"),
-                    _pass_if_zero(F.col("orphans")).alias("status"),
-                )
-            )
-    return _stacked(parts)
+NULLS = "table_name string, column_name string, null_count bigint"
 
 
-def critical_nulls(tables: Tables) -> DataFrame:
-    """NULLs per critical column; for information, without effect on the verdict."""
+def _null_counts(spark: SparkSession, tables: Tables, columns_of) -> DataFrame:
     parts = []
     for name, df in tables.items():
-        columns = CONTRACTS[name].critical
+        columns = columns_of(CONTRACTS[name])
         if columns:
-            counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+            counts = df.agg(
+                *[
+                    (
+                        F.count_if(F.col(c).isNull()) if c in df.columns else F.count(F.lit(1))
+                    ).alias(c)
+                    for c in columns
+                ]
+            )
             parts.append(
                 counts.unpivot([], list(columns), "column_name", "null_count").select(
                     F.lit(name).alias("table_name"), "column_name", "null_count"
                 )
             )
-    return _stacked(parts)
+    return _stacked(parts, spark, NULLS)
+
+
+def not_null(spark: SparkSession, tables: Tables) -> DataFrame:
+    """NULLs per column that the contract requires; any of them is a failure."""
+    return _null_counts(spark, tables, lambda contract: contract.required).select(
+        F.lit("not_null").alias("check"),
+        "table_name",
+        "column_name",
+        "null_count",
+        _pass_if_zero(F.col("null_count")).alias("status"),
+    )
+
+
+def critical_nulls(spark: SparkSession, tables: Tables) -> DataFrame:
+    """NULLs per critical column; for information, without effect on the verdict."""
+    return _null_counts(spark, tables, lambda contract: contract.critical)
 
 
 def quality_report(
     spark: SparkSession, tables: Tables, expected: Mapping[str, int] | None = None
 ) -> DataFrame:
-    """All findings with a status; absent tables are reported and skipped by the other checks."""
-    parts = [inputs_present(spark, tables)]
-    if expected:
-        parts.append(row_count_check(tables, expected))
-    keys = primary_keys(tables).select(
-        "check",
-        "table_name",
+    """All findings with a status; absent tables are reported and skipped by the other checks.
+
+    Counts and keys come from one read of each table, required columns from another of those columns
+    alone, orphans from one of the ids.
+    """
+    facts = table_facts(spark, tables)
+    keys = F.col("null_keys") + F.col("duplicate_keys")
+    # one row a table carries both findings, so that the table is not read for each
+    counted = F.expr(by_value("table_name", expected or {}, None)) if expected else F.lit(None)
+    key_finding = F.struct(
+        F.lit("primary_key").alias("check"),
         F.lit("null_or_duplicate").alias("metric"),
-        (F.col("null_keys") + F.col("duplicate_keys")).alias("value"),
-        "status",
+        keys.alias("value"),
+        _pass_if_zero(keys).alias("status"),
+    )
+    row_finding = F.struct(
+        F.lit("row_count").alias("check"),
+        F.lit("rows").alias("metric"),
+        F.col("row_count").alias("value"),
+        F.when(F.col("row_count") == counted, PASS).otherwise(WARN).alias("status"),
+    )
+    both = F.when(counted.isNull(), F.array(key_finding)).otherwise(F.array(key_finding, row_finding))
+    from_facts = facts.select("table_name", F.inline(both)).select(
+        "check", "table_name", "metric", "value", "status"
+    )
+    parts = [inputs_present(spark, tables), missing_columns(spark, tables), from_facts]
+    parts.append(
+        not_null(spark, tables).select(
+            "check",
+            "table_name",
+            F.col("column_name").alias("metric"),
+            F.col("null_count").alias("value"),
+            "status",
+        )
     )
-    parts.append(keys)
     if "accounts" in tables:
         parts.append(
-            foreign_key_orphans(tables).select(
+            foreign_key_orphans(spark, tables).select(
                 "check",
                 "table_name",
                 F.lit("orphan_ids").alias("metric"),
@@ -164,7 +296,7 @@ def quality_report(
                 "status",
             )
         )
-    return _stacked(parts)
+    return _stacked(parts, spark, FINDING)
 
 
 def quality_summary(report: DataFrame) -> DataFrame:

@@ -68,7 +68,11 @@ def priority_order() -> list[Column]:
 
 
 def top(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows with their position; only those few rows meet in one task."""
+    """The first ``limit`` rows with their position.
+
+    Each task keeps its first ``limit`` rows and one task sorts what is left, so this is for limits
+    of report size; for long lists sort without a limit.
+    """
     first = df.orderBy(*order).limit(limit)
     return first.withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
@@ -109,8 +113,8 @@ def by_motion(intelligence: DataFrame, motion: str) -> DataFrame:
 
 
 def account_by_id(intelligence: DataFrame, account_id: str) -> DataFrame:
-    """At most one row; the filter reaches the scans of all base tables."""
-    return intelligence.where(F.col("account_id") == account_id).limit(1)
+    """The rows of one account, one for each engagement row it has; the filter reaches all scans."""
+    return intelligence.where(F.col("account_id") == account_id)
 
 
 def top_high_risk(intelligence: DataFrame, limit: int = 10) -> DataFrame:

@@ -6,36 +6,94 @@ from collections.abc import Callable, Iterable, Mapping
 from uuid import uuid4
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyscope.sources.schemas import CONTRACTS, TableContract
 
 Tables = Mapping[str, DataFrame]
 
 
+#: Column of a CSV row's whole text where the row does not fit the header.
+CORRUPT = "_corrupt_row"
+#: Metadata key of a column that the source lacks and ``conform`` filled with NULL.
+ABSENT = "absent"
+
+
 def conform(df: DataFrame, contract: TableContract) -> DataFrame:
-    """Contract columns in contract order and type; absent columns become NULL."""
+    """Contract columns by name, in contract order and type; absent columns become NULL.
+
+    An absent column is marked in its metadata, so that checks can tell it from a column of NULLs.
+    """
     present = set(df.columns)
     return df.select(
         *[
-            (F.col(name) if name in present else F.lit(None)).cast(kind).alias(name)
+            F.col(name).cast(kind).alias(name)
+            if name in present
+            else F.lit(None).cast(kind).alias(name, metadata={ABSENT: True})
             for name, kind in contract.columns
         ]
     )
 
 
-def read_csv_table(spark: SparkSession, path: str, contract: TableContract) -> DataFrame:
-    """The header is skipped, not interpreted: these files start with a byte-order mark."""
+def absent_columns(df: DataFrame, contract: TableContract) -> list[str]:
+    """Contract columns that the source of ``df`` lacks."""
+    fields = {field.name: field for field in df.schema.fields}
+    return [
+        name
+        for name, _ in contract.columns
+        if name not in fields or fields[name].metadata.get(ABSENT)
+    ]
+
+
+def csv_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV file's cells as text, by the names in its header, and ``CORRUPT``.
+
+    A byte-order mark is dropped. Line breaks inside quotes are kept; reading them makes a file one
+    task, so large exports should come as many files, or be read with ``multi_line=False``.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    names = reader.option("enforceSchema", False).csv(path).columns
+    schema = T.StructType([T.StructField(n.lstrip("\ufeff"), T.StringType()) for n in names])
+    schema = schema.add(CORRUPT, T.StringType())
     return (
-        spark.read.schema(contract.schema)
-        .option("header", True)
+        reader.schema(schema)
         .option("enforceSchema", True)
-        .option("multiLine", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
 
 
+def _bad_cells(text: DataFrame, contract: TableContract) -> list[Column]:
+    """The name of each contract column whose cell has text that its type cannot hold, else NULL."""
+    return [
+        F.when(F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull(), F.lit(name))
+        for name, kind in contract.columns
+        if name in text.columns
+    ]
+
+
+def split_csv_table(
+    spark: SparkSession, path: str, contract: TableContract, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the contract, and rejects: cells as text, ``bad_columns`` and ``CORRUPT``.
+
+    A row is rejected if it does not fit the header or a cell does not fit its column's type.
+    """
+    text = csv_text(spark, path, multi_line)
+    bad = F.array_compact(F.array(*_bad_cells(text, contract)).cast("array<string>"))
+    judged = text.withColumn("bad_columns", bad)
+    good = F.col(CORRUPT).isNull() & (F.size("bad_columns") == 0)
+    return conform(judged.where(good), contract), judged.where(~good)
+
+
+def read_csv_table(spark: SparkSession, path: str, contract: TableContract) -> DataFrame:
+    """The good rows of a CSV file, columns by name; ``split_csv_table`` also gives the others."""
+    return split_csv_table(spark, path, contract)[0]
+
+
 def read_parquet_table(spark: SparkSession, path: str, contract: TableContract) -> DataFrame:
     return conform(spark.read.parquet(path), contract)
 
@@ -85,7 +143,8 @@ def write_between_stages(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df`` with a Parquet table in the cluster's shared checkpoint folder.
 
     Unlike ``checkpoint()`` the written table keeps column pruning and filter pushdown for the
-    reports that read it, and it outlives lost executors.
+    reports that read it, and it outlives lost executors. Nothing here removes it: the folder is
+    scratch space, and whoever runs the job empties it when the job is over.
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -9,7 +9,7 @@ import pytest
 from conftest import SMALL
 
 from checkset import registry
-from tallyscope.operators import queues, rollups
+from tallyscope.operators import quality, queues, rollups
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
 
@@ -73,3 +73,33 @@ def test_no_python_runs_in_any_query(portfolio):
         text = plan(relation(portfolio))
         assert "Python" not in text and "Pandas" not in text, name
         assert "CartesianProduct" not in text and "BroadcastNestedLoop" not in text, name
+
+
+LISTS = """
+accounts_ranked high_risk expansion_ready review_needed by_motion priority_queue preset_filter
+risk_queue expansion_queue review_queue
+""".split()
+
+
+def test_list_texts_are_built_after_the_sort(portfolio):
+    for name in LISTS:
+        text = plan(registry.RELATIONS[name](portfolio))
+        # the plan prints from the last step to the first, so what comes before the sort stands below
+        above, _, below = text.partition("TakeOrderedAndProject" if "TakeOrdered" in text else "Sort [")
+        assert below and "immediate_next_steps" not in below and "__branch" not in below, name
+        assert "immediate_next_steps" in above, name
+
+
+def scans(df) -> int:
+    return plan(df).count("FileScan parquet")
+
+
+def test_quality_reads_each_table_once_a_check(spark, portfolio):
+    tables = portfolio.tables
+    once = sum(scans(df) for df in tables.values())
+    assert scans(quality.primary_keys(spark, tables)) <= once
+    assert scans(registry.RELATIONS["row_counts"](portfolio)) <= once + scans(portfolio.recommended)
+    report = quality.quality_report(spark, tables, registry.EXPECTED_ROWS)
+    children = sum(scans(tables[name]) for name in quality.ACCOUNT_CHILDREN)
+    orphans = children + len(quality.ACCOUNT_CHILDREN) * scans(tables["accounts"])
+    assert scans(report) <= 2 * once + orphans

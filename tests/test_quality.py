@@ -10,7 +10,15 @@ from test_actions_and_labels import recommended
 from tallyscope import Portfolio
 from tallyscope.operators import quality
 from tallyscope.operators.intelligence import account_intelligence, account_labels
-from tallyscope.sources.readers import read_available_tables, read_tables, write_between_stages
+from tallyscope.sources.readers import (
+    CORRUPT,
+    absent_columns,
+    read_available_tables,
+    read_csv_table,
+    read_tables,
+    split_csv_table,
+    write_between_stages,
+)
 from tallyscope.sources.schemas import CONTRACTS
 
 
@@ -37,24 +45,24 @@ def tables(spark):
     }
 
 
-def test_primary_keys_count_nulls_and_rows_beyond_the_first(tables):
-    found = {r.table_name: r for r in quality.primary_keys(tables).collect()}
+def test_primary_keys_count_nulls_and_rows_beyond_the_first(spark, tables):
+    found = {r.table_name: r for r in quality.primary_keys(spark, tables).collect()}
     assert (found["accounts"].null_keys, found["accounts"].duplicate_keys) == (0, 1)
     # Two missing keys are one duplicate, the repeated "2" another.
     assert (found["actions"].null_keys, found["actions"].duplicate_keys) == (2, 2)
     assert found["actions"].status == "FAIL" and found["system_logs"].status == "PASS"
 
 
-def test_orphans_are_distinct_and_ignore_null(tables):
-    assert [tuple(r) for r in quality.foreign_key_orphans(tables).collect()] == [
-        ("foreign_key", "actions", 2, "FAIL")
+def test_orphans_are_distinct_and_null_ids_apart(spark, tables):
+    assert [tuple(r) for r in quality.foreign_key_orphans(spark, tables).collect()] == [
+        ("foreign_key", "actions", 2, 1, "FAIL")
     ]
 
 
-def test_critical_nulls(tables):
+def test_critical_nulls(spark, tables):
     found = {
         (r.table_name, r.column_name): r.null_count
-        for r in quality.critical_nulls(tables).collect()
+        for r in quality.critical_nulls(spark, tables).collect()
     }
     assert found["accounts", "company_name"] == 1 and found["accounts", "renewal_date"] == 3
     assert found["actions", "priority"] == 4 and found["actions", "account_id"] == 1
@@ -69,8 +77,8 @@ def test_report_and_summary(spark, tables):
     assert statuses["row_count", "actions"] == "WARN"
     assert ("row_count", "experiments") not in statuses
     summary = quality.quality_summary(report).first()
-    # present 3/8, counts 1 of 2, keys 1 of 3, orphans 0 of 1
-    assert tuple(summary) == (5, 1, 8, "rejected")
+    # present 3/8, counts 1 of 2, keys 1 of 3, orphans 0 of 1, not null 2 of 5
+    assert tuple(summary) == (7, 1, 11, "rejected")
 
 
 def test_clean_tables_are_accepted(spark):
@@ -181,3 +189,75 @@ def test_relations_can_be_queried_by_name(spark):
     assert tuple(row) == (Decimal("48.25"), "Tier 4 - Monitor")
     assert spark.sql("SELECT total_accounts FROM dashboard_kpis").first()[0] == 1
     assert spark.table("dashboard_owner_workload").first().low_action_count == 1
+
+
+def test_absent_tables_and_columns_are_findings_not_errors(spark, tables, tmp_path):
+    for present in ({}, {"accounts": tables["accounts"]}, {"experiments": table(spark, "experiments")}):
+        summary = quality.quality_summary(quality.quality_report(spark, present)).first()
+        assert summary.verdict == "rejected"
+    assert read_available_tables(spark, str(tmp_path), "parquet") == {}
+    for check in (quality.primary_keys, quality.foreign_key_orphans, quality.critical_nulls, quality.not_null):
+        assert check(spark, {}).count() == 0
+
+
+def test_a_table_without_its_key_fails(spark, tables, tmp_path):
+    tables["actions"].drop("account_id", "action_id").write.parquet(f"{tmp_path}/actions.parquet")
+    tables["accounts"].write.parquet(f"{tmp_path}/accounts.parquet")
+    read = read_available_tables(spark, str(tmp_path), "parquet")
+    plain = {**tables, "actions": tables["actions"].drop("account_id", "action_id")}
+    for found in (read, plain):
+        missing = quality.missing_columns(spark, found).collect()
+        assert {(r.table_name, r.metric, r.status) for r in missing} >= {
+            ("actions", "account_id", "FAIL"),
+            ("actions", "action_id", "FAIL"),
+        }
+        orphans = quality.foreign_key_orphans(spark, found).where("table_name = 'actions'").first()
+        assert (orphans.orphan_ids, orphans.null_ids, orphans.status) == (0, 5, "FAIL")
+        keys = quality.primary_keys(spark, found).where("table_name = 'actions'").first()
+        assert (keys.null_keys, keys.status) == (5, "FAIL")
+        assert quality.quality_summary(quality.quality_report(spark, found)).first().verdict == "rejected"
+
+
+def test_not_null(spark, tables):
+    found = {(r.table_name, r.column_name): (r.null_count, r.status) for r in quality.not_null(spark, tables).collect()}
+    assert found["accounts", "company_name"] == (1, "FAIL")
+    assert found["accounts", "account_id"] == (0, "PASS")
+    assert found["actions", "action_id"] == (2, "FAIL")
+
+
+def csv_file(tmp_path, text: str) -> str:
+    path = tmp_path / "accounts.csv"
+    path.write_text(text, encoding="utf-8")
+    return str(path)
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    path = csv_file(
+        tmp_path,
+        "\ufeffcompany_name,account_owner,account_id,annual_recurring_revenue,unknown\n"
+        '"Acme\nWorks, ""the"" one",Ann,a,12.50,x\n',
+    )
+    rows = read_csv_table(spark, path, CONTRACTS["accounts"])
+    row = rows.first()
+    assert (row.account_id, row.company_name, row.account_owner) == ("a", 'Acme\nWorks, "the" one', "Ann")
+    assert row.annual_recurring_revenue == Decimal("12.50") and row.company_size is None
+    absent = absent_columns(rows, CONTRACTS["accounts"])
+    assert "company_size" in absent and "account_id" not in absent
+    assert rows.columns == [name for name, _ in CONTRACTS["accounts"].columns]
+
+
+def test_csv_rejects(spark, tmp_path):
+    path = csv_file(
+        tmp_path,
+        "account_id,company_name,company_size,renewal_date\n"
+        "a,Acme,12,2026-01-02\n"
+        "b,Bolt,many,2026-01-02\n"
+        "c,Cog,5,soon\n"
+        "d,Dot,5\n"
+        "e,Egg,,\n",
+    )
+    good, rejects = split_csv_table(spark, path, CONTRACTS["accounts"])
+    assert [r.account_id for r in good.orderBy("account_id").collect()] == ["a", "e"]
+    bad = {r.account_id: (r.bad_columns, r[CORRUPT]) for r in rejects.collect()}
+    assert bad["b"] == (["company_size"], None) and bad["c"] == (["renewal_date"], None)
+    assert bad["d"][1] == "d,Dot,5"

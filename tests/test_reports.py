@@ -185,3 +185,19 @@ def test_lists_from_json_text(spark):
     assert [r.steps for r in found] == [
         [], [], ["a", "b"], [], ["plain words"], ['["broken'], ["x", None],
     ]
+
+
+def test_json_lists_keep_the_whole_text(spark):
+    cases = ['["a"] tail', '"str"', '["a", "b"]', "[1, null]", '{"a": 1}', "plain", "[", " "]
+    df = spark.createDataFrame(list(enumerate(cases)), "n int, t string")
+    found = df.select("n", explore.steps_from_json(df.t).alias("steps")).orderBy("n").collect()
+    assert [r.steps for r in found] == [
+        ['["a"] tail'],
+        ["str"],
+        ["a", "b"],
+        ["1", None],
+        ['{"a": 1}'],
+        ["plain"],
+        ["["],
+        [" "],
+    ]
