@@ -1001,3 +1001,21 @@ SELECTS = {
 
 def statements() -> dict[str, str]:
     return {name: _with(select) for name, select in SELECTS.items()}
+
+
+#: Queries whose rows come in an order, as the sequence of their accounts.
+_SEQUENCES = {
+    "accounts_ranked": f"intel ORDER BY {_ORDER}",
+    "high_risk": f"intel WHERE {_RISKY} ORDER BY c DESC, d ASC NULLS LAST, account_id",
+    "expansion_ready": "intel WHERE e >= 7500 ORDER BY e DESC, open_pipeline_value DESC NULLS FIRST, account_id",
+    "review_needed": f"intel WHERE flagged ORDER BY {_ORDER}",
+    "by_motion": f"intel WHERE motion = '{registry.MOTION}' ORDER BY {_ORDER}",
+    "preset_filter": f"intel WHERE d <= 60 AND {_found(registry.PRESET_TERM)} ORDER BY {_ORDER} LIMIT {registry.PRESET_LIMIT}",
+    "risk_queue": f"intel WHERE {_RISKY} ORDER BY {_URGENCY} DESC, {_ORDER}",
+    "expansion_queue": f"intel WHERE {_GROWING} ORDER BY e DESC, {_ORDER}",
+    "review_queue": f"intel WHERE flagged ORDER BY {_URGENCY} DESC, {_ORDER}",
+}
+
+
+def sequences() -> dict[str, str]:
+    return {name: _with(f"SELECT account_id FROM {rest}") for name, rest in _SEQUENCES.items()}

@@ -7,7 +7,7 @@ from conftest import AS_OF, feature_rows, frame, values
 from test_playbook import QUIET, TYPES
 
 from tallyscope.operators import scoring as S
-from tallyscope.operators.actions import ACTION_TYPES, CARRIED, NEXT_ACTIONS, recommended_actions
+from tallyscope.operators.actions import ACTION_TYPES, CARRIED, recommended_actions
 from tallyscope.operators.intelligence import account_labels
 
 SCORED_TYPES = {
@@ -40,6 +40,21 @@ def recommended(spark, cases):
     return recommended_actions(frame(spark, SCORED_TYPES, SCORED, cases), AS_OF)
 
 
+SENTENCES = {
+    S.SAVE_IMMEDIATELY: "Schedule an executive renewal save call, review product issues, confirm renewal blockers, and create a save plan within 24 hours.",
+    S.CHURN_INTERVENTION: "Open an urgent churn intervention plan with the account owner, identify adoption blockers, review support issues, and define recovery actions.",
+    S.RENEWAL_RISK_WATCH: "Review renewal readiness, inspect product usage, check support pressure, and prepare a renewal risk mitigation plan.",
+    S.CHURN_RISK_WATCH: "Ask the account owner to review account health, validate customer sentiment, and decide whether escalation is needed.",
+    S.RENEWAL_REVIEW: "Review renewal status immediately because the account is close to renewal and has moderate churn risk.",
+    S.RENEWAL_EXPANSION_REVIEW: "Prepare a renewal conversation and evaluate expansion only if customer sentiment and product adoption are stable.",
+    S.EXPANSION_READY: "Start expansion discovery with the account owner, identify additional use cases, and validate budget or pipeline opportunity.",
+    S.RENEWAL_MONITOR: "Monitor renewal readiness, confirm next touchpoint, and check whether usage or sentiment declines.",
+    S.EXPANSION_NURTURE: "Nurture the account for expansion by tracking usage, identifying active teams, and preparing a future upsell conversation.",
+    S.MAINTAIN: "Maintain regular account engagement and continue monitoring health signals.",
+    S.MONITOR: "No immediate action required. Continue monitoring account health, usage, support pressure, and renewal timing.",
+}
+
+
 def test_each_tier_has_its_action(spark):
     # tier -> priority, role, days
     expected = {
@@ -65,7 +80,7 @@ def test_each_tier_has_its_action(spark):
         "recommended_due_date",
     )
     assert found == [
-        (ACTION_TYPES[t], NEXT_ACTIONS[t], priority, role, AS_OF + timedelta(days=days))
+        (ACTION_TYPES[t], SENTENCES[t], priority, role, AS_OF + timedelta(days=days))
         for t, (priority, role, days) in expected.items()
     ]
     assert len(set(ACTION_TYPES.values())) == 11

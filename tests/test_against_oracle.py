@@ -36,3 +36,10 @@ def test_query(connection, portfolio, name):
     assert rows(result.columns, [tuple(r) for r in result.collect()]) == rows(
         names, cursor.fetchall()
     )
+
+
+@pytest.mark.parametrize("name", sorted(oracle.sequences()))
+def test_order(connection, portfolio, name):
+    ours = [row.account_id for row in registry.RELATIONS[name](portfolio).collect()]
+    theirs = [row[0] for row in connection.execute(oracle.sequences()[name]).fetchall()]
+    assert ours == theirs
