@@ -265,11 +265,12 @@ ZERO_FILLED = {
 }
 
 
-def account_features(tables: Tables, as_of: date) -> DataFrame:
+def account_features(tables: Tables, as_of: date, slices: int = 32) -> DataFrame:
     """One wide row per account (and per engagement row, should an account have several).
 
     Four sides are keyed by account and unique, so they line up on one hash partitioning. The
-    engagement table promises no uniqueness and goes last, through the join that spreads repeats.
+    engagement table promises no uniqueness and goes last, through the join that spreads repeats:
+    an account with many engagement rows is dealt over up to ``slices`` join keys.
     """
     engagement = engagement_features(tables["customer_engagement"], as_of)
     unique_per_account = (
@@ -280,7 +281,7 @@ def account_features(tables: Tables, as_of: date) -> DataFrame:
         .join(action_features(tables["actions"], as_of), "account_id", "left")
     )
     joined = fan_out_left_join(
-        unique_per_account, engagement, "account_id", spread_by="engagement_id"
+        unique_per_account, engagement, "account_id", spread_by="engagement_id", slices=slices
     )
     derived = {
         "days_until_renewal": f"datediff(renewal_date, DATE'{as_of}')",
