@@ -2,14 +2,14 @@
 
 A rolling hash over seven bytes ends a piece wherever it is -1 modulo the block size, so that an
 edit moves no boundary away from it; each piece gives one character. A fingerprint holds the
-signatures at its block size and at twice that: ``block:signature:signature``. The block size is 3
-times a power of two, the smallest that fits the text into 64 pieces, halved while under 32 pieces
-come out; the 64th character stands for the whole rest, so no byte is left out.
+signatures at its block size and at twice that: ``block:signature:signature``. The block size is a
+power of two, the smallest that fits the text into 64 pieces, halved while under 32 pieces come out;
+the 64th character stands for the whole rest, so no byte is left out.
 
 Fingerprints are compared where their block sizes meet: likeness is 1 - edit distance / longer
 length, the best over the shared sizes, and 0 when no size is shared.
 
-Defined cases: a null or empty text has the fingerprint ``3::``; equal texts have equal
+Defined cases: a null or empty text has the fingerprint ``1::``; equal texts have equal
 fingerprints; documents are ordered by id, nulls last, rows with the same id by a hash of the text;
 the document after the last is the first, in a table of one row itself. An empty table gives an empty
 result. Other columns are not read. A task holds arrays of about 40 bytes per byte of one text.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tallyscope.llm.hashing import Stretches
 
 WINDOW = 7
-SMALLEST = 3
+SMALLEST = 1
 LONGEST = 64
 _LETTERS = np.frombuffer(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8
