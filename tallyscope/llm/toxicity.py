@@ -157,7 +157,14 @@ def train(
     prior = prior or min(max(totals["ones"] / totals["n"], 0.001), 0.5)
 
     texts = docs.select("doc_id", "text")
-    confirmed = texts.join(marked.where("toxic = 1"), "doc_id", "left_semi").withColumn("kind", F.lit(1))
+    # the sample is drawn from ids, at most ``positives`` of them, so that texts need no shuffle
+    drawn = (
+        marked.where("toxic = 1")
+        .select("doc_id")
+        .orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id")
+        .limit(positives)
+    )
+    confirmed = texts.join(F.broadcast(drawn), "doc_id", "left_semi").withColumn("kind", F.lit(1))
     sample = written(
         smallest_by_hash(confirmed, "kind", positives).union(
             smallest_by_hash(texts.withColumn("kind", F.lit(0)), "kind", unlabelled)
