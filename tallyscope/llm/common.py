@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,3 +43,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def remainder(doc_id: str, modulus: int) -> Column:
     """``crc32(doc_id as text) mod modulus``; a null id counts as the empty text (remainder 0)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
+
+
+def uri_of(folder: str) -> str:
+    """A folder as a URI: local paths with ``file://``, others as they are."""
+    return f"file://{folder}" if folder.startswith("/") else re.sub(r"^file:/(?!/)", "file:///", folder)

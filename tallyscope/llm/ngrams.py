@@ -40,9 +40,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import shared_folder, written
+from tallyscope.llm.common import shared_folder, uri_of, written
 from tallyscope.llm.hashing import Stretches, mixed
-from tallyscope.llm.warc import _uri
 
 #: The end token's hash (words hash elsewhere), and the white space between words.
 END = np.uint64(0x0E0D0F0D0E0D0F0D)
@@ -316,7 +315,7 @@ def _collected(rows: DataFrame) -> list:
 
 def train(docs: DataFrame) -> Model:
     """Counts all texts of ``docs`` and writes the model's files into the shared folder."""
-    folder = f"{_uri(shared_folder(docs.sparkSession))}/ngrams-{uuid.uuid4().hex}"
+    folder = f"{uri_of(shared_folder(docs.sparkSession))}/ngrams-{uuid.uuid4().hex}"
     texts = docs.select("text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     wanted = min(max(size // (6 * BUCKET_TOKENS), LEAST_BUCKETS), MOST_BUCKETS)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyscope.llm.common import written
+from tallyscope.llm.common import uri_of, written
 
 REVISIT_BYTES = 100
 FRAME_BYTES = 1 << 18
@@ -122,15 +122,11 @@ def read_seek_table(file) -> list[tuple[int, int, int]]:
     return frames
 
 
-def _uri(folder: str) -> str:
-    return f"file://{folder}" if folder.startswith("/") else re.sub(r"^file:/(?!/)", "file:///", folder)
-
-
 class _Bundle:
     """One open bundle file: frames go out as they fill."""
 
     def __init__(self, folder: str, frame_bytes: int):
-        self.uri = f"{_uri(folder)}/bundle-{uuid.uuid4().hex}.warc.zst"
+        self.uri = f"{uri_of(folder)}/bundle-{uuid.uuid4().hex}.warc.zst"
         store, path = fs.FileSystem.from_uri(self.uri)
         store.create_dir(path.rsplit("/", 1)[0], recursive=True)
         self.out = store.open_output_stream(path, compression=None)
