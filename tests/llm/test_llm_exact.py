@@ -102,6 +102,8 @@ class Kneser:
             self.total[before] += count
             self.kinds[before][min(count, 3)] += 1
         self.d1, self.d2 = self.discounts(self.follows), self.discounts(self.pairs)
+        self.n = sum(self.follows.values())
+        self.free = sum(self.d1[min(c, 3)] for c in self.follows.values()) / self.n
 
     @staticmethod
     def discounts(counts: Counter) -> list[float]:
@@ -110,10 +112,8 @@ class Kneser:
         return [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
 
     def word(self, word: str) -> float:
-        n = sum(self.follows.values())
-        free = sum(self.d1[min(c, 3)] for c in self.follows.values()) / n
         c = self.follows[word]
-        return max(c - self.d1[min(c, 3)], 0) / n + free / (len(self.words) + 1)
+        return max(c - self.d1[min(c, 3)], 0) / self.n + self.free / (len(self.words) + 1)
 
     def pair(self, before: str | None, word: str) -> float:
         if not self.total[before]:
@@ -128,8 +128,6 @@ def test_ngrams_against_dictionaries(spark):
     texts = {r["doc_id"]: [*WORD.findall((r["text"] or "").translate(LOWER)), "\n"] for r in table("documents")}
     model = Kneser([words for i, words in texts.items() if not held_out(i, 10)])
     n, v = sum(model.words.values()), len(model.words)
-    one = {w: model.word(w) for words in texts.values() for w in words}
-    model.word = one.__getitem__
     rows = run(spark, "op3_ngrams")
     assert len(rows) == len(texts)
     for r in rows:
