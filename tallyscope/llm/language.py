@@ -5,7 +5,8 @@ linear support vector machine a family against the rest picks the family; within
 each pair of languages votes. Machines minimise squared hinge loss in numpy, on a sample of at most
 ``per_language`` texts of each language (a parameter), fitted at the driver from features that Spark
 makes. Margins become probabilities by a logistic curve fitted on the same sample; the score is that
-of the family times the language's share of its pairs' votes.
+of the family times the least of the language's own pair probabilities, which does not shrink with the
+number of languages in the family.
 
 Families are given (``FAMILIES``); a language that is not in the table is a family of its own.
 
@@ -121,31 +122,30 @@ class Languages:
     slopes: np.ndarray
 
     def classify(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names = sorted(lang for langs in self.families.values() for lang in langs)
         letters = Letters(texts)
-        if not names:
+        if not self.families:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         probability = self._probabilities(letters)
-        table = np.zeros((len(texts), len(names)))
-        for place, (family, langs) in enumerate(self.families.items()):
-            votes = np.ones((len(texts), len(langs)))
-            for column, (a, b) in enumerate(self.pairs, len(self.families)):
-                if a in langs:
-                    votes[:, langs.index(a)] += probability[:, column]
-                    votes[:, langs.index(b)] += 1 - probability[:, column]
-            votes -= 1 if len(langs) > 1 else 0
-            votes /= votes.sum(axis=1, keepdims=True)
-            best = votes == votes.max(axis=1, keepdims=True)
-            for i, lang in enumerate(langs):
-                table[:, names.index(lang)] = probability[:, place] * votes[:, i] + best[:, i]
         chosen = self._family(probability)
+        found = np.empty(len(texts), object)
+        score = np.zeros(len(texts))
         for place, langs in enumerate(self.families.values()):
-            for lang in langs:
-                table[chosen != place, names.index(lang)] = -1
-        at = table.argmax(axis=1)
-        score = np.clip(table[np.arange(len(texts)), at] - 1, 0, 1)
+            own = np.flatnonzero(chosen == place)
+            votes = np.zeros((len(own), len(langs)))
+            least = np.ones((len(own), len(langs)))
+            for column, (a, b) in enumerate(self.pairs, len(self.families)):
+                if a in langs:
+                    first = probability[own, column]
+                    for lang, p in ((a, first), (b, 1 - first)):
+                        i = langs.index(lang)
+                        votes[:, i] += p
+                        least[:, i] = np.minimum(least[:, i], p)
+            best = votes.argmax(axis=1)
+            found[own] = np.array(langs, object)[best]
+            score[own] = probability[own, place] * least[np.arange(len(own)), best]
+        found[~letters.has_letter] = UNKNOWN
         score[~letters.has_letter] = 0
-        return [names[i] if has else UNKNOWN for i, has in zip(at, letters.has_letter, strict=True)], score
+        return found.tolist(), np.clip(score, 0, 1)
 
     def _family(self, probability: np.ndarray) -> np.ndarray:
         return probability[:, : len(self.families)].argmax(axis=1)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import random
 from collections import Counter, defaultdict
 
 import pytest
 from test_llm_exact import SMALL, WORD, brute_fingerprint, needs_tables
 
 import corpus_pipeline
-from tallyscope.llm import mixing, toxicity
+from tallyscope.llm import language, mixing, toxicity
 from tallyscope.llm.common import read, remainder, written
 
 pytestmark = needs_tables
@@ -44,6 +45,32 @@ def test_language_keeps_every_text_with_letters(spark, docs):
     assert {-1, -2, -3} <= lost and len(lost) <= 5 and -4 not in lost
 
 
+FIVE = {
+    "en": "the of and to in that is was for it with as his on be at by had not are but from they which",
+    "de": "der die und das nicht ist ein ich mit sich auf des dem eine auch wird sind noch nach durch werden",
+    "nl": "het een van en dat niet zijn op te met voor er maar om hem dan zou wat mijn deze haar naar ook",
+    "sv": "och att det som en inte jag har till med var sig han om men hade på för är ett vid från skulle",
+    "da": "og jeg af ikke til han hun der den efter blev meget noget hvad hvor kunne sagde selv mig os ud",
+}
+
+
+def test_language_keeps_a_family_of_five(spark):
+    """The score of a clear text does not depend on how many languages its family has."""
+    draw = random.Random(3)
+    texts = [
+        (i, " ".join(draw.choices(words.split(), k=60)), lang)
+        for i, (lang, words) in enumerate(pair for pair in FIVE.items() for _ in range(60))
+    ]
+    # a second family, so that the family has a probability under 1
+    texts += [(1000 + i, " ".join(draw.choices("le les des une est pour que dans qui sur pas avec".split(), k=60)), "fr") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, lang string")
+    kept = STAGES["language"](spark, docs, SMALL)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in docs.collect())
+    model = language.train(docs)
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identified(docs, model).collect()}
+    assert found == {i: lang for i, _, lang in texts}
+
+
 def test_toxicity_drops_what_scores_high(spark, docs):
     model = toxicity.train(docs.where(remainder("doc_id", 5) != 0), read(spark, SMALL, "labels"))
     high = {r["doc_id"] for r in rows(toxicity.scored(docs, model)) if r["score"] >= 0.5}
