@@ -10,10 +10,12 @@ where the bracket is the part of the unlabelled risk that non-toxic texts cause;
 it below zero, it is pushed back up. The class prior is a parameter, by default the share of label 1
 among the labelled training rows (a number only).
 
-Both samples are bounded (``positives``, ``unlabelled``; parameters). Spark counts in how many of the
-sampled texts each feature occurs; the ``most_features`` most clearly over-represented among the
-toxic ones are kept (see LEAST_TEXTS), and the model is fitted in numpy at the driver on the sample's rows over
-them. Every text is then scored whole.
+Both samples are bounded (``positives``, ``unlabelled``; parameters); the rarer toxicity is, the more
+unlabelled texts are drawn, so that EXPECTED_TOXIC of them are toxic. Spark counts in how many of the
+sampled texts each feature occurs. A feature is kept by evidence, however rare: it is in LEAST_TEXTS
+toxic texts, and the hypothesis that it is not over-represented among them (see ``evident``) is
+rejected with at most FALSE_KEPT of the kept ones expected to be there by chance. The model is fitted
+in numpy at the driver on the sample's rows over them. Every text is then scored whole.
 
 Defined cases: a null or empty text has no features and gets the score of the bias; without a toxic
 training text every score is 0; rows that repeat are scored alike; labels that are null, or whose
@@ -23,6 +25,7 @@ table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,10 +41,12 @@ from tallyscope.llm.letters import Letters, chunks, smallest_by_hash
 BITS = 22
 PREFIXES = (4, 5, 6)
 POSITIVES, UNLABELLED = 4000, 8000
-MOST_FEATURES = 1024
-#: A feature counts that is in so many toxic texts, and in this share of the sampled ones, and whose
-#: texts are toxic for so large a part, by the prior and the two samples.
-LEAST_TEXTS, LEAST_SHARE, LEAST_TOXIC = 5, 0.015, 0.6
+#: So many of the unlabelled texts are toxic, by the prior, if there are enough texts.
+EXPECTED_TOXIC = 400
+#: A feature is tested that is in so many toxic texts; of those kept, this share may be there by chance.
+LEAST_TEXTS, FALSE_KEPT = 5, 0.05
+#: Pull of each weight towards zero, as a part of what one toxic text weighs.
+PULL = 0.5
 THRESHOLD = 0.5
 
 
@@ -101,6 +106,26 @@ def _member(kept: np.ndarray) -> np.ndarray:
     return _members[key]
 
 
+def evident(toxic: np.ndarray, others: np.ndarray, p: int, u: int, prior: float) -> np.ndarray:
+    """Which features are over-represented in ``p`` toxic texts against ``u`` unlabelled ones.
+
+    A feature of toxic texts only is 1 / prior times as frequent in them. Tested is that the ratio is
+    no more than the fourth root of that, by the signed root of the likelihood ratio (its limit is the
+    lower confidence limit of the ratio, good for small and zero counts); Benjamini and Hochberg's
+    rule bounds the expected share of chance finds over all tests.
+    """
+    odds = prior**-0.25 * p / u
+    null = odds / (1 + odds)
+    n = np.maximum(toxic + others, 1)
+    ratio = toxic * np.log(np.maximum(toxic, 1) / (n * null))
+    ratio = ratio + others * np.log(np.maximum(others, 1) / (n * (1 - null)))
+    root = np.where(toxic > n * null, np.sqrt(2 * np.maximum(ratio, 0)), 0.0)
+    chance = np.array([math.erfc(z / math.sqrt(2)) / 2 for z in root])
+    ordered = np.sort(chance)
+    below = np.flatnonzero(ordered <= FALSE_KEPT * np.arange(1, len(ordered) + 1) / max(len(ordered), 1))
+    return chance <= (ordered[below[-1]] if len(below) else -1.0)
+
+
 def fit(
     owners: np.ndarray,
     places: np.ndarray,
@@ -109,10 +134,11 @@ def fit(
     prior: float,
     steps: int = 400,
     rate: float = 0.05,
-    penalty: float = 1e-4,
+    pull: float = PULL,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk over sparse rows (Adam steps)."""
     share = np.where(positive, 1.0 / max(positive.sum(), 1), 1.0 / max((~positive).sum(), 1))
+    penalty = pull * prior / max(positive.sum(), 1)
     w = np.zeros(size + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
@@ -139,7 +165,6 @@ def train(
     prior: float | None = None,
     positives: int = POSITIVES,
     unlabelled: int = UNLABELLED,
-    most_features: int = MOST_FEATURES,
 ) -> Model:
     """Learns from the texts of ``docs`` and from those labels whose doc_id is among them."""
     ids = docs.select("doc_id")
@@ -165,11 +190,11 @@ def train(
         .limit(positives)
     )
     confirmed = texts.join(F.broadcast(drawn), "doc_id", "left_semi").withColumn("kind", F.lit(1))
+    place = F.xxhash64(F.lit("unlabelled"), F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")))
+    share = max(unlabelled, math.ceil(EXPECTED_TOXIC / prior)) / max(texts.count(), 1)
+    some = texts.where(F.shiftrightunsigned(place, 11) / float(1 << 53) < share).withColumn("kind", F.lit(0))
     sample = written(
-        smallest_by_hash(confirmed, "kind", positives).union(
-            smallest_by_hash(texts.withColumn("kind", F.lit(0)), "kind", unlabelled)
-        ),
-        "toxicity-sample",
+        smallest_by_hash(confirmed, "kind", positives).union(some), "toxicity-sample"
     ).select("kind", "text").dropDuplicates()  # copies would make their words look toxic
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,19 +211,15 @@ def train(
     p, u = sizes.get(1, 0), sizes.get(0, 0)
     if not p or not u:
         return nothing
-    expected = (F.col("others") + 1) * (p / u)
-    chosen = (
+    counts = (
         sample.mapInPandas(occurrences, "feature bigint, toxic bigint, others bigint")
         .groupBy("feature")
         .agg(F.sum("toxic").alias("toxic"), F.sum("others").alias("others"))
-        .where(F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * p))
-        .where(prior * F.col("toxic") / expected >= LEAST_TOXIC)
-        .withColumn("excess", (F.col("toxic") - expected) / F.sqrt(expected))
-        .orderBy(F.desc("excess"), "feature")
-        .limit(most_features)
-        .select("feature")
+        .where(F.col("toxic") >= LEAST_TEXTS)
+        .toPandas()  # so many features at most as the toxic sample has, divided by LEAST_TEXTS
     )
-    kept = np.array(sorted(row[0] for row in chosen.collect()), np.int64)
+    found = evident(counts["toxic"].to_numpy(), counts["others"].to_numpy(), p, u, prior)
+    kept = np.sort(counts["feature"].to_numpy()[found].astype(np.int64))
     model = Model(kept, np.empty(0), 0.0)
 
     def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,6 +207,29 @@ def test_toxicity(spark, docs, nothing):
     assert {r["score"] for r in toxicity.scored(docs, none).collect()} == {0.0}
 
 
+@pytest.mark.parametrize(("toxic", "slurs", "unlabelled"), [(1200, 120, 8000), (60, 10, 800)])
+def test_toxicity_of_rare_words(spark, toxic, slurs, unlabelled):
+    """Toxic words in a few texts each, of 12,000 texts; a held-out toxic text carries one of them."""
+    draw = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    bad_words = ["zz" + "".join(draw.choices(letters, k=6)) for _ in range(slurs)]
+    plain = ["".join(draw.choices(letters, k=draw.randint(3, 9))) for _ in range(3000)]
+    ranks = [1 / (i + 3) for i in range(len(plain))]
+
+    def texts(first, n, *more):
+        words = draw.choices(plain, ranks, k=40 * n)
+        return [(first + i, " ".join([*words[40 * i : 40 * i + 40], *(m[i % len(m)] for m in more)])) for i in range(n)]
+
+    schema = "doc_id bigint, text string"
+    docs = spark.createDataFrame(texts(0, toxic, bad_words) + texts(toxic, 12_000 - toxic), schema)
+    labels = spark.createDataFrame([(i, 1) for i in range(toxic)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels, prior=toxic / 12_000, unlabelled=unlabelled)
+    held = spark.createDataFrame(texts(20_000, 600, bad_words) + texts(30_000, 1000), schema)
+    found = [r["doc_id"] for r in toxicity.scored(held, model).collect() if r["score"] >= toxicity.THRESHOLD]
+    assert sum(i < 30_000 for i in found) >= 0.9 * 600
+    assert sum(i >= 30_000 for i in found) <= 0.02 * 1000
+
+
 def test_simhash(docs, nothing):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == len(ROWS)
