@@ -27,7 +27,8 @@ VOID = frozenset("br hr img input meta link wbr source track area base col embed
 NEVER = frozenset(
     "head title nav footer aside form noscript template svg iframe button select textarea object dialog menu search".split()
 )
-#: Words in class, id or role that mark what is around an article.
+#: Words in class, id or role that mark what is around an article; inside one, as whole
+#: values of class, id or role only.
 AROUND = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget widgets ad ads adv advert "
     "adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent "
@@ -35,6 +36,12 @@ AROUND = frozenset(
     "social share sharing footer masthead copyright comment comments reply replies disqus respond discussion "
     "related recommended recommendations pagination pager toolbar search contentinfo complementary".split()
 )
+#: Elements whose names say nothing: the page's own and headings; inside an article also
+#: those that hold single texts.
+UNNAMED = frozenset("html body h1 h2 h3 h4 h5 h6 hgroup".split())
+SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption address summary".split())
+#: Ids inside an article that are as often made from a heading.
+SLUGS = frozenset("discussion".split())
 #: The same for the head of a page, outside an article only.
 HEAD = frozenset("header topbar".split())
 #: Whole class, id or role values that mark an article.
@@ -56,7 +63,7 @@ class Block:
     path: str
     text: str
     linked: int  # characters inside links
-    around: bool  # marked as not the article by a class, id or role
+    around: bool  # in an element of ``named`` of its page
     never: bool  # inside an element that is never the article
 
 
@@ -65,7 +72,7 @@ class _Open:
     tag: str
     path: str
     article: bool
-    around: bool
+    names: tuple[str, ...]  # it and those around it whose names say that they are not the article
     never: bool
 
 
@@ -75,12 +82,33 @@ class Page:
     opened: dict[str, int] = field(default_factory=dict)
     closed: dict[str, int] = field(default_factory=dict)
     articles: set[str] = field(default_factory=set)  # paths that are marked as an article
+    named: set[str] = field(default_factory=set)  # paths whose class, id or role says they are not the article
+
+
+def under(path: str, slot: str) -> bool:
+    return path == slot or path.startswith(slot + ">")
+
+
+def _wholes(values: list[str]) -> set[str]:
+    return {re.sub(r"[^a-z]", "", w.lower()) for v in values for w in v.split()}
+
+
+def _spoken(attributes: str, tag: str) -> set[str]:
+    """Whole values that tell what an element inside an article is; ids of sections are its headings'."""
+    found: set[str] = set()
+    for m in _NAMES.finditer(attributes):
+        whole = _wholes([next(filter(None, m.groups()), "")])
+        if m[0][:2].lower() == "id":
+            whole = set() if tag == "section" else whole - SLUGS
+        found |= whole
+    return found
 
 
 def parse(text: str | None) -> Page:
     """Blocks in page order: white space in a block is one blank, references are decoded."""
     page = Page()
-    stack = [_Open("", "", False, False, False)]
+    stack = [_Open("", "", False, (), False)]
+    marks: list[tuple[str, tuple[str, ...]]] = []  # marked paths, with the names around them
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -92,7 +120,7 @@ def parse(text: str | None) -> Page:
             if content:
                 top = stack[-1]
                 inside = len(" ".join(html.unescape("".join(linked)).split()))
-                page.blocks.append(Block(top.path, content, inside, top.around, top.never))
+                page.blocks.append(Block(top.path, content, inside, bool(top.names), top.never))
             parts, linked = [], []
 
     def close(down_to: int) -> None:
@@ -135,20 +163,30 @@ def parse(text: str | None) -> Page:
         values = [next(filter(None, m.groups()), "") for m in _NAMES.finditer(match[4] or "")]
         words = {w.lower() for v in values for w in _WORDS.findall(v)}
         label = tag + "".join("." + re.sub(r"\d+", "", v) for v in values)
-        whole = {re.sub(r"[^a-z]", "", w.lower()) for v in values for w in v.split()}
+        whole = _wholes(values)
         article = top.article or tag in ("article", "main") or bool(whole & ARTICLE)
-        around = top.around or tag not in ("html", "body") and bool(
-            words & AROUND or not top.article and (whole & HEAD or words & HEAD and "site" in words)
-        )
-        never = top.never or tag in NEVER or tag == "header" and not top.article
         path = f"{top.path}>{label}"
-        if article and not top.article and not around and not never:
-            page.articles.add(path)
-        elif tag == "article" and not around and not never:
-            page.articles.add(path)
+        never = top.never or tag in NEVER or tag == "header" and not top.article
+        if top.article:
+            named = tag not in SINGLE and bool(_spoken(match[4] or "", tag) & AROUND)
+        else:
+            word = words & AROUND or words & HEAD and "site" in words
+            named = tag not in UNNAMED and bool(whole & (AROUND | HEAD) or word and not article)
+        names = top.names
+        if named:
+            names = (*names, path)
+            page.named.add(path)
+        if not never and (tag == "article" or article and not top.article):
+            marks.append((path, names))
         page.opened[path] = page.opened.get(path, 0) + 1
-        stack.append(_Open(tag, path, article, around, never))
+        stack.append(_Open(tag, path, article, names, never))
     if at < len(source):
         parts.append(source[at:])
     flush()
+    if marks and all(names for _, names in marks):  # no name hides the article
+        _, around = max(marks, key=lambda m: sum(len(b.text) - b.linked for b in page.blocks if under(b.path, m[0]) and not b.never))
+        page.named.difference_update(around)
+    page.articles = {path for path, names in marks if page.named.isdisjoint(names)}
+    for block in page.blocks:
+        block.around = block.around and any(under(block.path, n) for n in page.named)
     return page

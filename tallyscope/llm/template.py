@@ -38,17 +38,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.llm.common import written
-from tallyscope.llm.markup import Block, Page, parse
+from tallyscope.llm.markup import SINGLE, Block, Page, parse
+from tallyscope.llm.markup import under as _under
 
 FREQUENT = 0.5
 KEPT = 0.125
 MOST_TEXT = 0.7
 LINKED = 0.5
-#: Elements that hold single texts, which the way down does not enter.
-SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption address summary".split())
+#: A name does not make an element part of the surroundings that holds so much of the host's unlinked text.
+HOLDS = 0.5
 TOKENS = (
     "host string, kind string, path string, text string, pages bigint, total bigint, "
-    "vector_a bigint, vector_b bigint, chars bigint, linked bigint, article boolean, aside boolean"
+    "vector_a bigint, vector_b bigint, chars bigint, linked bigint, article boolean, named boolean, never boolean"
 )
 
 
@@ -66,19 +67,19 @@ def _digest(text: str) -> str:
 
 
 def tokens(page: Page) -> dict[tuple[str, str, str], list]:
-    """(kind, path, text) -> [count, chars, linked chars, article, aside]."""
+    """(kind, path, text) -> [count, chars, linked chars, article, named, never]."""
     out: dict[tuple[str, str, str], list] = {}
     for kind, counts in (("open", page.opened), ("close", page.closed)):
         for path, count in counts.items():
-            out[kind, path, ""] = [count, 0, 0, path in page.articles, False]
+            out[kind, path, ""] = [count, 0, 0, path in page.articles, path in page.named, False]
     for block in page.blocks:
         own = out.get(("open", block.path, ""))
         if own is None:
-            own = out.setdefault(("open", block.path, ""), [0, 0, 0, False, False])
+            own = out.setdefault(("open", block.path, ""), [0, 0, 0, False, False, False])
         own[1] += len(block.text)
         own[2] += block.linked
-        own[4] = own[4] or block.around or block.never
-        said = out.setdefault(("text", block.path, _digest(block.text)), [0, 0, 0, False, False])
+        own[5] = own[5] or block.never
+        said = out.setdefault(("text", block.path, _digest(block.text)), [0, 0, 0, False, False, False])
         said[0] += 1
     return out
 
@@ -88,8 +89,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, list] = {}
         for page_id, host, html in zip(batch["page_id"], batch["host"], batch["html"], strict=True):
             a, b = _page_hashes(page_id, html)
-            for key, (count, chars, linked, article, aside) in tokens(parse(html)).items():
-                row = sums.setdefault((host, *key), [0, 0, 0, 0, 0, 0, False, False])
+            for key, (count, chars, linked, article, named, never) in tokens(parse(html)).items():
+                row = sums.setdefault((host, *key), [0, 0, 0, 0, 0, 0, False, False, False])
                 row[0] += 1
                 row[1] += count
                 row[2] += count * a
@@ -97,17 +98,14 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 row[4] += chars
                 row[5] += linked
                 row[6] = row[6] or article
-                row[7] = row[7] or aside
+                row[7] = row[7] or named
+                row[8] = row[8] or never
         names = [c.split()[0] for c in TOKENS.split(", ")]
         yield pd.DataFrame([(*key, *row) for key, row in sums.items()], columns=names)
 
 
-def _under(path: str, slot: str) -> bool:
-    return path == slot or path.startswith(slot + ">")
-
-
-def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], list[str], list[str]]:
-    """From a host's tokens: article slots, slots of links, and the template's own wording."""
+def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], ...]:
+    """From a host's tokens: article slots, slots of links, the template's own wording, and freed names."""
     rows = rows.sort_values(["path", "kind", "text"], kind="stable")
     classes = rows.groupby(["vector_a", "vector_b", "total", "pages"])["path"].transform("size")
     valid = (classes >= 2) & (rows["pages"] >= FREQUENT * pages)
@@ -117,7 +115,11 @@ def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], list[str], list[s
     marked = sorted(elements.loc[elements["article"] & elements["path"].isin(template), "path"], key=len)
     slots = [p for p in marked if p.rsplit(">", 1)[-1].startswith("article")]
     slots = slots or [p for p in marked if not any(q != p and _under(p, q) for q in marked)]
-    plain = elements[~elements["aside"]]
+    read = elements[~elements["never"]]
+    unlinked = dict(zip(read["path"], read["chars"] - read["linked"], strict=True))
+    named = set(elements.loc[elements["named"], "path"])
+    freed = {n for n in named if sum(c for p, c in unlinked.items() if _under(p, n)) > HOLDS * sum(unlinked.values())}
+    plain = read[[not any(_under(p, n) for n in named - freed) for p in read["path"]]]
     text = dict(zip(plain["path"], plain["chars"] - plain["linked"], strict=True))
     if not slots and text:
         here = ""
@@ -140,11 +142,12 @@ def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], list[str], list[s
         slots,
         sorted(links["path"]),
         sorted(p + "\t" + t for p, t in zip(wording["path"], wording["text"], strict=True)),
+        sorted(freed),
     )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, slots, links, wording: the template of each host of ``pages`` (page_id, host, html)."""
+    """host, slots, links, wording, freed: the template of each host of ``pages`` (page_id, host, html)."""
     counted = (
         pages.select("page_id", "host", "html")
         .mapInPandas(_count, TOKENS)
@@ -152,30 +155,32 @@ def templates(pages: DataFrame) -> DataFrame:
         .agg(
             *(F.sum(c).alias(c) for c in ("pages", "total", "vector_a", "vector_b", "chars", "linked")),
             F.max("article").alias("article"),
-            F.max("aside").alias("aside"),
+            F.max("named").alias("named"),
+            F.max("never").alias("never"),
         )
     )
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     rows = counted.join(sizes, "host").where(F.col("pages") >= F.col("host_pages") * KEPT)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        slots, links, wording = deduce(group, int(group["host_pages"].iloc[0]))
-        return pd.DataFrame({"host": [key[0]], "slots": [slots], "links": [links], "wording": [wording]})
+        slots, links, wording, freed = deduce(group, int(group["host_pages"].iloc[0]))
+        return pd.DataFrame({"host": [key[0]], "slots": [slots], "links": [links], "wording": [wording], "freed": [freed]})
 
     return rows.groupBy("host").applyInPandas(
-        run, "host string, slots array<string>, links array<string>, wording array<string>"
+        run, "host string, slots array<string>, links array<string>, wording array<string>, freed array<string>"
     )
 
 
-def main_blocks(page: Page, slots: list[str], links: set[str], wording: set[str]) -> list[Block]:
+def main_blocks(page: Page, slots: list[str], links: set[str], wording: set[str], freed: set[str]) -> list[Block]:
     """The blocks of the page's article, in page order."""
+    named = page.named - freed
 
     def kept(candidates: list[Block], marked: bool) -> list[Block]:
         return [
             b
             for b in candidates
             if not b.never
-            and not b.around
+            and not (b.around and any(_under(b.path, n) for n in named))
             and (marked or b.path not in links and f"{b.path}\t{_digest(b.text)}" not in wording)
         ]
 
@@ -196,15 +201,15 @@ def extracted(pages: DataFrame) -> DataFrame:
         cache: dict[str, tuple] = {}
         for batch in batches:
             texts = []
-            for host, html, slots, links, wording in zip(
-                batch["host"], batch["html"], batch["slots"], batch["links"], batch["wording"], strict=True
+            for host, html, *known in zip(
+                *(batch[c] for c in ("host", "html", "slots", "links", "wording", "freed")), strict=True
             ):
                 if host not in cache:
                     if len(cache) > 1000:
                         cache.clear()
-                    cache[host] = tuple([] if v is None else list(v) for v in (slots, links, wording))
-                s, k, w = cache[host]
-                texts.append("\n\n".join(b.text for b in main_blocks(parse(html), s, set(k), set(w))))
+                    cache[host] = tuple([] if v is None else list(v) for v in known)
+                s, k, w, f = cache[host]
+                texts.append("\n\n".join(b.text for b in main_blocks(parse(html), s, set(k), set(w), set(f))))
             yield pd.DataFrame(
                 {
                     "page_id": batch["page_id"],

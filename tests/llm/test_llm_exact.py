@@ -288,6 +288,28 @@ def test_template_without_marks(spark):
         assert r["text"] == f"Title {i}\n\nFirst of page {i} with é.\n\nSecond part {i * i} follows here at length."
 
 
+def texts_of(spark, bodies: list[str]) -> list[str]:
+    pages = [(i, f"http://h/{i}", f"<html><body>{body}</body></html>") for i, body in enumerate(bodies)]
+    rows = template.extracted(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    return [r["text"] for r in sorted(rows, key=lambda r: r["page_id"])]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><h2 id=how-to-share-files>A {0}</h2><section id=discussion><p>B {0}</section>"
+        "<section id=related-work><p>C {0}</section></article>",
+        "<div class='content has-sidebar'><h2>A {0}</h2><p>B {0}<p>C {0}</div><div class=sidebar><p>x {0}</div>",
+        "<div id=content-sidebar-wrap><article><p>A {0}<p>B {0}<p>C {0}</article></div>",
+        "<article class='post comments-open'><p>A {0}<p>B {0}<p>C {0}<div class=comments><p>x {0}</div></article>",
+        "<div class=has-sidebar><p>A {0} and more<p>B {0}<p>C {0}</div><div class=sidebar><p>x {0}</div>",
+    ],
+)
+def test_names_hide_no_article(spark, page):
+    found = texts_of(spark, [page.format(i) for i in range(6)])
+    assert found == [f"A {i}{' and more' * ('more' in page)}\n\nB {i}\n\nC {i}" for i in range(6)]
+
+
 def test_damaged_markup():
     page = markup.parse("<ul><li>a<li>b</ul><p>c<p>d<script>x</p></script><!-- e --><td>f &#233; &bogus; &amp")
     assert [b.text for b in page.blocks] == ["a", "b", "c", "d", "f é &bogus; &"]
