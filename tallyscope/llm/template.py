@@ -13,10 +13,10 @@ of the host's pages). Valid classes nest as their paths do, which gives the temp
 
 The article is the slot, with everything nested in it, that an ``article`` or ``main`` element or a
 class or id of that meaning marks; without a mark, the slot reached from the top by going down while
-one nested slot holds most of the unlinked text. Slots of menus, headers, footers, sidebars, notices,
-adverts, forms and comments are left out by their elements' names, and outside marked articles so are
-slots of mostly linked text and the template's own wording. A page without its host's article slot
-is read by its own marks.
+one nested slot holds most of the unlinked text. Left out of it, marked or not, are the template's own
+wording and slots of mostly linked text (headings are none), and by their elements' names menus,
+headers, footers, sidebars, notices, adverts, forms and comments. A page without its host's article
+slot is read by its own marks; a marked article of nothing but the template's wording keeps its text.
 
 Only per-host sums of tokens in an eighth of the host's pages or more come together, so their number
 is bounded by the size of a page; a host may hold any number of pages.
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.llm.common import written
-from tallyscope.llm.markup import SINGLE, Block, Page, parse
+from tallyscope.llm.markup import SINGLE, UNNAMED, Block, Page, parse
 from tallyscope.llm.markup import under as _under
 
 FREQUENT = 0.5
@@ -104,6 +104,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, *row) for key, row in sums.items()], columns=names)
 
 
+def _tag(path: str) -> str:
+    return path.rsplit(">", 1)[-1].split(".", 1)[0]
+
+
 def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], ...]:
     """From a host's tokens: article slots, slots of links, the template's own wording, and freed names."""
     rows = rows.sort_values(["path", "kind", "text"], kind="stable")
@@ -119,7 +123,8 @@ def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], ...]:
     unlinked = dict(zip(read["path"], read["chars"] - read["linked"], strict=True))
     named = set(elements.loc[elements["named"], "path"])
     freed = {n for n in named if sum(c for p, c in unlinked.items() if _under(p, n)) > HOLDS * sum(unlinked.values())}
-    plain = read[[not any(_under(p, n) for n in named - freed) for p in read["path"]]]
+    around = [p for p in read["path"] if any(_under(p, n) for n in named - freed)]
+    plain = read[~read["path"].isin(around)]
     text = dict(zip(plain["path"], plain["chars"] - plain["linked"], strict=True))
     if not slots and text:
         here = ""
@@ -138,6 +143,9 @@ def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], ...]:
             here = best
         slots = [here]
     links = elements[(elements["chars"] > 0) & (elements["linked"] > LINKED * elements["chars"])]
+    links = links[~links["path"].map(_tag).isin(UNNAMED)]
+    if marked:  # inside a mark only the template decides, and two pages show none
+        links = links[links["path"].isin(template)] if pages > 2 else links[:0]
     return (
         slots,
         sorted(links["path"]),
@@ -175,21 +183,19 @@ def main_blocks(page: Page, slots: list[str], links: set[str], wording: set[str]
     """The blocks of the page's article, in page order."""
     named = page.named - freed
 
-    def kept(candidates: list[Block], marked: bool) -> list[Block]:
+    def kept(candidates: list[Block], deduced: bool = True) -> list[Block]:
         return [
             b
             for b in candidates
             if not b.never
             and not (b.around and any(_under(b.path, n) for n in named))
-            and (marked or b.path not in links and f"{b.path}\t{_digest(b.text)}" not in wording)
+            and not (deduced and (b.path in links or f"{b.path}\t{_digest(b.text)}" in wording))
         ]
 
     inside = [b for b in page.blocks if any(_under(b.path, s) for s in slots)]
-    found = kept(inside, any(_under(s, a) for s in slots for a in page.articles))
-    if found:
-        return found
     own = [b for b in page.blocks if any(_under(b.path, a) for a in page.articles)]
-    return kept(own, True) if own else kept(page.blocks, False)
+    # a marked article that the template would leave without any text is a copy, and keeps it
+    return kept(inside) or kept(own) or (kept(own, False) if own else kept(page.blocks))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

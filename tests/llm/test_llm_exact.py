@@ -310,6 +310,17 @@ def test_names_hide_no_article(spark, page):
     assert found == [f"A {i}{' and more' * ('more' in page)}\n\nB {i}\n\nC {i}" for i in range(6)]
 
 
+def test_template_inside_marked_articles(spark):
+    """What every page repeats in its article, and its slot of links, are not the article's text."""
+    page = (
+        "<article><h1><a href=/{0}>T {0}</a></h1><div class=q><a href=1>One</a> <a href=2>Two {0}</a></div>"
+        "<p>B {0}<div class=r>Write to us for more of this</div><p>C {0}</article>"
+    )
+    assert texts_of(spark, [page.format(i) for i in range(6)]) == [f"T {i}\n\nB {i}\n\nC {i}" for i in range(6)]
+    copies = ["<article><p>The same</article>"] * 5
+    assert texts_of(spark, copies) == ["The same"] * 5
+
+
 def test_damaged_markup():
     page = markup.parse("<ul><li>a<li>b</ul><p>c<p>d<script>x</p></script><!-- e --><td>f &#233; &bogus; &amp")
     assert [b.text for b in page.blocks] == ["a", "b", "c", "d", "f é &bogus; &"]
