@@ -2,13 +2,16 @@
 
 Tokens are the starts and ends of block elements, named by their path, and whole text blocks at
 their path. A token's occurrence vector says how often it occurs in each page of its host. Tokens of
-a host with equal vectors form an equivalence class; Spark adds the vectors up as two sums of counts
+a layout with equal vectors form an equivalence class; Spark adds the vectors up as two sums of counts
 times a hash of the page, so equal sums mean equal vectors and no vector is ever gathered. A class is
 valid if it is large (two tokens or more, as the start and end of one element) and frequent (in half
-of the host's pages). Valid classes nest as their paths do, which gives the template:
+of the layout's pages). A layout is the pages of a host with the same containers in the body and one
+level below; those of less than an eighth of the host's pages (of pages with tokens: null, empty
+pages do not count) share the template that all pages of the host give. Valid classes nest as their paths do, which gives the template:
 
 * a class of element tokens opens a slot for what lies directly under its path;
-* a text block in a valid class, in all pages and at the same place, is the template's own wording;
+* a text block in WORDING of the pages that have its slot is the template's own wording, if the slot
+  is frequent;
 * what remains in the slots is the page's data.
 
 The article is the slot, with everything nested in it, that an ``article`` or ``main`` element or a
@@ -43,12 +46,18 @@ from tallyscope.llm.markup import under as _under
 
 FREQUENT = 0.5
 KEPT = 0.125
+#: A text is the template's wording from this share on of the pages that have its slot.
+WORDING = 0.8
+#: Fewer pages show no template; a layout of fewer is read by its host's.
+LEAST_PAGES = 3
 MOST_TEXT = 0.7
 LINKED = 0.5
 #: A name does not make an element part of the surroundings that holds so much of the host's unlinked text.
 HOLDS = 0.5
+#: Elements that tell nothing about a page's layout.
+NOT_IN_BODY = frozenset("html head title noscript template hr".split())
 TOKENS = (
-    "host string, kind string, path string, text string, pages bigint, total bigint, "
+    "host string, layout string, kind string, path string, text string, pages bigint, total bigint, "
     "vector_a bigint, vector_b bigint, chars bigint, linked bigint, article boolean, named boolean, never boolean"
 )
 
@@ -84,22 +93,38 @@ def tokens(page: Page) -> dict[tuple[str, str, str], list]:
     return out
 
 
+def layout_of(page: Page) -> str:
+    """What tells a page's layout: the containers directly in the body and one level below; '' without any."""
+    found = set()
+    for path in page.opened:
+        steps = path.split(">")[1:]
+        steps = steps[1 + next((i for i, s in enumerate(steps) if s.split(".", 1)[0] == "body"), -1) :]
+        if 0 < len(steps) <= 2 and not {_tag(s) for s in steps} & (SINGLE | NOT_IN_BODY):
+            found.add(path)
+    return _digest("\n".join(sorted(found))) if found else ""
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sums: dict[tuple, list] = {}
         for page_id, host, html in zip(batch["page_id"], batch["host"], batch["html"], strict=True):
             a, b = _page_hashes(page_id, html)
-            for key, (count, chars, linked, article, named, never) in tokens(parse(html)).items():
-                row = sums.setdefault((host, *key), [0, 0, 0, 0, 0, 0, False, False, False])
-                row[0] += 1
-                row[1] += count
-                row[2] += count * a
-                row[3] += count * b
-                row[4] += chars
-                row[5] += linked
-                row[6] = row[6] or article
-                row[7] = row[7] or named
-                row[8] = row[8] or never
+            page = parse(html)
+            found = tokens(page)
+            if found:  # pages with tokens are counted, under a kind of their own
+                found["page", "", ""] = [1, 0, 0, False, False, False]
+            for layout in {"", layout_of(page)}:
+                for key, (count, chars, linked, article, named, never) in found.items():
+                    row = sums.setdefault((host, layout, *key), [0, 0, 0, 0, 0, 0, False, False, False])
+                    row[0] += 1
+                    row[1] += count
+                    row[2] += count * a
+                    row[3] += count * b
+                    row[4] += chars
+                    row[5] += linked
+                    row[6] = row[6] or article
+                    row[7] = row[7] or named
+                    row[8] = row[8] or never
         names = [c.split()[0] for c in TOKENS.split(", ")]
         yield pd.DataFrame([(*key, *row) for key, row in sums.items()], columns=names)
 
@@ -109,13 +134,15 @@ def _tag(path: str) -> str:
 
 
 def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], ...]:
-    """From a host's tokens: article slots, slots of links, the template's own wording, and freed names."""
+    """From the tokens of a layout of a host: article slots, slots of links, the template's own wording, and freed names."""
     rows = rows.sort_values(["path", "kind", "text"], kind="stable")
     classes = rows.groupby(["vector_a", "vector_b", "total", "pages"])["path"].transform("size")
     valid = (classes >= 2) & (rows["pages"] >= FREQUENT * pages)
     elements = rows[rows["kind"] == "open"]
     template = set(rows.loc[valid & (rows["kind"] != "text"), "path"])
-    wording = rows[valid & (rows["kind"] == "text") & (rows["pages"] == pages)] if pages > 2 else rows[:0]
+    slot = rows["path"].map(dict(zip(elements["path"], elements["pages"], strict=True)))
+    said = (rows["kind"] == "text") & (slot >= max(LEAST_PAGES, FREQUENT * pages))
+    wording = rows[said & (rows["pages"] >= WORDING * slot)]
     marked = sorted(elements.loc[elements["article"] & elements["path"].isin(template), "path"], key=len)
     slots = [p for p in marked if p.rsplit(">", 1)[-1].startswith("article")]
     slots = slots or [p for p in marked if not any(q != p and _under(p, q) for q in marked)]
@@ -145,7 +172,7 @@ def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], ...]:
     links = elements[(elements["chars"] > 0) & (elements["linked"] > LINKED * elements["chars"])]
     links = links[~links["path"].map(_tag).isin(UNNAMED)]
     if marked:  # inside a mark only the template decides, and two pages show none
-        links = links[links["path"].isin(template)] if pages > 2 else links[:0]
+        links = links[links["path"].isin(template)] if pages >= LEAST_PAGES else links[:0]
     return (
         slots,
         sorted(links["path"]),
@@ -155,27 +182,43 @@ def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], ...]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, slots, links, wording, freed: the template of each host of ``pages`` (page_id, host, html)."""
-    counted = (
+    """host and ``known``: layout, slots, links, wording and freed of each template of the host.
+
+    A layout with an eighth of the host's pages has a template of its own; '' is that of all its pages.
+    """
+    counted = written(
         pages.select("page_id", "host", "html")
         .mapInPandas(_count, TOKENS)
-        .groupBy("host", "kind", "path", "text")
+        .groupBy("host", "layout", "kind", "path", "text")
         .agg(
             *(F.sum(c).alias(c) for c in ("pages", "total", "vector_a", "vector_b", "chars", "linked")),
             F.max("article").alias("article"),
             F.max("named").alias("named"),
             F.max("never").alias("never"),
-        )
+        ),
+        "page-tokens",
+    )
+    sizes = counted.where("kind = 'page'").select("host", "layout", F.col("pages").alias("layout_pages"))
+    whole = sizes.where("layout = ''").select("host", F.col("layout_pages").alias("host_pages"))
+    sizes = sizes.join(whole, "host").where(
+        (F.col("layout") == "") | (F.col("layout_pages") >= F.greatest(F.lit(LEAST_PAGES), F.col("host_pages") * KEPT))
+    )
+    rows = (
+        counted.where("kind <> 'page'")
+        .join(sizes.drop("host_pages"), ["host", "layout"])
+        .where(F.col("pages") >= F.col("layout_pages") * KEPT)
     )
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    rows = counted.join(sizes, "host").where(F.col("pages") >= F.col("host_pages") * KEPT)
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        slots, links, wording, freed = deduce(group, int(group["host_pages"].iloc[0]))
-        return pd.DataFrame({"host": [key[0]], "slots": [slots], "links": [links], "wording": [wording], "freed": [freed]})
+        found = deduce(group, int(group["layout_pages"].iloc[0]))
+        return pd.DataFrame([(*key, *found)], columns=["host", "layout", "slots", "links", "wording", "freed"])
 
-    return rows.groupBy("host").applyInPandas(
-        run, "host string, slots array<string>, links array<string>, wording array<string>, freed array<string>"
+    known = rows.groupBy("host", "layout").applyInPandas(
+        run,
+        "host string, layout string, slots array<string>, links array<string>, wording array<string>, freed array<string>",
+    )
+    return known.groupBy("host").agg(
+        F.collect_list(F.struct("layout", "slots", "links", "wording", "freed")).alias("known")
     )
 
 
@@ -204,18 +247,20 @@ def extracted(pages: DataFrame) -> DataFrame:
     known = written(templates(pages), "page-templates")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, tuple] = {}
+        cache: dict[str, dict[str, tuple]] = {}
         for batch in batches:
             texts = []
-            for host, html, *known in zip(
-                *(batch[c] for c in ("host", "html", "slots", "links", "wording", "freed")), strict=True
-            ):
+            for host, html, known in zip(batch["host"], batch["html"], batch["known"], strict=True):
                 if host not in cache:
                     if len(cache) > 1000:
                         cache.clear()
-                    cache[host] = tuple([] if v is None else list(v) for v in known)
-                s, k, w, f = cache[host]
-                texts.append("\n\n".join(b.text for b in main_blocks(parse(html), s, set(k), set(w), set(f))))
+                    cache[host] = {
+                        t["layout"]: (list(t["slots"]), *(set(t[c]) for c in ("links", "wording", "freed")))
+                        for t in ([] if known is None else known)
+                    }
+                page = parse(html)
+                found = cache[host].get(layout_of(page)) or cache[host].get("", ([], set(), set(), set()))
+                texts.append("\n\n".join(b.text for b in main_blocks(page, *found)))
             yield pd.DataFrame(
                 {
                     "page_id": batch["page_id"],

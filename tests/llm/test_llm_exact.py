@@ -321,6 +321,29 @@ def test_template_inside_marked_articles(spark):
     assert texts_of(spark, copies) == ["The same"] * 5
 
 
+def test_template_with_broken_pages(spark):
+    """Null, empty and error pages do not turn the removal of wording off."""
+    page = "<div class=x><p>T {0} is long enough</p><p>B {0}</div><div class=f>Made with care by all of us</div>"
+    found = texts_of(spark, [page.format(i) for i in range(12)] + ["<p>404"])
+    assert found == [f"T {i} is long enough\n\nB {i}" for i in range(12)] + ["404"]
+    pages = [(i, f"http://h/{i}", page.format(i)) for i in range(6)] + [(9, "http://h/9", None), (8, "http://h/8", "")] * 4
+    rows = template.extracted(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in rows} == {
+        **{i: f"T {i} is long enough\n\nB {i}" for i in range(6)}, 8: "", 9: ""
+    }
+
+
+def test_template_of_each_layout(spark):
+    """Three layouts of a third each have a template each."""
+    pages = [
+        f"<div class={k}menu><a href=1>Home of all</a></div><div class={k}><p>T {i} is long enough<p>B {i}</div>"
+        f"<div class={k}f>Made with care by {k}</div>"
+        for i in range(6)
+        for k in ("one", "two", "three")
+    ]
+    assert texts_of(spark, pages) == [f"T {i} is long enough\n\nB {i}" for i in range(6) for _ in range(3)]
+
+
 def test_damaged_markup():
     page = markup.parse("<ul><li>a<li>b</ul><p>c<p>d<script>x</p></script><!-- e --><td>f &#233; &bogus; &amp")
     assert [b.text for b in page.blocks] == ["a", "b", "c", "d", "f é &bogus; &"]
