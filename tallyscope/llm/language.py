@@ -33,6 +33,7 @@ UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 BITS = 13
 PER_LANGUAGE = 300
+MOST_LANGUAGES = 200
 #: A document whose language is less likely than this is rejected.
 LEAST = 0.5
 #: Families of language codes.
@@ -199,8 +200,14 @@ def fit(languages: list[str], shares: np.ndarray) -> Languages:
     return Languages(families, pairs, columns, np.array(bias), np.array(slopes))
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Languages:
-    """Learns from text and lang of ``labelled`` (doc_id only picks the sample)."""
+def train(
+    labelled: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES
+) -> Languages:
+    """Learns from text and lang of ``labelled`` (doc_id only picks the sample).
+
+    More than ``most_languages`` languages are an error: none is left out silently. The sample of all
+    languages comes to the driver, ``per_language`` texts each.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,7 +222,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Languages:
             )
 
     sample = smallest_by_hash(
-        labelled.select("doc_id", "text", "lang").where("text RLIKE '\\\\p{L}'"), "lang", per_language
+        labelled.select("doc_id", "text", "lang").where("text RLIKE '\\\\p{L}'"), "lang", per_language, most_languages
     )
     rows = sample.select("lang", "text").mapInPandas(
         run, "lang string, places array<int>, shares array<float>"

@@ -74,13 +74,15 @@ class Letters:
 def smallest_by_hash(rows: DataFrame, group: str, most: int, groups: int = 200) -> DataFrame:
     """Up to ``most`` rows a group, those with the smallest hashes of doc_id: a sample that reruns share.
 
-    ``rows`` has doc_id, text and ``group``, null groups left out; of more than ``groups`` groups the
-    largest take part. A threshold from the groups' sizes thins the rows before anything is sorted,
+    ``rows`` has doc_id, text and ``group``, null groups left out; more than ``groups`` groups
+    are an error. A threshold from the groups' sizes thins the rows before anything is sorted,
     so that the shuffle carries a few times the sample whatever the input.
     """
     spark = rows.sparkSession
     rows = rows.where(F.col(group).isNotNull())
-    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups).collect()
+    sizes = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(groups + 1).collect()
+    if len(sizes) > groups:
+        raise ValueError(f"{group} has more than {groups} values; allow more, or leave some out")
     if not sizes:
         return rows.limit(0)
     kind = rows.schema[group].dataType.simpleString()

@@ -69,6 +69,11 @@ def test_language(docs, nothing):
     assert {r["lang_pred"] for r in language.identified(docs, alone).collect()} == {"und", "en"}
 
 
+def test_no_language_is_left_out_silently(docs):
+    with pytest.raises(ValueError, match="more than 1 values"):
+        language.train(docs, most_languages=1)
+
+
 def test_warc(spark, docs, nothing):
     same = "<p>" + "x" * 200
     pages = spark.createDataFrame(
