@@ -40,9 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return write_between_stages(df, name)
 
 
+def checksum(doc_id: str) -> Column:
+    """``crc32(doc_id as text)``; a null id counts as the empty text (0)."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """``crc32(doc_id as text) mod modulus``; a null id counts as the empty text (remainder 0)."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % modulus
+    return checksum(doc_id) % modulus
 
 
 def uri_of(folder: str) -> str:

@@ -8,8 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyscope.llm import language, mixing, neighbours, ngrams, packing, piecewise, simhash, template, toxicity, warc
-from tallyscope.llm.common import read, remainder, shared_folder
+from tallyscope.llm import (
+    language,
+    lexical,
+    mixing,
+    neighbours,
+    ngrams,
+    packing,
+    periodic,
+    pieces,
+    piecewise,
+    simhash,
+    template,
+    toxicity,
+    warc,
+)
+from tallyscope.llm.common import WORD, checksum, read, remainder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -100,6 +114,58 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One document in ten by the checksum of its id repeats a stretch of its words to its end."""
+    word = f"regexp_extract_all(text, '{WORD}', 0)".replace("\\", "\\\\")
+    marked = docs.select("doc_id", "text", checksum("doc_id").alias("h")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.expr(word))
+    )
+    n = F.size("words")
+    placed = marked.withColumn("g", F.floor(F.col("h") / 10)).withColumn(
+        "a", F.when(n > 0, F.col("g") % n)
+    )
+    first = (F.col("a") + 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).alias("until")
+    repeated = F.expr(
+        "concat(slice(words, 1, int(a)), transform(sequence(int(a), size(words) - 1), "
+        "i -> words[int(a + (i - a) % (until - a))]))"
+    )
+    planted = placed.select("doc_id", "text", "words", "a", first)
+    return planted.select(
+        "doc_id", F.when(F.col("a").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text")
+    )
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(read(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("longest.col2")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.col3")).alias("period"),
+        F.expr("(1000 * longest.length) DIV (-longest.col3)").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encoded(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_language": op1_language,
     "op2_warc": op2_warc,
@@ -111,4 +177,7 @@ QUERIES: dict[str, Query] = {
     "op8_template": op8_template,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_periodic": op11_periodic,
+    "op12_lexical": op12_lexical,
+    "op13_pieces": op13_pieces,
 }

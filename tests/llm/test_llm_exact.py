@@ -43,7 +43,7 @@ def held_out(doc_id: int, modulus: int) -> bool:
 @pytest.mark.parametrize("name", sorted(oracle.STATEMENTS))
 def test_against_sql(spark, name):
     connection = duckdb.connect()
-    for view in ("documents", "pages"):
+    for view in ("documents", "pages", "benchmark"):
         connection.execute(f"CREATE VIEW {view} AS SELECT * FROM '{SMALL}/{view}.parquet'")
     cursor = connection.execute(oracle.STATEMENTS[name])
     names = [c[0] for c in cursor.description]
