@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +29,10 @@ def parts(
 
 
 class Recent:
-    """A store of values by word in two generations of at most ``most`` words each.
+    """A store of values by word in two generations; a new one starts when the young one has ``most``.
 
-    Words met again stay, words met once go when their generation is full. A store lives as long as the
-    task that made it, so workers that Spark uses again keep nothing.
+    Words met again in a generation stay, others go with the old one. A store lives as long as the task
+    that made it, so workers that Spark uses again keep nothing.
     """
 
     def __init__(self, most: int):
@@ -41,14 +40,12 @@ class Recent:
         self.young: dict = {}
         self.old: dict = {}
 
-    def known(self, words: set) -> dict:
-        """The stored ones of ``words``; those of the old generation move to the young one."""
-        found = {word: self.young[word] for word in words & self.young.keys()}
-        again = {word: self.old[word] for word in (words & self.old.keys()) - found.keys()}
-        self.keep(again)
-        return found | again
-
-    def keep(self, values: dict) -> None:
-        if len(self.young) + len(values) > self.most:
+    def of(self, words: set, make: Callable[[set], dict]) -> dict:
+        """A store with the values of all ``words``; ``make`` gives those of new ones."""
+        if len(self.young) >= self.most:
             self.old, self.young = self.young, {}
-        self.young.update(islice(values.items(), self.most))
+        missing = words - self.young.keys()
+        again = missing & self.old.keys()
+        self.young.update((word, self.old[word]) for word in again)
+        self.young.update(make(missing - again))
+        return self.young

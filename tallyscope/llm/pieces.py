@@ -39,10 +39,16 @@ from tallyscope.llm.batches import Recent, parts
 
 #: The mark that stands for a space, and the text of an unknown piece when decoded.
 SPACE, UNKNOWN = "▁", " ⁇ "
-RECENT = 100_000
+RECENT = 150_000
 #: Parts up to this length are merged side by side with others of their length.
 SHORT = 48
 _NONE = 1 << 30
+_SLOTS = (1 << 19) - 1
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """First slot of each pair in the table of pairs."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) & _SLOTS
 
 
 class Pieces:
@@ -66,9 +72,16 @@ class Pieces:
             for cut in range(1, len(text))
             if text[:cut] in self.numbers and text[cut:] in self.numbers
         }
-        self.pair_keys = np.array(sorted(self.union), np.int64)
-        self.pair_pieces = np.array([self.union[key] for key in self.pair_keys.tolist()], np.int32)
-        self.pair_ranks = np.array(self.rank, np.int32)[self.pair_pieces]
+        if len(self.union) > _SLOTS // 2:
+            raise ValueError("the vocabulary has too many pieces")
+        self.slot_keys = np.full(_SLOTS + 1, -1, np.int64)
+        self.slot_pieces = np.zeros(_SLOTS + 1, np.int32)
+        keys = np.array(list(self.union), np.int64)
+        for slot, key, piece in zip(_slots(keys).tolist(), keys.tolist(), self.union.values(), strict=True):
+            while self.slot_keys[slot] >= 0:
+                slot = (slot + 1) & _SLOTS
+            self.slot_keys[slot], self.slot_pieces[slot] = key, piece
+        self.slot_ranks = np.array(self.rank, np.int32)[self.slot_pieces]
         self.by_point = np.full(sys.maxunicode + 1, self.alone, np.int32)
         for text, i in self.numbers.items():
             if len(text) == 1:
@@ -162,45 +175,60 @@ class Pieces:
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and number of the piece of each pair; without one, rank _NONE."""
         key = left.astype(np.int64) << 20 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        found = self.pair_keys[at] == key
-        return np.where(found, self.pair_ranks[at], _NONE), self.pair_pieces[at]
+        slot = _slots(key)
+        held = self.slot_keys[slot]
+        asking = np.flatnonzero((held != key) & (held >= 0))
+        flat_slot, flat_key = slot.reshape(-1), key.reshape(-1)
+        while len(asking):  # the next slot, as others came first
+            flat_slot[asking] = (flat_slot[asking] + 1) & _SLOTS
+            held = self.slot_keys[flat_slot[asking]]
+            asking = asking[(held != flat_key[asking]) & (held >= 0)]
+        found = self.slot_keys[slot] == key
+        return np.where(found, self.slot_ranks[slot], _NONE), self.slot_pieces[slot]
 
     def same_length(self, some: list[str], length: int) -> dict[str, bytes]:
-        """The ids of parts of one length: a row each, with its symbols and its agenda side by side.
+        """The ids of parts of one length: a column each, with its symbols and its agenda side by side.
 
-        A step takes the best entry of every row (the first of the least ones), so all rows that are
-        still merging have the same number of symbols.
+        A step takes the best entry of every column (the first of the least ones), so all columns that
+        are still merging have the same number of symbols.
         """
         points = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).reshape(-1, length)
-        symbols = self.by_point[points]
-        ranks, wholes = self._pairs(symbols[:, :-1], symbols[:, 1:])
-        rows, out = np.arange(len(some)), {}
-        while len(rows):
-            width = symbols.shape[1]
-            at = ranks.argmin(axis=1) if width > 1 else np.zeros(len(rows), np.int64)
-            every = np.arange(len(rows))
-            going = ranks[every, at] != _NONE if width > 1 else np.zeros(len(rows), bool)
-            ended = np.ascontiguousarray(symbols[~going], np.int32)
-            lacking = (ended == self.alone).any(axis=1).tolist()
-            raw, size = ended.tobytes(), 4 * width
-            for i, (row, lacks) in enumerate(zip(rows[~going].tolist(), lacking, strict=True)):
-                out[some[row]] = self.part_ids(some[row]) if lacks else raw[i * size : (i + 1) * size]
-            rows, at = rows[going], at[going]
-            if not len(rows):
-                break
-            symbols, ranks, wholes = symbols[going], ranks[going], wholes[going]
-            every = np.arange(len(rows))
-            whole = wholes[every, at]
-            column = np.arange(width - 1)[None, :]
-            symbols = np.take_along_axis(symbols, column + (column > at[:, None]), axis=1)
-            symbols[every, at] = whole
-            column = np.arange(width - 2)[None, :]
-            column = column + (column >= at[:, None])
-            ranks, wholes = np.take_along_axis(ranks, column, 1), np.take_along_axis(wholes, column, 1)
+        symbols = self.by_point[np.ascontiguousarray(points.T)]
+        ranks, wholes = self._pairs(symbols[:-1], symbols[1:])
+        names, out = np.arange(len(some)), {}
+        while len(names):
+            width = len(symbols)
+            least = ranks.min(axis=0) if width > 1 else np.full(len(names), _NONE)
+            ended = least == _NONE
+            if ended.any():
+                done = np.ascontiguousarray(symbols[:, ended].T, np.int32)
+                lacking = (done == self.alone).any(axis=1).tolist()
+                raw, size = done.tobytes(), 4 * width
+                for i, (name, lacks) in enumerate(zip(names[ended].tolist(), lacking, strict=True)):
+                    out[some[name]] = self.part_ids(some[name]) if lacks else raw[i * size : (i + 1) * size]
+                names, least = names[~ended], least[~ended]
+                symbols, ranks, wholes = symbols[:, ~ended], ranks[:, ~ended], wholes[:, ~ended]
+                if not len(names):
+                    break
+            at = np.full(len(names), width - 2, np.int32)
+            for place in range(width - 3, -1, -1):
+                at[ranks[place] == least] = place
+            every = np.arange(len(names))
+            whole = wholes[at, every]
+            for place in range(width - 1):  # the right one of the merged symbols goes
+                later = at < place
+                np.copyto(symbols[place], symbols[place + 1], where=later)
+                if place < width - 2:
+                    later |= at == place
+                    np.copyto(ranks[place], ranks[place + 1], where=later)
+                    np.copyto(wholes[place], wholes[place + 1], where=later)
+            symbols, ranks, wholes = symbols[:-1], ranks[:-1], wholes[:-1]
+            symbols[at, every] = whole
             for beside, mine in ((at - 1, at > 0), (at, at < width - 2)):
-                row, place = every[mine], beside[mine]
-                ranks[row, place], wholes[row, place] = self._pairs(symbols[row, place], symbols[row, place + 1])
+                column, place = every[mine], beside[mine]
+                ranks[place, column], wholes[place, column] = self._pairs(
+                    symbols[place, column], symbols[place + 1, column]
+                )
         return out
 
     def new_ids(self, new: set[str]) -> dict[str, bytes]:
@@ -217,11 +245,7 @@ class Pieces:
 
     def encode(self, texts: list[str | None], recent: Recent) -> list[np.ndarray]:
         cut = [self.parts.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
-        different = set(chain.from_iterable(cut))
-        ids = recent.known(different)
-        new = self.new_ids(different - ids.keys())
-        recent.keep(new)
-        ids |= new
+        ids = recent.of(set(chain.from_iterable(cut)), self.new_ids)
         return [np.frombuffer(b"".join(map(ids.__getitem__, own)), np.int32) for own in cut]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -309,7 +333,7 @@ def encoded(docs: DataFrame, vocabulary: str, check: bool = True) -> DataFrame:
                 back = pieces.library.decode(theirs, num_threads=1)
                 columns["agrees"] = pa.array(
                     [
-                        np.array_equal(own, other) and text == again
+                        own.tolist() == other and text == again
                         for own, other, text, again in zip(ids, theirs, decoded, back, strict=True)
                     ]
                 )
