@@ -26,6 +26,8 @@ def parts(
             end = min(max(end, at + 1), at + most_rows)
             yield batch.slice(at, end - at)
             at = end
+    # workers that Spark uses again give back what batches took
+    pa.default_memory_pool().release_unused()
 
 
 class Recent:

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tallyscope.llm.tokens import tokenizer
+from tallyscope.llm.batches import parts
+from tallyscope.llm.tokens import WordTokenizer
 
 END = 2
 ROOM = 4096
@@ -134,20 +135,18 @@ def pack(docs: DataFrame, vocabulary: str, room: int = ROOM, with_ids: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal id_type
-        words = tokenizer(vocabulary)
+        words = WordTokenizer(vocabulary)
         packer = Packer(TaskContext.get().partitionId() << 32, room)
         end = np.array([END], np.uint32)
-        for batch in batches:
-            id_type = batch.schema.field("doc_id").type
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                done = []
-                ids = words.encode(part.column("text").to_pylist())
-                for doc_id, own in zip(part.column("doc_id").to_pylist(), ids, strict=True):
-                    document = (doc_id, np.concatenate((own, end)))
-                    done += packer.add(document, len(document[1]))
-                if done:
-                    yield rows(done)
+        for part in parts(batches):
+            id_type = part.schema.field("doc_id").type
+            done = []
+            ids = words.encode(part.column("text").to_pylist())
+            for doc_id, own in zip(part.column("doc_id").to_pylist(), ids, strict=True):
+                document = (doc_id, np.concatenate((own, end)))
+                done += packer.add(document, len(document[1]))
+            if done:
+                yield rows(done)
         done = packer.finish()
         if done:
             yield rows(done)

@@ -1,102 +1,89 @@
-"""Token ids of whole texts from a public tokenizer, encoding each different word once."""
+"""Token ids of whole texts from a public tokenizer, encoding each different word once a while."""
 
 from __future__ import annotations
 
 import re
 import string
-from array import array
 from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
 
+from tallyscope.llm.batches import Recent
+
 _PUNCTUATION = string.punctuation.replace("'", "").encode()
 _LATIN = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
 #: Punctuation between a letter or digit and the next one, or white space: a word of its own.
 _APART = re.compile(
-    rb"(?:(?<=[a-z0-9])|(?<=%s))([%s]+)(?=[\sa-z0-9]|%s|\Z)" % (_LATIN, re.escape(_PUNCTUATION), _LATIN)
+    rb"([%s](?:(?<=[a-z0-9].)|(?<=%s.))[%s]*)(?=[\sa-z0-9]|%s|\Z)"
+    % (re.escape(_PUNCTUATION), _LATIN, re.escape(_PUNCTUATION), _LATIN)
 )
+#: Words of lower-case ASCII and Latin-1 letters: no normalisation changes them.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+RECENT = 100_000
+#: Words of letters that are encoded as one text.
+TOGETHER = 2000
 
 
 class WordTokenizer:
     """A tokenizer that drops white space and marks the ends of words with ``</w>``.
 
     Its tokens never cross white space, nor the border between letters and punctuation, so a text's
-    ids are the ids of its words in turn. Words are kept with their ids up to ``most_words``; then the
-    store starts again empty. Words of letters alone are encoded many at a time, others one by one.
+    ids are the ids of its words in turn. Words met lately are kept with their ids, in two generations
+    of RECENT words that live as long as this object. New words of plain letters are encoded many at a
+    time as one text, without the normalisation that leaves them as they are; other new words as a
+    batch. A text that holds the string of a special token is encoded whole.
     """
 
-    def __init__(self, path: str, most_words: int = 700_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, recent: int = RECENT):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.most_words = most_words
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.starts, self.lengths, self.ids = array("q"), array("q"), array("I")
+        added = [token.content.encode().lower() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, added))) if added else None
+        self.recent = Recent(recent)
 
-    def _keep(self, word: bytes, ids: Sequence[int]) -> None:
-        self.index[word] = len(self.starts)
-        self.starts.append(len(self.ids))
-        self.lengths.append(len(ids))
-        self.ids.extend(ids)
-
-    def _one(self, word: bytes) -> list[int]:
-        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-
-    def _learn(self, words: set[bytes]) -> None:
-        letters, others = [], []
+    def _new(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words, as 32-bit numbers."""
+        letters, others, out = [], [], {}
         for word in words:
-            (letters if word.isalpha() or word.decode().isalpha() else others).append(word)
-        for at in range(0, len(letters), 2000):
-            some = letters[at : at + 2000]
-            ids = np.array(self._one(b" ".join(some)), np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            (letters if word.isalpha() or _PLAIN.fullmatch(word) else others).append(word)
+        for at in range(0, len(letters), TOGETHER):
+            some = letters[at : at + TOGETHER]
+            (found,) = self.plain.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stops) != len(some):
                 others += some
                 continue
-            starts = np.concatenate(([0], stops[:-1]))
-            first = len(self.starts)
-            self.starts.frombytes((starts + len(self.ids)).astype(np.int64).tobytes())
-            self.lengths.frombytes((stops - starts).astype(np.int64).tobytes())
-            self.ids.frombytes(ids.tobytes())
-            self.index.update(zip(some, range(first, first + len(some)), strict=True))
-        for word in others:
-            self._keep(word, self._one(word))
+            raw = ids.tobytes()
+            out.update((word, raw[a:b]) for word, a, b in zip(some, [0, *stops[:-1]], stops, strict=True))
+        for at in range(0, len(others), TOGETHER):
+            some = others[at : at + TOGETHER]
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            out.update((word, np.array(x.ids, np.uint32).tobytes()) for word, x in zip(some, found, strict=True))
+        return out
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit arrays."""
-        words = [_APART.sub(rb" \1 ", (text or "").encode().lower()).split() for text in texts]
-        different = set(chain.from_iterable(words))
-        missing = different - self.index.keys()
-        if missing and len(self.index) + len(missing) > self.most_words and self.index:
-            self._clear()
-            missing = different
-        self._learn(missing)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        places = np.fromiter(
-            map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum())
-        )
-        lengths = np.array(self.lengths, np.int64)[places] if len(places) else np.empty(0, np.int64)
-        starts = np.array(self.starts, np.int64)[places] if len(places) else np.empty(0, np.int64)
-        reached = np.concatenate(([0], np.cumsum(lengths)))
-        flat = np.array(self.ids, np.uint32)[
-            np.repeat(starts - reached[:-1], lengths) + np.arange(reached[-1])
+        raw = [(text or "").encode().lower() for text in texts]
+        whole = [self.special is not None and self.special.search(own) is not None for own in raw]
+        words = [
+            [] if special else _APART.sub(rb" \1 ", own).split() for own, special in zip(raw, whole, strict=True)
+        ]
+        ids = self.recent.of(set(chain.from_iterable(words)), self._new)
+        return [
+            np.array(self._whole(text), np.uint32)
+            if special
+            else np.frombuffer(b"".join(map(ids.__getitem__, own)), np.uint32)
+            for text, own, special in zip(texts, words, whole, strict=True)
         ]
-        bounds = reached[np.concatenate(([0], np.cumsum(counts)))]
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-_loaded: dict[str, WordTokenizer] = {}
-
-
-def tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer for each worker process and vocabulary."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]

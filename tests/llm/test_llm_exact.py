@@ -161,7 +161,6 @@ def test_word_tokenizer():
 
     path = queries.vocabulary("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     texts = [
         "Don't stop, they're 'quoted'. e.g. x,y;z a--b ''. 3,000.50 é, É!? naïve... É́a",
         "<|endoftext|> <|startoftext|>text …! “word.” don’t ×2 ÷, 中文。 tab\tx\x0by\x1cz w v",
@@ -169,7 +168,7 @@ def test_word_tokenizer():
         "",
         None,
     ]
-    words = tokens.WordTokenizer(path, most_words=20)
+    words = tokens.WordTokenizer(path, recent=20)
     for _ in range(2):
         for text, ids in zip(texts, words.encode(texts), strict=True):
             assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
