@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.rules import by_value
 from tallyscope.operators import scoring as S
-from tallyscope.sources.readers import Tables, absent_columns
+from tallyscope.sources.readers import Tables, absent_columns, rejects_of
 from tallyscope.sources.schemas import ACCOUNT_CHILDREN, CONTRACTS
 
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
@@ -248,54 +248,146 @@ def critical_nulls(spark: SparkSession, tables: Tables) -> DataFrame:
     return _null_counts(spark, tables, lambda contract: contract.critical)
 
 
+#: Kinds of entries of ``table_summary``.
+_KEY, _ID, _NULL, _NO_ID, _REJECT = range(5)
+SUMMARY = (
+    "table_name string, row_count bigint, null_keys bigint, duplicate_keys bigint, "
+    "null_counts map<string,bigint>, orphan_ids bigint, null_ids bigint, rejected_rows bigint"
+)
+
+
+def _entry(kind: int, value: Column | None) -> Column:
+    return F.struct(
+        F.lit(kind).alias("kind"), (F.lit(None) if value is None else value).cast("string").alias("value")
+    )
+
+
+def _entries(name: str, df: DataFrame) -> DataFrame:
+    """What a row adds to the checks: its key, its account id, and each required column that it lacks."""
+    contract = CONTRACTS[name]
+    absent = set(absent_columns(df, contract))
+
+    def cell(column: str) -> Column:
+        return F.lit(None).cast("string") if column in absent else F.col(column).cast("string")
+
+    found = [_entry(_KEY, cell(contract.key))]
+    if name in ACCOUNT_CHILDREN or name == "accounts":
+        found.append(F.when(cell("account_id").isNotNull(), _entry(_ID, cell("account_id"))))
+    if name in ACCOUNT_CHILDREN:
+        found.append(F.when(cell("account_id").isNull(), _entry(_NO_ID, None)))
+    found += [F.when(cell(c).isNull(), _entry(_NULL, F.lit(c))) for c in contract.required]
+    return df.select(F.lit(name).alias("owner"), F.inline(F.array_compact(F.array(*found))))
+
+
+def table_summary(spark: SparkSession, tables: Tables) -> DataFrame:
+    """Rows, keys, NULLs, orphans and rejects of each table, from one read of each table.
+
+    A row becomes an entry for its key, one for its account id, and one for each required column that
+    is NULL (good data has none). Equal entries are combined per task before the only large shuffle.
+    Account ids then meet across the tables, each with a bit for every table that holds it, so orphans
+    need no join. These are aggregates and not metrics observed beside a scan, because a stage that runs
+    again after a lost executor would count such metrics twice.
+    """
+    rejects = rejects_of(tables)
+    parts = [_entries(name, df) for name, df in tables.items()]
+    parts += [
+        df.select(F.lit(name).alias("owner"), F.lit(_REJECT).alias("kind"), F.lit(None).cast("string").alias("value"))
+        for name, df in rejects.items()
+    ]
+    if not parts:
+        return spark.createDataFrame([], SUMMARY)
+    bit = {name: 1 << i for i, name in enumerate(CONTRACTS)}
+    kind, is_id = F.col("kind"), F.col("kind") == _ID
+    combined = (
+        _stacked(parts, spark, "")
+        .groupBy("owner", "kind", "value")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    met = combined.groupBy(
+        "kind",
+        F.when(~is_id, F.col("owner")).alias("owner"),
+        F.when(kind.isin(_ID, _NULL), F.col("value")).alias("value"),
+    ).agg(
+        F.sum("rows").alias("rows"),
+        F.sum(F.when(F.col("value").isNull(), F.col("rows"))).alias("without"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("rows") - 1)).alias("beyond"),
+        F.bit_or(F.expr(by_value("owner", bit, 0))).alias("holders"),
+    )
+
+    def holds(name: str) -> Column:
+        return F.col("holders").bitwiseAND(F.lit(bit[name])) != 0
+
+    orphan = [F.when(holds(name) & ~holds("accounts"), F.lit(name)) for name in ACCOUNT_CHILDREN]
+    of = F.when(is_id, F.array_compact(F.array(*orphan))).otherwise(F.array("owner"))
+    counted = met.select(F.explode(of).alias("table_name"), "kind", "value", "rows", "without", "beyond")
+
+    def total(which: int, column: str) -> Column:
+        return F.coalesce(F.sum(F.when(kind == which, F.col(column))), F.lit(0).cast("bigint"))
+
+    null_keys = total(_KEY, "without")
+    per_table = counted.groupBy("table_name").agg(
+        total(_KEY, "rows").alias("row_count"),
+        null_keys.alias("null_keys"),
+        # missing keys count as one key
+        (total(_KEY, "beyond") + F.greatest(null_keys - 1, F.lit(0))).alias("duplicate_keys"),
+        F.map_from_entries(F.collect_list(F.when(kind == _NULL, F.struct("value", "rows")))).alias("null_counts"),
+        F.count_if(is_id).alias("orphan_ids"),
+        total(_NO_ID, "rows").alias("null_ids"),
+        total(_REJECT, "rows").alias("rejected_rows"),
+    )
+    listed = spark.range(1).select(F.explode(F.array(*map(F.lit, tables))).alias("table_name"))
+    numbers = [c for c in per_table.columns if c not in ("table_name", "null_counts")]
+    return listed.join(per_table, "table_name", "left").select(
+        *[
+            F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) if c in numbers else F.col(c)
+            for c in per_table.columns
+        ]
+    )
+
+
 def quality_report(
     spark: SparkSession, tables: Tables, expected: Mapping[str, int] | None = None
 ) -> DataFrame:
     """All findings with a status; absent tables are reported and skipped by the other checks.
 
-    Counts and keys come from one read of each table, required columns from another of those columns
-    alone, orphans from one of the ids.
+    Each table is read once (``table_summary``). Tables from CSV files also have the number of rows
+    in the file, and a failure if some of them were rejected.
     """
-    facts = table_facts(spark, tables)
+    rejects = rejects_of(tables)
     keys = F.col("null_keys") + F.col("duplicate_keys")
-    # one row a table carries both findings, so that the table is not read for each
-    counted = F.expr(by_value("table_name", expected or {}, None)) if expected else F.lit(None)
-    key_finding = F.struct(
-        F.lit("primary_key").alias("check"),
-        F.lit("null_or_duplicate").alias("metric"),
-        keys.alias("value"),
-        _pass_if_zero(keys).alias("status"),
-    )
-    row_finding = F.struct(
-        F.lit("row_count").alias("check"),
-        F.lit("rows").alias("metric"),
-        F.col("row_count").alias("value"),
-        F.when(F.col("row_count") == counted, PASS).otherwise(WARN).alias("status"),
-    )
-    both = F.when(counted.isNull(), F.array(key_finding)).otherwise(F.array(key_finding, row_finding))
-    from_facts = facts.select("table_name", F.inline(both)).select(
-        "check", "table_name", "metric", "value", "status"
-    )
-    parts = [inputs_present(spark, tables), missing_columns(spark, tables), from_facts]
-    parts.append(
-        not_null(spark, tables).select(
-            "check",
-            "table_name",
-            F.col("column_name").alias("metric"),
-            F.col("null_count").alias("value"),
-            "status",
-        )
-    )
+
+    def finding(check: str | Column, metric: str | Column, value: Column, status: Column) -> Column:
+        check, metric = (F.lit(x) if isinstance(x, str) else x for x in (check, metric))
+        value = value.cast("bigint")
+        return F.struct(check.alias("check"), metric.alias("metric"), value.alias("value"), status.alias("status"))
+
+    def only(names, one: Column) -> Column:
+        return F.when(F.col("table_name").isin(*names), one)
+
+    wanted = F.expr(by_value("table_name", expected, None)) if expected else F.lit(None).cast("bigint")
+    lacking = [
+        name for name in ACCOUNT_CHILDREN if name in tables and "account_id" in absent_columns(tables[name], CONTRACTS[name])
+    ]
+    orphans = F.when(F.col("table_name").isin(*lacking), FAIL).otherwise(_pass_if_zero(F.col("orphan_ids")))
+    in_file = F.col("row_count") + F.col("rejected_rows")
+    count_status = F.when(F.col("row_count") == wanted, PASS).otherwise(WARN)
+    findings = [
+        finding("primary_key", "null_or_duplicate", keys, _pass_if_zero(keys)),
+        F.when(wanted.isNotNull(), finding("row_count", "rows", F.col("row_count"), count_status)),
+        only(rejects, finding("rows_in_file", "rows", in_file, F.lit(PASS))),
+        only(rejects, finding("rejected_rows", "rows", F.col("rejected_rows"), _pass_if_zero(F.col("rejected_rows")))),
+    ]
     if "accounts" in tables:
-        parts.append(
-            foreign_key_orphans(spark, tables).select(
-                "check",
-                "table_name",
-                F.lit("orphan_ids").alias("metric"),
-                F.col("orphan_ids").alias("value"),
-                "status",
-            )
+        findings.append(
+            only(ACCOUNT_CHILDREN, finding("foreign_key", "orphan_ids", F.col("orphan_ids"), orphans))
         )
+    for name in tables:
+        for column in CONTRACTS[name].required:
+            count = F.coalesce(F.col("null_counts")[column], F.lit(0).cast("bigint"))
+            findings.append(only([name], finding("not_null", column, count, _pass_if_zero(count))))
+    found = table_summary(spark, tables).select("table_name", F.inline(F.array_compact(F.array(*findings))))
+    parts = [inputs_present(spark, tables), missing_columns(spark, tables)]
+    parts.append(found.select("check", "table_name", "metric", "value", "status"))
     return _stacked(parts, spark, FINDING)
 
 

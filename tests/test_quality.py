@@ -17,6 +17,7 @@ from tallyscope.sources.readers import (
     read_csv_table,
     read_tables,
     split_csv_table,
+    stage_csv_table,
     write_between_stages,
 )
 from tallyscope.sources.schemas import CONTRACTS
@@ -261,3 +262,72 @@ def test_csv_rejects(spark, tmp_path):
     bad = {r.account_id: (r.bad_columns, r[CORRUPT]) for r in rejects.collect()}
     assert bad["b"] == (["company_size"], None) and bad["c"] == (["renewal_date"], None)
     assert bad["d"][1] == "d,Dot,5"
+
+
+BROKEN = (
+    "account_id,company_name,company_size,annual_recurring_revenue\n"
+    "a,Acme,12,9.50\n"
+    "b,Bolt,12,12k\n"  # a bad cell
+    "c,Cog,5\n"  # a short row
+    "d,Dot,5,1.00,more\n"  # a long row
+    '"e","Egg\n& Co",,2\n'
+)
+
+
+@pytest.fixture
+def checkpoints(spark, tmp_path):
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+
+
+@pytest.mark.parametrize("file_format", ["csv", "csv-staged"])
+def test_no_csv_row_is_lost_unseen(spark, tmp_path, checkpoints, file_format):
+    csv_file(tmp_path, BROKEN)
+    found = read_tables(spark, str(tmp_path), file_format, names=["accounts"])
+    rows = {r.account_id: r for r in found["accounts"].collect()}
+    assert set(rows) == {"a", "e"} and rows["e"].company_name == "Egg\n& Co"
+    assert rows["a"].annual_recurring_revenue == Decimal("9.50") and rows["a"].industry is None
+    assert "industry" in absent_columns(found["accounts"], CONTRACTS["accounts"])
+    assert [f.dataType for f in found["accounts"].schema] == [f.dataType for f in CONTRACTS["accounts"].schema]
+    rejects = {r.account_id: r for r in found.rejects["accounts"].collect()}
+    assert set(rejects) == {"b", "c", "d"}
+    assert (rejects["b"].bad_columns, rejects["b"].annual_recurring_revenue) == (["annual_recurring_revenue"], "12k")
+    assert rejects["c"][CORRUPT] == "c,Cog,5" and rejects["d"][CORRUPT] == "d,Dot,5,1.00,more"
+    report = quality.quality_report(spark, found).where("table_name = 'accounts'")
+    checks = {(r.check, r.value, r.status) for r in report.collect() if "row" in r.check}
+    assert checks == {("rejected_rows", 3, "FAIL"), ("rows_in_file", 5, "PASS")}
+    assert quality.quality_summary(report).first().verdict == "rejected"
+
+
+def test_a_clean_csv_file_rejects_nothing(spark, tmp_path, checkpoints):
+    csv_file(tmp_path, "account_id,company_name\na,Acme\n")
+    for file_format in ("csv", "csv-staged"):
+        found = read_tables(spark, str(tmp_path), file_format, names=["accounts"])
+        assert found.rejects["accounts"].count() == 0
+        report = quality.quality_report(spark, found).collect()
+        assert [(r.value, r.status) for r in report if r.check == "rejected_rows"] == [(0, "PASS")]
+    assert "rejected_rows" not in {r.check for r in quality.quality_report(spark, dict(found)).collect()}
+
+
+def test_staged_csv_is_parsed_once(spark, tmp_path, checkpoints):
+    path = csv_file(tmp_path, BROKEN)
+    good, rejects = stage_csv_table(spark, path, CONTRACTS["accounts"])
+    for df in (good.select("account_id"), rejects):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" in text and "csv" not in text.lower().replace("accounts.csv", "")
+    assert "company_name" not in good.select("account_id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_summary_of_one_read_is_that_of_the_single_checks(spark, tables):
+    tables = {**tables, "experiments": table(spark, "experiments")}
+    rows = {r.table_name: r for r in quality.table_summary(spark, tables).collect()}
+    assert set(rows) == set(tables)
+    for facts in quality.table_facts(spark, tables).collect():
+        own = rows[facts.table_name]
+        assert (own.row_count, own.null_keys, own.duplicate_keys) == tuple(facts)[1:]
+    for r in quality.not_null(spark, tables).collect():
+        assert (rows[r.table_name].null_counts or {}).get(r.column_name, 0) == r.null_count
+    for r in quality.foreign_key_orphans(spark, tables).collect():
+        assert (rows[r.table_name].orphan_ids, rows[r.table_name].null_ids) == (r.orphan_ids, r.null_ids)
+    assert any(r.orphan_ids for r in rows.values()) and any(r.null_counts for r in rows.values())
+    assert {r.rejected_rows for r in rows.values()} == {0}
