@@ -57,6 +57,23 @@ def _mean(total: str, rows: str) -> str:
     return f"CAST((2 * ({total}) + {rows}) // (2 * nullif({rows}, 0)) AS DOUBLE) / 100"
 
 
+def _usage(offset: str) -> str:
+    """Usage features on the day ``offset`` days from TODAY."""
+    return f"""
+        SELECT account_id, count(*) AS total_usage_events,
+          count(*) FILTER (event_timestamp >= {_stamp(f"{offset} - 30", "0")}) AS usage_events_last_30_days,
+          count(*) FILTER (event_timestamp >= {_stamp(f"{offset} - 7", "0")}) AS usage_events_last_7_days,
+          count(DISTINCT user_id) AS active_users_total,
+          count(DISTINCT user_id) FILTER (event_timestamp >= {_stamp(f"{offset} - 30", "0")})
+            AS active_users_last_30_days,
+          count(DISTINCT feature_name) AS distinct_features_used,
+          {_mean("sum(CAST(session_duration_minutes * 100 AS BIGINT))",
+                 "count(session_duration_minutes)")} AS avg_session_duration_minutes,
+          max(event_timestamp) AS last_product_event_at,
+          {_day(offset)} - CAST(max(event_timestamp) AS DATE) AS days_since_last_product_event
+        FROM product_usage_events GROUP BY account_id"""
+
+
 _K = "o_orderkey"
 
 BASE_TABLES = {
@@ -180,19 +197,7 @@ FEATURES = {
         SELECT * FROM score_history h WHERE score_id = (
           SELECT score_id FROM score_history i WHERE i.account_id = h.account_id
           ORDER BY calculated_at IS NULL DESC, calculated_at DESC, score_id LIMIT 1)""",
-    "f_usage": f"""
-        SELECT account_id, count(*) AS total_usage_events,
-          count(*) FILTER (event_timestamp >= {_stamp("-30", "0")}) AS usage_events_last_30_days,
-          count(*) FILTER (event_timestamp >= {_stamp("-7", "0")}) AS usage_events_last_7_days,
-          count(DISTINCT user_id) AS active_users_total,
-          count(DISTINCT user_id) FILTER (event_timestamp >= {_stamp("-30", "0")})
-            AS active_users_last_30_days,
-          count(DISTINCT feature_name) AS distinct_features_used,
-          {_mean("sum(CAST(session_duration_minutes * 100 AS BIGINT))",
-                 "count(session_duration_minutes)")} AS avg_session_duration_minutes,
-          max(event_timestamp) AS last_product_event_at,
-          {TODAY} - CAST(max(event_timestamp) AS DATE) AS days_since_last_product_event
-        FROM product_usage_events GROUP BY account_id""",
+    "f_usage": _usage("0"),
 }
 
 
@@ -828,6 +833,12 @@ SELECTS = {
         FROM f_opportunity""",
     "latest_score": f"SELECT score_id, account_id, {_LATEST} FROM f_score",
     "usage_features": f"SELECT * REPLACE ({_time('last_product_event_at')}) FROM f_usage",
+    "usage_from_days": f"SELECT * REPLACE ({_time('last_product_event_at')}) FROM f_usage",
+    "usage_over_dates": " UNION ALL ".join(
+        f"""SELECT CAST({_day(str(-days))} AS VARCHAR) AS as_of, * REPLACE ({_time('last_product_event_at')})
+        FROM ({_usage(str(-days))})"""
+        for days in registry.DAYS_BACK
+    ),
     "account_features": f"""SELECT * EXCLUDE (weighted_pipeline_units, health_score, churn_score,
         expansion_score, score_reason, calculated_at) REPLACE (
         {_double("annual_recurring_revenue")}, {_date("contract_start_date")},

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from checkset.fixture import AS_OF, base_tables
 from tallyscope.operators import explain, explore, quality, queues, rollups, scoring
 from tallyscope.operators.playbook import playbook_signals, playbook_steps, signals
+from tallyscope.operators.usage_days import UsageDays
 from tallyscope.plans.portfolio import Portfolio
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +47,7 @@ ACCOUNT_ID = "5"
 PRESET = "renewal-soon"
 PRESET_TERM = "enterprise"
 PRESET_LIMIT = 25
+DAYS_BACK = (0, 7, 45)
 # Counts of the sf0.01 tables; other sizes give warnings, as the check intends.
 EXPECTED_ROWS = {
     "accounts": 1500,
@@ -129,6 +132,10 @@ def _spark(p: Portfolio) -> SparkSession:
     return p.tables["accounts"].sparkSession
 
 
+def _usage_days(p: Portfolio) -> UsageDays:
+    return UsageDays.of(p.tables["product_usage_events"])
+
+
 def _labels(df: DataFrame, *columns: str) -> DataFrame:
     return df.select("account_id", *columns)
 
@@ -139,6 +146,10 @@ RELATIONS: dict[str, Callable[[Portfolio], DataFrame]] = {
     "opportunity_features": lambda p: p.opportunity_features,
     "latest_score": lambda p: p.score_features,
     "usage_features": lambda p: p.usage_features,
+    "usage_from_days": lambda p: _usage_days(p).usage_features(AS_OF),
+    "usage_over_dates": lambda p: _usage_days(p).usage_features_over(
+        [AS_OF - timedelta(days=days) for days in DAYS_BACK]
+    ),
     "account_features": lambda p: p.account_features,
     "component_scores": lambda p: _labels(p.scoring_v1, *COMPONENTS),
     "composite_scores": lambda p: _labels(p.scoring_v1, *SCORES),
