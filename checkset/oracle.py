@@ -1009,6 +1009,11 @@ SELECTS = {
     "explanation_parse": PARSED,
 }
 
+SELECTS |= {
+    f"{name}_unfolded": SELECTS[name]
+    for name in ("dashboard_kpis", "risk_summary", "action_summary", "owner_workload")
+}
+
 
 def statements() -> dict[str, str]:
     return {name: _with(select) for name, select in SELECTS.items()}

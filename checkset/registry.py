@@ -169,6 +169,10 @@ RELATIONS: dict[str, Callable[[Portfolio], DataFrame]] = {
     "risk_summary": lambda p: rollups.risk_summary(p.intelligence),
     "action_summary": lambda p: rollups.action_summary(p.intelligence),
     "owner_workload": lambda p: rollups.owner_workload(p.intelligence),
+    **{
+        f"{name}_unfolded": lambda p, name=name: rollups.unfolded(rollups.all_rollups(p.intelligence))[name]
+        for name in ("dashboard_kpis", "risk_summary", "action_summary", "owner_workload")
+    },
     "accounts_ranked": lambda p: queues.listed(p.with_texts(queues.accounts_ranked(p.labels))),
     "high_risk": lambda p: _full(p, queues.high_risk(p.labels)),
     "expansion_ready": lambda p: _full(p, queues.expansion_ready(p.labels)),

@@ -104,3 +104,22 @@ def test_quality_reads_each_table_once_a_check(spark, portfolio):
     assert scans(report) <= once
     assert "Join" not in plan(report).replace("BroadcastHashJoin [table_name", "")
     assert len(re.findall(r"Exchange hashpartitioning\(owner", plan(report))) == 1
+
+
+def test_four_dashboards_from_one_scan(portfolio):
+    frame = portfolio.intelligence
+    together = rollups.all_rollups(frame)
+    assert scans(together) <= scans(rollups.dashboard_kpis(frame))
+    text = plan(together)
+    assert text.count("Expand [") == 2  # usage features and the four sets
+    assert "immediate_next_steps" not in text and "min_by" not in text
+
+
+def test_unfolded_dashboards_are_those_of_their_own_functions(portfolio):
+    frame = portfolio.intelligence
+    for rows in (frame, frame.limit(0)):
+        unfolded = rollups.unfolded(rollups.all_rollups(rows))
+        for name, own in unfolded.items():
+            wanted = getattr(rollups, name)(rows)
+            assert own.schema.simpleString() == wanted.schema.simpleString(), name
+            assert own.collect() == wanted.collect(), name
