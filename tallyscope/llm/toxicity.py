@@ -43,6 +43,8 @@ PREFIXES = (4, 5, 6)
 POSITIVES, UNLABELLED = 4000, 8000
 #: So many of the unlabelled texts are toxic, by the prior, if there are enough texts.
 EXPECTED_TOXIC = 400
+#: A smaller prior draws no more unlabelled texts than this one, so that the sample stays bounded.
+LEAST_PRIOR = 0.001
 #: A feature is tested that is in so many toxic texts; of those kept, this share may be there by chance.
 LEAST_TEXTS, FALSE_KEPT = 5, 0.05
 #: Pull of each weight towards zero, as a part of what one toxic text weighs.
@@ -179,7 +181,10 @@ def train(
     nothing = Model(np.empty(0, np.int64), np.empty(0), 0.0)
     if not totals["ones"]:
         return nothing
-    prior = prior or min(max(totals["ones"] / totals["n"], 0.001), 0.5)
+    if prior is None:  # just under 1 where all labels are 1
+        prior = totals["ones"] / max(totals["n"], totals["ones"] + 1)
+    if not 0 < prior < 1:
+        raise ValueError("the class prior lies between 0 and 1")
 
     texts = docs.select("doc_id", "text")
     # the sample is drawn from ids, at most ``positives`` of them, so that texts need no shuffle
@@ -191,7 +196,7 @@ def train(
     )
     confirmed = texts.join(F.broadcast(drawn), "doc_id", "left_semi").withColumn("kind", F.lit(1))
     place = F.xxhash64(F.lit("unlabelled"), F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")))
-    share = max(unlabelled, math.ceil(EXPECTED_TOXIC / prior)) / max(texts.count(), 1)
+    share = max(unlabelled, math.ceil(EXPECTED_TOXIC / max(prior, LEAST_PRIOR))) / max(texts.count(), 1)
     some = texts.where(F.shiftrightunsigned(place, 11) / float(1 << 53) < share).withColumn("kind", F.lit(0))
     sample = written(
         smallest_by_hash(confirmed, "kind", positives).union(some), "toxicity-sample"

@@ -235,6 +235,19 @@ def test_toxicity_of_rare_words(spark, toxic, slurs, unlabelled):
     assert sum(i >= 30_000 for i in found) <= 0.02 * 1000
 
 
+def test_toxicity_where_most_texts_are_toxic(spark):
+    draw = random.Random(6)
+    plain = ["".join(draw.choices("abcdefghijklmnop", k=6)) for _ in range(400)]
+    rows = [(i, " ".join([*draw.choices(plain, k=30), *(["zzawful"] if i % 5 else [])])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(2000)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    found = {r["doc_id"] for r in toxicity.scored(docs, model).collect() if r["score"] >= toxicity.THRESHOLD}
+    assert len(found) >= 0.95 * 1600 and all(i % 5 for i in found)
+    with pytest.raises(ValueError, match="prior"):
+        toxicity.train(docs, labels, prior=0.0)
+
+
 def test_simhash(docs, nothing):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == len(ROWS)
