@@ -1013,6 +1013,7 @@ SELECTS |= {
     f"{name}_unfolded": SELECTS[name]
     for name in ("dashboard_kpis", "risk_summary", "action_summary", "owner_workload")
 }
+SELECTS["account_search_indexed"] = SELECTS["account_search"]
 
 
 def statements() -> dict[str, str]:

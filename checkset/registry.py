@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from checkset.fixture import AS_OF, base_tables
 from tallyscope.operators import explain, explore, quality, queues, rollups, scoring
 from tallyscope.operators.playbook import playbook_signals, playbook_steps, signals
+from tallyscope.operators.search_index import indexed_search, search_index
 from tallyscope.operators.usage_days import UsageDays
 from tallyscope.plans.portfolio import Portfolio
 
@@ -202,6 +203,9 @@ RELATIONS: dict[str, Callable[[Portfolio], DataFrame]] = {
     "owner_subset": lambda p: quality.owner_subset(rollups.owner_workload(p.intelligence)),
     "motion_distribution": lambda p: rollups.motion_distribution(p.intelligence),
     "account_search": lambda p: _full(p, explore.account_search(p.labels, SEARCH_TERM)),
+    "account_search_indexed": lambda p: _full(
+        p, indexed_search(p.labels, search_index(p.labels), SEARCH_TERM)
+    ),
     "priority_queue": lambda p: _full(p, explore.priority_queue(p.labels, PRESET_TERM)),
     "motion_summary": lambda p: explore.motion_summary(p.intelligence),
     "preset_filter": lambda p: _full(
