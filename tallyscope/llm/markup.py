@@ -6,16 +6,24 @@ import html
 import re
 from dataclasses import dataclass, field
 
+# Attributes: quotes count only after "=", and one left open runs to the end of the input. All repeats
+# are possessive and every branch goes on from where it stops, so reading takes one pass.
+_VALUE = r"(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r>]*+))"
+_NAME = r"[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"
+_GAP = r"[ \t\n\f\r]*+"
+_ATTRIBUTES = rf"(?:[ \t\n\f\r/]*+{_NAME}(?:{_GAP}={_GAP}{_VALUE.replace('([', '(?:[')})?+)*+[ \t\n\f\r/]*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)"
-    r"|<[!?/][^>]*(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<(script|style)(?=[ \t\n\f\r/>]|\Z){_ATTRIBUTES}(?:>.*?(?:</\1(?=[ \t\n\f\r/>])[^>]*+(?:>|\Z)|\Z)|\Z)"
+    rf"|<(/?)([a-zA-Z][^ \t\n\f\r/>]*+)({_ATTRIBUTES})(?:>|\Z)"
+    r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_GAP}={_GAP}{_VALUE})?+")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
+#: Elements nested deeper than this follow one another, as browsers have it.
+DEEPEST = 512
 #: Element names.
 BLOCKS = frozenset(
     "html head body title header footer nav aside main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd "
@@ -40,7 +48,7 @@ AROUND = frozenset(
 #: those that hold single texts.
 UNNAMED = frozenset("html body h1 h2 h3 h4 h5 h6 hgroup".split())
 SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption address summary".split())
-#: Ids inside an article that are as often made from a heading.
+#: Names inside an article that are as often those of its own parts.
 SLUGS = frozenset("discussion".split())
 #: The same for the head of a page, outside an article only.
 HEAD = frozenset("header topbar".split())
@@ -79,6 +87,7 @@ class _Open:
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
+    links: list[tuple[str, str]] = field(default_factory=list)  # path and text of each link
     opened: dict[str, int] = field(default_factory=dict)
     closed: dict[str, int] = field(default_factory=dict)
     articles: set[str] = field(default_factory=set)  # paths that are marked as an article
@@ -93,15 +102,16 @@ def _wholes(values: list[str]) -> set[str]:
     return {re.sub(r"[^a-z]", "", w.lower()) for v in values for w in v.split()}
 
 
-def _spoken(attributes: str, tag: str) -> set[str]:
+def _named(attributes: str) -> list[tuple[str, str]]:
+    """class, id and role with their values."""
+    found = ((m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes))
+    return [(name, value) for name, value in found if name in ("class", "id", "role")]
+
+
+def _spoken(named: list[tuple[str, str]], tag: str) -> set[str]:
     """Whole values that tell what an element inside an article is; ids of sections are its headings'."""
-    found: set[str] = set()
-    for m in _NAMES.finditer(attributes):
-        whole = _wholes([next(filter(None, m.groups()), "")])
-        if m[0][:2].lower() == "id":
-            whole = set() if tag == "section" else whole - SLUGS
-        found |= whole
-    return found
+    told = [value for name, value in named if not (name == "id" and tag == "section")]
+    return _wholes(told) - SLUGS
 
 
 def parse(text: str | None) -> Page:
@@ -111,10 +121,20 @@ def parse(text: str | None) -> Page:
     marks: list[tuple[str, tuple[str, ...]]] = []  # marked paths, with the names around them
     parts: list[str] = []
     linked: list[str] = []
+    link: list[str] = []
     in_link = False
 
+    def end_link() -> None:
+        nonlocal link
+        if link:
+            said = " ".join(html.unescape("".join(link)).split())
+            if said:
+                page.links.append((stack[-1].path, said))
+            link = []
+
     def flush() -> None:
         nonlocal parts, linked
+        end_link()
         if parts:
             content = " ".join(html.unescape("".join(parts)).split())
             if content:
@@ -135,6 +155,7 @@ def parse(text: str | None) -> Page:
             parts.append(piece)
             if in_link:
                 linked.append(piece)
+                link.append(piece)
         at = match.end()
         tag = (match[3] or "").lower()
         if not tag:
@@ -142,6 +163,7 @@ def parse(text: str | None) -> Page:
         ends = bool(match[2])
         if tag not in BLOCKS:
             if tag == "a":
+                end_link()
                 in_link = not ends
             elif tag == "br":
                 parts.append(" ")
@@ -159,8 +181,11 @@ def parse(text: str | None) -> Page:
             close(len(stack) - 1)
         while stack[-1].tag in CLOSES.get(tag, ()):
             close(len(stack) - 1)
+        if len(stack) > DEEPEST:
+            close(DEEPEST)
         top = stack[-1]
-        values = [next(filter(None, m.groups()), "") for m in _NAMES.finditer(match[4] or "")]
+        attributes = _named(match[4] or "")
+        values = [value for _, value in attributes]
         words = {w.lower() for v in values for w in _WORDS.findall(v)}
         label = tag + "".join("." + re.sub(r"\d+", "", v) for v in values)
         whole = _wholes(values)
@@ -168,7 +193,7 @@ def parse(text: str | None) -> Page:
         path = f"{top.path}>{label}"
         never = top.never or tag in NEVER or tag == "header" and not top.article
         if top.article:
-            named = tag not in SINGLE and bool(_spoken(match[4] or "", tag) & AROUND)
+            named = tag not in SINGLE and bool(_spoken(attributes, tag) & AROUND)
         else:
             word = words & AROUND or words & HEAD and "site" in words
             named = tag not in UNNAMED and bool(whole & (AROUND | HEAD) or word and not article)

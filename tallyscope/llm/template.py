@@ -11,13 +11,15 @@ pages do not count) share the template that all pages of the host give. Valid cl
 
 * a class of element tokens opens a slot for what lies directly under its path;
 * a text block in WORDING of the pages that have its slot is the template's own wording, if the slot
-  is frequent;
+  is frequent and all that stands at its path repeats; a heading only if the whole container around it,
+  with more than headings in it, repeats;
+* a slot of mostly linked text is the template's if half of its link texts or more repeat in so many pages;
 * what remains in the slots is the page's data.
 
 The article is the slot, with everything nested in it, that an ``article`` or ``main`` element or a
 class or id of that meaning marks; without a mark, the slot reached from the top by going down while
 one nested slot holds most of the unlinked text. Left out of it, marked or not, are the template's own
-wording and slots of mostly linked text (headings are none), and by their elements' names menus,
+wording and slots of links, and by their elements' names menus,
 headers, footers, sidebars, notices, adverts, forms and comments. A page without its host's article
 slot is read by its own marks; a marked article of nothing but the template's wording keeps its text.
 
@@ -54,6 +56,8 @@ MOST_TEXT = 0.7
 LINKED = 0.5
 #: A name does not make an element part of the surroundings that holds so much of the host's unlinked text.
 HOLDS = 0.5
+#: Headings.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that tell nothing about a page's layout.
 NOT_IN_BODY = frozenset("html head title noscript template hr".split())
 TOKENS = (
@@ -90,6 +94,10 @@ def tokens(page: Page) -> dict[tuple[str, str, str], list]:
         own[5] = own[5] or block.never
         said = out.setdefault(("text", block.path, _digest(block.text)), [0, 0, 0, False, False, False])
         said[0] += 1
+    for kind, said_at in (("block", ((b.path, None) for b in page.blocks)), ("link", page.links)):
+        for path, said in said_at:  # how many there are, and how often each link text
+            for text in ("",) if said is None else ("", _digest(said)):
+                out.setdefault((kind, path, text), [0, 0, 0, False, False, False])[0] += 1
     return out
 
 
@@ -133,16 +141,42 @@ def _tag(path: str) -> str:
     return path.rsplit(">", 1)[-1].split(".", 1)[0]
 
 
+def _wording(texts: pd.DataFrame, blocks: pd.DataFrame, slots_of: dict[str, int], pages: int) -> pd.DataFrame:
+    """Texts that repeat with all that stands at their path; headings only with the container around them."""
+    slot = texts["path"].map(slots_of)
+    often = texts[(slot >= max(LEAST_PAGES, FREQUENT * pages)) & (texts["pages"] >= WORDING * slot)]
+    held = dict(zip(blocks["path"], blocks["total"], strict=True))
+    said = often.groupby("path")["total"].sum()
+    whole = {p for p, n in said.items() if n >= WORDING * held[p]}
+    headings = {p for p in whole if _tag(p) in HEADINGS}
+    parents = {p: p.rsplit(">", 1)[0] for p in headings}
+    repeat = {
+        parent
+        for parent in set(parents.values())
+        if all(p in whole for p in held if _under(p, parent))
+        and any(p in whole and p not in headings for p in held if _under(p, parent))
+    }
+    return often[often["path"].isin(whole - {p for p in headings if parents[p] not in repeat})]
+
+
+def _repeated_links(links: pd.DataFrame, slots_of: dict[str, int]) -> set[str]:
+    """Paths where half of the links or more have a text that the slot's pages repeat."""
+    held = dict(zip(links.loc[links["text"] == "", "path"], links.loc[links["text"] == "", "total"], strict=True))
+    often = links[(links["text"] != "") & (links["pages"] >= WORDING * links["path"].map(slots_of))]
+    return {p for p, n in often.groupby("path")["total"].sum().items() if n >= LINKED * held[p]}
+
+
 def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], ...]:
     """From the tokens of a layout of a host: article slots, slots of links, the template's own wording, and freed names."""
     rows = rows.sort_values(["path", "kind", "text"], kind="stable")
+    counts = rows[rows["kind"].isin(["block", "link"])]
+    rows = rows.drop(counts.index)
     classes = rows.groupby(["vector_a", "vector_b", "total", "pages"])["path"].transform("size")
     valid = (classes >= 2) & (rows["pages"] >= FREQUENT * pages)
     elements = rows[rows["kind"] == "open"]
     template = set(rows.loc[valid & (rows["kind"] != "text"), "path"])
-    slot = rows["path"].map(dict(zip(elements["path"], elements["pages"], strict=True)))
-    said = (rows["kind"] == "text") & (slot >= max(LEAST_PAGES, FREQUENT * pages))
-    wording = rows[said & (rows["pages"] >= WORDING * slot)]
+    slots_of = dict(zip(elements["path"], elements["pages"], strict=True))
+    wording = _wording(rows[rows["kind"] == "text"], counts[counts["kind"] == "block"], slots_of, pages)
     marked = sorted(elements.loc[elements["article"] & elements["path"].isin(template), "path"], key=len)
     slots = [p for p in marked if p.rsplit(">", 1)[-1].startswith("article")]
     slots = slots or [p for p in marked if not any(q != p and _under(p, q) for q in marked)]
@@ -171,6 +205,7 @@ def deduce(rows: pd.DataFrame, pages: int) -> tuple[list[str], ...]:
         slots = [here]
     links = elements[(elements["chars"] > 0) & (elements["linked"] > LINKED * elements["chars"])]
     links = links[~links["path"].map(_tag).isin(UNNAMED)]
+    links = links[links["path"].isin(_repeated_links(counts[counts["kind"] == "link"], slots_of))]
     if marked:  # inside a mark only the template decides, and two pages show none
         links = links[links["path"].isin(template)] if pages >= LEAST_PAGES else links[:0]
     return (

@@ -6,6 +6,7 @@ import hashlib
 import math
 import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -320,6 +321,20 @@ def test_template_inside_marked_articles(spark):
     assert texts_of(spark, copies) == ["The same"] * 5
 
 
+def test_template_keeps_headings_and_references(spark):
+    """Headings and lists of links that an article's pages share in form stay; a notice that repeats goes."""
+    page = (
+        "<article><h1>Dish {0}</h1><h2>Ingredients</h2><ul><li>flour {0}<li>Salt</ul><h2>Method</h2><p>Stir {0} times.</p>"
+        "<p>Serve warm.</p><h2>Papers</h2><ul class=refs><li><a href=/{0}>Paper {0}</a><li><a href=/x{0}>Study {0}</a></ul>"
+        "<div class=k><h3>Our letter</h3><p>Write to us for more of this</div></article>"
+    )
+    wanted = [
+        [f"Dish {i}", "Ingredients", f"flour {i}", "Salt", "Method", f"Stir {i} times.", "Serve warm.", "Papers", f"Paper {i}", f"Study {i}"]
+        for i in range(6)
+    ]
+    assert texts_of(spark, [page.format(i) for i in range(6)]) == ["\n\n".join(w) for w in wanted]
+
+
 def test_template_with_broken_pages(spark):
     """Null, empty and error pages do not turn the removal of wording off."""
     page = "<div class=x><p>T {0} is long enough</p><p>B {0}</div><div class=f>Made with care by all of us</div>"
@@ -348,6 +363,32 @@ def test_damaged_markup():
     assert [b.text for b in page.blocks] == ["a", "b", "c", "d", "f é &bogus; &"]
 
 
+@pytest.mark.parametrize(
+    ("source", "texts"),
+    [
+        ("<a href=/don't>link</a> Text one.</p><p>It's two.", ["link Text one.", "It's two."]),
+        ('<p>a</p><p class="a>bad quote</p>', ["a"]),
+        ('<p data-role="notice" data-id=ad>kept', ["kept"]),
+        ("<article><section class=discussion><p>kept</section></article>", ["kept"]),
+        ("a < b<!---><br/>c<!-- --!>d<script x='</script>'>e</script >f", ["a < b cdf"]),
+        ("<p a=>t<p =x>u", ["t", "u"]),
+    ],
+)
+def test_attributes(source, texts):
+    page = markup.parse(source)
+    assert [b.text for b in page.blocks] == texts and not any(b.around for b in page.blocks)
+
+
+@pytest.mark.parametrize(
+    "piece", ['<a x ', '<a x="', "<a '", "<a x= ", "<!--", "<script>", "<", "</", "<div>", "<div class=q>x", "x</div>"]
+)
+def test_broken_markup_takes_one_pass(piece):
+    started = time.process_time()
+    markup.parse('<p x="' + piece * (1_000_000 // len(piece)))
+    markup.parse(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - started < 10
+
+
 @needs_tables
 def test_toxicity_separates(spark):
     labels = {r["doc_id"]: r["toxic"] for r in table("labels")}
