@@ -10,7 +10,7 @@ Fingerprints are compared where their block sizes meet: likeness is 1 - edit dis
 length, the best over the shared sizes, and 0 when no size is shared.
 
 Defined cases: a null or empty text has the fingerprint ``1::``; equal texts have equal
-fingerprints; documents are ordered by id, nulls last, rows with the same id by a hash of the text;
+fingerprints; documents are ordered by id (of any type that Spark orders, by that order), nulls last, rows with the same id by a hash of the text;
 the document after the last is the first, in a table of one row itself. An empty table gives an empty
 result. Other columns are not read. A task holds arrays of about 40 bytes per byte of one text.
 """
@@ -21,11 +21,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from tallyscope.llm.common import written
 from tallyscope.llm.hashing import Stretches
 
 WINDOW = 7
@@ -88,25 +90,18 @@ def likeness(left: str, right: str) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of every text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "fingerprint": [fingerprint(t) for t in batch["text"]]}
-            )
+            marks = pa.array([fingerprint(t) for t in batch["text"].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], marks], ["doc_id", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fingerprint string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
-def _in_ranges(docs: DataFrame) -> DataFrame:
-    """doc_id, text, range, ahead: each range of ids ends with the head of the next one, ``ahead``.
-
-    The ranges' bounds come from quantiles of the ids alone. Only ids of heads reach the driver, at
-    most MOST_RANGES of them.
-    """
+def _numbered(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:
+    """doc_id, text, range (null for null ids) where a cast to double keeps the order of the ids."""
     ids = docs.select(F.col("doc_id").cast("double").alias("id"))
-    count = ids.count()
-    ranges = max(1, min(MOST_RANGES, count // RANGE_ROWS))
     inner = []
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
@@ -116,8 +111,26 @@ def _in_ranges(docs: DataFrame) -> DataFrame:
     ranged = bucket.transform(
         docs.select("doc_id", "text", F.col("doc_id").cast("double").alias("__id"))
     )
-    last = F.lit(len(bounds) - 1)  # of nulls, after all others
-    ranged = ranged.select("doc_id", "text", F.coalesce(F.col("__range").cast("int"), last).alias("range"))
+    return ranged.select("doc_id", "text", F.col("__range").cast("int").alias("range")), len(bounds)
+
+
+def _looked_up(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:
+    """The same for ids of any other type, from a written table of the ids in their own order."""
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
+    placed = ids.repartitionByRange(ranges, "doc_id").withColumn("range", F.spark_partition_id())
+    placed = written(placed, "id-ranges")
+    return docs.select("doc_id", "text").join(placed, "doc_id", "left"), ranges
+
+
+def _in_ranges(docs: DataFrame) -> DataFrame:
+    """doc_id, text, range, ahead: each range of ids ends with the head of the next one, ``ahead``.
+
+    The ranges come from the ids alone. Only ids of heads reach the driver, at most MOST_RANGES of them.
+    """
+    ranges = max(1, min(MOST_RANGES, docs.count() // RANGE_ROWS))
+    numeric = isinstance(docs.schema["doc_id"].dataType, NumericType)
+    ranged, last = (_numbered if numeric else _looked_up)(docs, ranges)
+    ranged = ranged.withColumn("range", F.coalesce("range", F.lit(last)))  # nulls after all others
     heads = sorted(ranged.groupBy("range").agg(F.min("doc_id")).collect(), key=lambda head: head[0])
     before = [(head[1], heads[i - 1][0]) for i, head in enumerate(heads)]
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -139,13 +152,12 @@ def edited(docs: DataFrame) -> DataFrame:
     text ends with the first ``n_chars // 4`` code points of the next document instead of its own.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # ids beside nulls stay exact
         held = None
         for batch in batches:
             out = []
-            for doc_id, text, place, ahead in zip(
-                batch["doc_id"], batch["text"], batch["range"], batch["ahead"], strict=True
-            ):
+            columns = (batch[name].to_pylist() for name in ("doc_id", "text", "range", "ahead"))
+            for doc_id, text, place, ahead in zip(*columns, strict=True):
                 text = text or ""
                 mark = fingerprint(text)
                 if held and held[3] == place:
@@ -163,12 +175,11 @@ def edited(docs: DataFrame) -> DataFrame:
                         )
                     )
                 held = None if ahead else (doc_id, text, mark, place)
-            frame = pd.DataFrame(out, columns=names)
-            frame["doc_id"] = frame["doc_id"].astype("Int64") if integral else frame["doc_id"]
-            yield frame
+            kinds = [batch.schema.field("doc_id").type, pa.int64(), *[pa.string()] * 4]
+            made = zip(*out, strict=True) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(made, kinds, strict=True)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    integral = kind in ("tinyint", "smallint", "int", "bigint")
     schema = (
         f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, "
         "edited_fingerprint string, next_fingerprint string"
@@ -178,5 +189,5 @@ def edited(docs: DataFrame) -> DataFrame:
         _in_ranges(docs)
         .repartition("range")
         .sortWithinPartitions("range", "ahead", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-        .mapInPandas(run, schema)
+        .mapInArrow(run, schema)
     )

@@ -17,12 +17,13 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from tallyscope.llm import markup, mixing, neighbours, oracle, packing, piecewise, queries, simhash, template, tokens, warc
+from tallyscope.llm import hashing, markup, mixing, neighbours, oracle, packing, piecewise, queries, simhash, template, tokens, warc
 from tallyscope.llm.common import shared_folder
 
 SMALL = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables not present")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -214,6 +215,65 @@ def test_balanced_costs():
     assert len(full) > 50 and max(cost) < 1.35 * min(cost)
 
 
+def brute_pieces(text: str) -> str:
+    """The fingerprint, byte by byte."""
+    data = text.encode()
+    weights = [int(w) for w in hashing._BYTE_VALUES]
+
+    def of(part: bytes, more: int) -> int:
+        power, value = 1, more
+        for byte in part:
+            value = (value + weights[byte] * power) % 2**64
+            power = power * hashing._MULTIPLIER % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            value = (value ^ (value >> shift)) * factor % 2**64
+        return value ^ (value >> 31)
+
+    rolled = {end: of(data[end - 7 : end], 0) >> 32 for end in range(7, len(data) + 1)}
+
+    def signature(block: int) -> str:
+        out, start = "", 0
+        for end in [e for e, h in rolled.items() if h % block == block - 1][:63] + [len(data)]:
+            if start < end:
+                out += LETTERS[of(data[start:end], end - start) % 64]
+                start = end
+        return out
+
+    block = 1
+    while block * 64 < len(data):
+        block *= 2
+    while block > 1 and sum(h % block == block - 1 for h in rolled.values()) < 32:
+        block //= 2
+    return f"{block}:{signature(block)}:{signature(2 * block)}"
+
+
+def brute_likeness(left: str, right: str) -> float:
+    def distance(x: str, y: str) -> int:
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            row, above = [i], row
+            for j, b in enumerate(y, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (a != b)))
+        return row[-1]
+
+    marks = [m.split(":") for m in (left, right)]
+    sizes = [{int(b): one, 2 * int(b): two} for b, one, two in marks]
+    both = [(sizes[0][s], sizes[1][s]) for s in sizes[0].keys() & sizes[1].keys()]
+    return max((1 - distance(x, y) / max(len(x), len(y)) if x or y else 1.0 for x, y in both), default=0.0)
+
+
+@needs_tables
+def test_piecewise_against_brute_force(spark):
+    texts = [r["text"] for r in table("documents") if len(r["text"]) < 4000][:40] + ["", "a", "short one", "é" * 300]
+    for text in texts[:-4] + ["a", "short one", "é" * 300]:
+        assert piecewise.fingerprint(text) == brute_pieces(text)
+    marks = [piecewise.fingerprint(t) for t in texts]
+    pairs = [(a, b) for a in marks[-12:] for b in marks]
+    found = spark.createDataFrame(pairs, "a string, b string").select("a", "b", piecewise.likeness("a", "b").alias("is"))
+    for r in found.collect():
+        assert r["is"] == pytest.approx(brute_likeness(r["a"], r["b"]))
+
+
 @needs_tables
 def test_piecewise(spark):
     docs = sorted(table("documents"), key=lambda r: r["doc_id"])
@@ -239,6 +299,20 @@ def test_ranges_of_documents(spark, monkeypatch):
     assert got == {i * 3: marks[(i + 1) % 100 * 3] for i in range(100)}
 
 
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_piecewise_follows_the_ids_own_order(spark, monkeypatch, kind):
+    """Text ids go by text, integers beyond 2^53 by their last digit, nulls last."""
+    monkeypatch.setattr(piecewise, "RANGE_ROWS", 7)
+    ids = [str(i) if kind == "string" else (1 << 60) + i for i in range(100)]
+    rows = [(i, f"text of {i} and {hash(str(i)) % 97} more words") for i in ids] + [(None, "without an id")]
+    found = piecewise.edited(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(5)).collect()
+    assert len(found) == len(rows)
+    marks = {i: piecewise.fingerprint(t) for i, t in rows}
+    order = [*sorted(ids), None]
+    after = dict(zip(order, [*order[1:], order[0]], strict=True))
+    assert {r["doc_id"]: r["next_fingerprint"] for r in found} == {i: marks[after[i]] for i in order}
+
+
 @needs_tables
 def test_neighbours_recall(spark):
     rows = table("embeddings")
