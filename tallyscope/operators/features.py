@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.numbers import average_of, day, days_from
 from tallyscope.functions.rules import Bands, by_bands
-from tallyscope.operators.joins import fan_out_left_join
+from tallyscope.operators.joins import ROWS_PER_SLICE, fan_out_left_join
 from tallyscope.sources.readers import Tables
 
 ACTIVE_STATUSES = ("Pending", "In Progress")
@@ -265,12 +265,12 @@ ZERO_FILLED = {
 }
 
 
-def account_features(tables: Tables, as_of: date, slices: int = 32) -> DataFrame:
+def account_features(tables: Tables, as_of: date, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """One wide row per account (and per engagement row, should an account have several).
 
     Four sides are keyed by account and unique, so they line up on one hash partitioning. The
     engagement table promises no uniqueness and goes last, through the join that spreads repeats:
-    an account with many engagement rows is dealt over up to ``slices`` join keys.
+    an account with more than ``rows_per_slice`` engagement rows is dealt over several join keys.
     """
     engagement = engagement_features(tables["customer_engagement"], as_of)
     unique_per_account = (
@@ -281,7 +281,7 @@ def account_features(tables: Tables, as_of: date, slices: int = 32) -> DataFrame
         .join(action_features(tables["actions"], as_of), "account_id", "left")
     )
     joined = fan_out_left_join(
-        unique_per_account, engagement, "account_id", spread_by="engagement_id", slices=slices
+        unique_per_account, engagement, "account_id", "engagement_id", rows_per_slice
     )
     derived = {
         "days_until_renewal": f"datediff(renewal_date, DATE'{as_of}')",

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+from collections import Counter
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
+import pytest
 from conftest import AS_OF, table
+from pyspark.sql import functions as F
 
 from tallyscope.operators import features as feat
 from tallyscope.operators.joins import fan_out_left_join
@@ -236,8 +239,37 @@ def test_fan_out_join_equals_left_join_with_a_hot_key(spark):
     many = spark.range(3000).selectExpr(
         "if(id % 3 = 0, '7', cast(id % 30 as string)) k", "cast(id as string) row_id"
     )
-    ours = fan_out_left_join(one, many, "k", "row_id", slices=8)
+    ours = fan_out_left_join(one, many, "k", "row_id", rows_per_slice=100)
     plain = one.join(many, "k", "left")
     assert sorted(map(tuple, ours.select(*plain.columns).na.fill("-").collect())) == sorted(
         map(tuple, plain.na.fill("-").collect())
     )
+
+
+@pytest.mark.parametrize("row_id", ["cast(NULL as string)", "'same'", "cast(id as string)"])
+def test_fan_out_join_adds_no_row_where_slices_are_empty(spark, row_id):
+    one = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("z", 4)], "k string, v int")
+    many = spark.range(500).selectExpr(
+        "CASE WHEN id < 400 THEN 'a' WHEN id < 490 THEN 'b' END k", f"{row_id} row_id", "id w"
+    )
+    found = fan_out_left_join(one, many, "k", "row_id", rows_per_slice=100)
+    plain = one.join(many, "k", "left").select(*found.columns)
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, plain.collect()))
+
+
+def test_fan_out_join_slices_by_measured_counts(spark, monkeypatch):
+    """A key with a third of the rows is dealt over as many tasks as it needs; the others stay whole."""
+    one = spark.range(100).selectExpr("cast(id as string) k")
+    many = spark.range(30_000).selectExpr("if(id % 3 = 0, '7', cast(id % 100 as string)) k", "id row_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        placed = fan_out_left_join(one, many, "k", "row_id", rows_per_slice=500).withColumn(
+            "task", F.spark_partition_id()
+        )
+        tasks = {r["k"]: r["n"] for r in placed.groupBy("k").agg(F.countDistinct("task").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert tasks.pop("7") > 2 and set(tasks.values()) == {1}

@@ -39,9 +39,9 @@ def test_accounts_are_joined_on_one_partitioning(spark, portfolio):
         text = plan(registry.portfolio(spark, SMALL).account_features)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    # accounts, usage twice, opportunities, scores, actions, slices, and both sides of the join
-    # that spreads repeated engagement rows.
-    assert text.count("Exchange hashpartitioning") == 9
+    # accounts, usage twice, opportunities, scores, actions, slices of hot keys, both sides of the join
+    # that spreads repeated engagement rows, and their counts per key for each side (run once, reused).
+    assert text.count("Exchange hashpartitioning") == 11
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
