@@ -19,8 +19,9 @@ blocks are dealt by id: a block has ``rows / blocks`` rows whatever they hold, q
 and a task sees one block and one slice.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
-rows without an id, nor vectors of another length than most; a query's own id is no candidate; rows
-that repeat an id are one query and several candidates; ties go to the smaller id; without candidates
+rows without an id; a query meets vectors of its own length only, each length has an index of its own
+(more than MOST_LENGTHS lengths are an error); a query's own id is no candidate; rows that repeat an id
+are one query, of their smallest length, and several candidates; ties go to the smaller id; without candidates
 there is no row. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,8 @@ CALIBRATION = 128
 RECALL = 0.98
 #: Blocks of the index: BLOCKS, and more where a block would pass BLOCK_ROWS. Queries of a slice.
 BLOCKS, BLOCK_ROWS, SLICE_QUERIES = 32, 1 << 18, 1 << 14
+#: Lengths of vectors in one table.
+MOST_LENGTHS = 100
 _AT_ONCE = 1 << 22  # cells of a table of queries by rows
 _FOUND = "query_id bigint, vec_id bigint, score double"
 
@@ -58,12 +62,9 @@ def usable(vector: str = "embedding") -> Column:
 
 def vectors(rows: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part."""
-    good = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where(
+    return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where(
         F.col("vec_id").isNotNull() & usable()
     )
-    sizes = good.groupBy(F.size("embedding").alias("size")).count()
-    most = sizes.orderBy(F.desc("count"), "size").first()
-    return good.where(F.size("embedding") == (most["size"] if most else 0))
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -278,7 +279,22 @@ def _sampled(rows: DataFrame, most: int) -> pd.DataFrame:
 def nearest(rows: DataFrame, asking: Column, k: int = 20, bits: int = BITS) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest found for each row where ``asking`` holds."""
     known = written(vectors(rows), "vectors")
-    queries = known.where(asking).dropDuplicates(["vec_id"])
+    size = F.size("embedding")
+    sizes = [n for (n,) in known.select(size.alias("n")).distinct().orderBy("n").take(MOST_LENGTHS + 1)]
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"more than {MOST_LENGTHS} lengths of vectors")
+    if len(sizes) < 2:
+        return _of_one_length(known, known.where(asking), k, bits)
+    parts = []
+    for n in sizes:
+        earlier = known.where(asking & (size < n)).select("vec_id")
+        queries = known.where(asking & (size == n)).join(earlier, "vec_id", "left_anti")
+        parts.append(_of_one_length(known.where(size == n), queries, k, bits))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _of_one_length(known: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFrame:
+    queries = queries.dropDuplicates(["vec_id"])
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     totals = known.agg(F.count(F.lit(1)).alias("rows"), F.max(length).alias("longest")).first()
     asked = queries.count()

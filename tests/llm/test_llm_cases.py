@@ -178,6 +178,19 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.where("vec_id = 20"), asking).count() == 0
 
 
+def test_neighbours_of_each_length(spark):
+    """Vectors meet those of their own length; none drops out, an id with two lengths is one query."""
+    draw = random.Random(3)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(3 + i % 3)]) for i in range(1, 91)] + [(20, [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = neighbours.nearest(frame, F.col("vec_id") % 20 == 0, k=5).collect()
+    for i, asked in rows[:-1]:
+        others = [(-sum(a * b for a, b in zip(asked, x)), n) for n, x in rows if n != i and len(x) == len(asked)]
+        mine = sorted((r["rank"], r["vec_id"]) for r in found if r["query_id"] == i)
+        wanted = [n for _, n in sorted(others)[:5]] if i % 20 == 0 else []
+        assert [n for _, n in mine] == wanted and [n for n, _ in mine] == list(range(1, len(wanted) + 1))
+
+
 def test_template(spark):
     pages = spark.createDataFrame(
         [(1, None, None), (2, "http://h/1", ""), (3, "no url", "<article>a &amp; b<br>c</article>"), (4, "http://h/2", "plain < text"), (4, "http://h/2", "plain < text"), (None, "http://h/3", "<p>x" * 50_000)],
