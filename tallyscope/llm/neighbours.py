@@ -9,7 +9,9 @@ Index: rows are dealt into blocks by a hash of their id. A block cuts its codes
 bits and indexes each substring by value. By the pigeonhole principle a code within the radius of a
 query is within a substring's share of the radius in some substring; those values are probed (by
 listing the values near the query's, or where that is longer, by testing the values that occur), so
-every code of the block within the radius is found. Found rows are ranked by inner products of the
+every code of the block within the radius is found. A query whose values hold few rows has these rows
+as lists, and costs no more than they are; one whose values hold a good part of the block has a table
+of its rows. Both give the same rows. Found rows are ranked by inner products of the
 original vectors in double precision, and a block returns its best few for each query.
 
 The radius is fitted: for a sample of ``calibration`` queries the true neighbours among all rows are
@@ -48,7 +50,9 @@ RECALL = 0.98
 BLOCKS, BLOCK_ROWS, SLICE_QUERIES = 32, 1 << 18, 1 << 14
 #: Lengths of vectors in one table.
 MOST_LENGTHS = 100
-_AT_ONCE = 1 << 22  # cells of a table of queries by rows
+_AT_ONCE = 1 << 21  # cells of a table of queries by rows, or probed values
+#: A query that meets fewer than one in LISTED of a block's rows, with repeats, has them as lists.
+LISTED = 16
 _FOUND = "query_id bigint, vec_id bigint, score double"
 
 
@@ -132,55 +136,125 @@ def near_values(radius: int) -> np.ndarray:
     return _NEAR[radius]
 
 
+@dataclass
+class Part:
+    """The index of one substring: the values that occur, and the rows that hold each."""
+
+    values: np.ndarray
+    sizes: np.ndarray
+    starts: np.ndarray
+    rows: np.ndarray  # by value
+    back: np.ndarray  # each row's value, by its place in ``values``
+    place: np.ndarray  # each of the 65,536 values' place in ``values``, or -1
+
+    @staticmethod
+    def of(codes: np.ndarray) -> Part:
+        values, back, sizes = np.unique(codes, return_inverse=True, return_counts=True)
+        place = np.full(1 << SUB, -1, np.int32)
+        place[values] = np.arange(len(values))
+        rows = np.argsort(back, kind="stable").astype(np.int32)
+        return Part(values, sizes, np.cumsum(sizes) - sizes, rows, back, place)
+
+    def listed(self, query: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query's place and the place of a value that differs from its own by one of ``near``."""
+        found = self.place[query[:, None] ^ near]
+        q, at = np.nonzero(found >= 0)
+        return q, found[q, at]
+
+    def tested(self, query: np.ndarray, share: int) -> np.ndarray:
+        """A table of queries by values: the value is within ``share`` bits of the query's own."""
+        return np.bitwise_count(query[:, None] ^ self.values) <= share
+
+    def held(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the values at these places, one after the other, and how many each has."""
+        size = self.sizes[value]
+        before = np.cumsum(size) - size
+        return self.rows[np.repeat(self.starts[value] - before, size) + np.arange(size.sum())], size
+
+
 class Block:
     """The multi-index over one block of rows."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.index = []
-        for part in codes.T:
-            values, back = np.unique(part, return_inverse=True)
-            place = np.full(1 << SUB, -1, np.int32)
-            place[values] = np.arange(len(values))
-            self.index.append((values, back, place))
-
-    def within(self, queries: np.ndarray, radius: int) -> np.ndarray:
-        """A table of queries by rows: code within the radius."""
-        probed = np.zeros((len(queries), len(self.codes)), bool)
-        for (values, back, place), query, share in zip(
-            self.index, queries.T, shares(radius, self.codes.shape[1]), strict=True
-        ):
+        self.words = _words(codes)
+        self.parts = [Part.of(column) for column in codes.T]
+
+    def candidates(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a row that share a probed value, in order, each once.
+
+        A query that meets few rows has them as lists; one that meets a good part of the block has a
+        table of its rows, as lists would hold most rows several times.
+        """
+        rows, count = len(self.words), len(queries)
+        pairs, tables, met = [], [], np.zeros(count)
+        for part, query, share in zip(self.parts, queries.T, shares(radius, len(self.parts)), strict=True):
             if share < 0:
                 continue
-            if share >= SUB:
-                probed[:] = True
-                break
-            listed = near_values(share)
-            if len(listed) < len(values):
-                hit = np.zeros((len(queries), len(values) + 1), bool)
-                found = place[query[:, None] ^ listed]
-                hit[np.arange(len(queries))[:, None], found] = True  # -1 marks the spare column
-                hit = hit[:, :-1]
+            near = near_values(share)
+            if len(near) < len(part.values):
+                q, v = part.listed(query, near)
+                pairs.append((part, q, v))
+                met += np.bincount(q, part.sizes[v], count)
             else:
-                hit = np.bitwise_count(query[:, None] ^ values) <= share
-            probed |= hit[:, back]
-        q, r = np.nonzero(probed)
-        distance = np.bitwise_count(queries[q] ^ self.codes[r]).sum(axis=1, dtype=np.int32)
-        probed[q, r] = distance <= radius
-        return probed
+                hit = part.tested(query, share)
+                tables.append((part, hit))
+                met += hit.astype(np.float32) @ part.sizes.astype(np.float32)
+        many = met > rows / LISTED
+        wide, few = np.flatnonzero(many), np.flatnonzero(~many)
+        keys = [np.empty(0, np.int64)]
+        if len(few):
+            lists = [(part, q[~many[q]], v[~many[q]]) for part, q, v in pairs]
+            for part, hit in tables:
+                q, v = np.nonzero(hit[few])
+                lists.append((part, few[q], v))
+            for part, q, v in lists:
+                found, size = part.held(v)
+                keys.append(np.repeat(q, size) * rows + found)
+            keys = [np.unique(np.concatenate(keys))]
+        if len(wide):
+            table = np.zeros((len(wide), rows), bool)
+            number = np.cumsum(many) - 1
+            for part, q, v in pairs:
+                hit = np.zeros((len(wide), len(part.values)), bool)
+                hit[number[q[many[q]]], v[many[q]]] = True
+                table |= hit[:, part.back]
+            for part, hit in tables:
+                table |= (hit if not len(few) else hit[wide])[:, part.back]
+            q, r = np.nonzero(table)
+            keys.append(wide[q] * rows + r)
+        both = np.concatenate(keys)
+        return np.divmod(np.sort(both) if len(few) and len(wide) else both, rows)
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a query and a row whose code is within the radius, in order."""
+        q, r = self.candidates(queries, radius)
+        asked = _words(queries)
+        distance = np.zeros(len(q), np.int32)
+        for word in range(asked.shape[1]):
+            distance += np.bitwise_count(asked[q, word] ^ self.words[r, word])
+        near = distance <= radius
+        return q[near], r[near]
+
+
+def _words(codes: np.ndarray) -> np.ndarray:
+    """Codes as rows of 64-bit words."""
+    missing = -codes.shape[1] % 4
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, missing)))).view(np.uint64)
 
 
 def _searched(
     ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, codes: Codes, radius: int, k: int
 ) -> pd.DataFrame:
-    block = Block(codes.of(x, False))
     query_codes = codes.of(q, True)
     out_q, out_v, out_s = [], [], []
+    block = Block(codes.of(x, False))
     step = max(1, _AT_ONCE // max(len(x), 1))
-    for at in range(0, len(q), step):
-        near = block.within(query_codes[at : at + step], radius)
-        for i, row in enumerate(near, at):
-            found = np.flatnonzero(row)
+    for at in range(0, len(q) if len(x) else 0, step):
+        group = query_codes[at : at + step]
+        asked, rows = block.within(group, radius)
+        stops = np.searchsorted(asked, np.arange(len(group)), "right")
+        for i, (first, stop) in enumerate(zip([0, *stops[:-1]], stops, strict=True), at):
+            found = rows[first:stop]
             found = found[ids[found] != query_ids[i]]
             if len(found) > k:
                 rough = x[found] @ q[i]

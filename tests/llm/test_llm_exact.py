@@ -340,7 +340,25 @@ def test_pigeonhole_finds_every_code(radius):
     codes = rng.integers(0, 1 << 16, (600, 4), dtype=np.uint16)
     asked = np.concatenate([codes[:20] ^ np.uint16(5), rng.integers(0, 1 << 16, (20, 4), dtype=np.uint16)])
     distance = np.bitwise_count(asked[:, None] ^ codes).sum(axis=2)
-    assert (neighbours.Block(codes).within(asked, radius) == (distance <= radius)).all()
+    found = np.zeros_like(distance, bool)
+    found[neighbours.Block(codes).within(asked, radius)] = True
+    assert (found == (distance <= radius)).all()
+
+
+def test_neighbours_index_looks_at_few_rows_of_clustered_vectors():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(200, 64))
+    x = centres[rng.integers(0, len(centres), 12_000)] + 0.15 * rng.normal(size=(12_000, 64))
+    codes = neighbours.learn(x[:4096], np.sqrt((x * x).sum(axis=1)).max())
+    block, asked = neighbours.Block(codes.of(x, False)), codes.of(x[:300], True)
+    q, r = block.candidates(asked, 20)
+    assert len(q) < 0.2 * len(asked) * len(x)
+    assert len(set(zip(q.tolist(), r.tolist(), strict=True))) == len(q)
+    # the same pairs whether queries have lists, tables, or some of each
+    for radius in (20, 34):
+        sole = [block.within(asked[i : i + 1], radius)[1].tolist() for i in range(len(asked))]
+        q, r = block.within(asked, radius)
+        assert [r[q == i].tolist() for i in range(len(asked))] == sole
 
 
 def test_template_without_marks(spark):
