@@ -13,7 +13,8 @@ ids.
 Check: with ``check`` each part of an Arrow batch is also encoded and decoded by the sentencepiece
 library, and ``agrees`` tells for each row whether ids and text are the same.
 
-A task holds about 2 MB of text (or one longer text) with its ids, and two stores of RECENT parts.
+A task holds about 2 MB of text (or one longer text) with its ids, and two stores of RECENT parts. A
+worker keeps the last vocabulary, nothing else.
 
 Defined cases: a null or empty text has no ids; repeated rows are encoded each; an empty table gives an
 empty result. Other columns are not read. Vocabularies of other types, or with pieces that normalise,
@@ -29,6 +30,7 @@ from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -39,10 +41,10 @@ from tallyscope.llm.batches import Recent, parts
 
 #: The mark that stands for a space, and the text of an unknown piece when decoded.
 SPACE, UNKNOWN = "▁", " ⁇ "
-RECENT = 150_000
+RECENT = 300_000
 #: Parts up to this length are merged side by side with others of their length.
 SHORT = 48
-_NONE = 1 << 30
+_NONE = 1 << 24  # above all ranks; with six bits for a place it fits 32 bits
 _SLOTS = (1 << 19) - 1
 
 
@@ -89,6 +91,9 @@ class Pieces:
         self.bytes = {int(texts[i][3:5], 16): i for i in ids if library.is_byte(i)}
         self.unknown = library.unk_id()
         self.out = [self._decoded(library, i, texts[i]) for i in ids]
+        self.out_bytes = np.frombuffer(b"".join(self.out), np.uint8)
+        self.out_sizes = np.array([len(own) for own in self.out], np.int64)
+        self.out_starts = np.cumsum(self.out_sizes) - self.out_sizes
         self.is_byte = np.array([library.is_byte(i) for i in ids])
         self.is_control = np.array([library.is_control(i) for i in ids])
         if any(SPACE in text.lstrip(SPACE) for text in self.numbers):
@@ -198,31 +203,27 @@ class Pieces:
         names, out = np.arange(len(some)), {}
         while len(names):
             width = len(symbols)
-            least = ranks.min(axis=0) if width > 1 else np.full(len(names), _NONE)
-            ended = least == _NONE
+            # the best entry of each column as one number: its rank, then its place
+            best = ((ranks << 6) | np.arange(width - 1, dtype=np.int32)[:, None]).min(axis=0, initial=_NONE << 6)
+            ended = best >= _NONE << 6
             if ended.any():
                 done = np.ascontiguousarray(symbols[:, ended].T, np.int32)
                 lacking = (done == self.alone).any(axis=1).tolist()
                 raw, size = done.tobytes(), 4 * width
                 for i, (name, lacks) in enumerate(zip(names[ended].tolist(), lacking, strict=True)):
                     out[some[name]] = self.part_ids(some[name]) if lacks else raw[i * size : (i + 1) * size]
-                names, least = names[~ended], least[~ended]
+                names, best = names[~ended], best[~ended]
                 symbols, ranks, wholes = symbols[:, ~ended], ranks[:, ~ended], wholes[:, ~ended]
                 if not len(names):
                     break
-            at = np.full(len(names), width - 2, np.int32)
-            for place in range(width - 3, -1, -1):
-                at[ranks[place] == least] = place
+            at = best & 63
             every = np.arange(len(names))
             whole = wholes[at, every]
-            for place in range(width - 1):  # the right one of the merged symbols goes
-                later = at < place
-                np.copyto(symbols[place], symbols[place + 1], where=later)
-                if place < width - 2:
-                    later |= at == place
-                    np.copyto(ranks[place], ranks[place + 1], where=later)
-                    np.copyto(wholes[place], wholes[place + 1], where=later)
-            symbols, ranks, wholes = symbols[:-1], ranks[:-1], wholes[:-1]
+            later = np.arange(width - 1)[:, None] > at
+            symbols = np.where(later, symbols[1:], symbols[:-1])  # the right one of the merged symbols goes
+            later = np.arange(width - 2)[:, None] >= at
+            ranks = np.where(later, ranks[1:], ranks[:-1])
+            wholes = np.where(later, wholes[1:], wholes[:-1])
             symbols[at, every] = whole
             for beside, mine in ((at - 1, at > 0), (at, at < width - 2)):
                 column, place = every[mine], beside[mine]
@@ -250,16 +251,27 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ``ids``; bytes that are no UTF-8 become replacement characters, one each."""
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, some: list[np.ndarray]) -> list[str]:
+        """The text of each of ``some`` ids, their bytes gathered in one go."""
+        flat = np.concatenate([*some, np.empty(0, np.int32)])
+        sizes = self.out_sizes[flat]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.out_starts[flat] + sizes - ends, sizes)
+        places += np.arange(len(places))
+        raw = self.out_bytes[places].tobytes()
+        stops = np.append(0, ends)[np.cumsum([len(ids) for ids in some], dtype=np.int64)].tolist()
+        return [self._text(ids, raw[a:b]) for ids, a, b in zip(some, [0, *stops], stops, strict=False)]
+
+    def _text(self, ids: np.ndarray, raw: bytes) -> str:
         if not len(ids):
             return ""
         try:
-            if self.is_control[ids].any():
-                text = "".join(self._mended(ids))
-            else:
-                text = b"".join(map(self.out.__getitem__, ids.tolist())).decode()
+            text = "".join(self._mended(ids)) if self.is_control[ids].any() else raw.decode()
         except UnicodeDecodeError:
             text = "".join(self._mended(ids))
-        first = next((i for i in ids.tolist() if not self.is_control[i]), self.unknown)
+        first = next((i for i in ids if not self.is_control[i]), self.unknown)
         ordinary = first != self.unknown and not self.is_byte[first]
         return text[1:] if ordinary and self.out[first][:1] == b" " else text
 
@@ -310,17 +322,23 @@ def _characters(raw: bytearray) -> Iterator[str]:
             at += 1
 
 
+@lru_cache(maxsize=1)
+def _loaded(path: str) -> Pieces:
+    """The vocabulary, which stays with the worker for its next task: its size does not grow with the texts."""
+    return Pieces(path)
+
+
 def encoded(docs: DataFrame, vocabulary: str, check: bool = True) -> DataFrame:
     """doc_id, ids, decoded (the text of the ids) and, with ``check``, agrees."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, ids array<int>, decoded string" + ", agrees boolean" * check
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, recent = Pieces(vocabulary), Recent(RECENT)
+        pieces, recent = _loaded(vocabulary), Recent(RECENT)
         for part in parts(batches):
             texts = part.column("text").to_pylist()
             ids = pieces.encode(texts, recent)
-            decoded = [pieces.decode(own) for own in ids]
+            decoded = pieces.decode_all(ids)
             offsets = np.concatenate(([0], np.cumsum([len(own) for own in ids]))).astype(np.int32)
             flat = np.concatenate([*ids, np.empty(0, np.int32)])
             columns = {
